@@ -64,8 +64,7 @@ def build_level(keys: DataFrame, count: int, rate: float, salt: int) -> Level:
     size = max(64, 8 * math.ceil(-count * math.log(rate) / math.log(2) ** 2 / 8))
     if size // 8 > MAX_LEVEL_BYTES:
         raise ValueError(f"a level of {size // 8} bytes is over the bound of {MAX_LEVEL_BYTES}; split the list by key hash and build a cascade for each part")
-    hashes = max(1, round(size / max(count, 1) * math.log(2))) if count else 1
-    hashes = min(hashes, 12)
+    hashes = max(1, math.ceil(-math.log2(rate)))
     words = (
         keys.select(F.explode(F.array(*_places(F.col("key"), size, hashes, salt))).alias("p"))
         .groupBy(F.shiftright("p", 5).alias("word"))
@@ -113,11 +112,15 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 
 def _candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys of a URL, longest first: host suffixes by path prefixes of the given lengths."""
+    """All keys of a URL: host suffixes by path prefixes of the given lengths."""
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.array_size(labels)), lambda i: F.array_join(F.slice(labels, i, F.array_size(labels)), "."))
     suffixes = F.when(host != "", suffixes).otherwise(F.array().cast("array<string>"))
-    keys = F.flatten(F.array(*[F.transform(suffixes, lambda s, n=n: F.when(F.length(path) >= n, F.concat(s, F.substring(path, 1, n)))) for n in lengths]))
+
+    def at(n: int) -> Column:
+        return F.transform(suffixes, lambda s: F.when(F.length(path) >= n, F.concat(s, F.substring(path, 1, n))))
+
+    keys = F.flatten(F.array(*[at(n) for n in lengths]))
     return F.filter(F.array_distinct(keys), lambda k: k.isNotNull())
 
 

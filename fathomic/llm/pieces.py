@@ -5,6 +5,10 @@ output links, so each position meets the pieces that end there and keeps the bes
 to it. A character that no piece reaches costs less than any piece and is written as
 byte pieces, so every text decodes to itself.
 
+A model of the unigram kind stores log probabilities. One of the BPE kind stores merge
+ranks, whose sums mean nothing; there a piece of rank r scores as Zipf's law has it,
+``-log(r + 2)``, which keeps the model's order of pieces.
+
 Pieces have no space after another character, and none joins a line feed to anything
 (both are checked when a model is loaded), so the best path of a text is the best paths
 of its units one after the other; paths of units seen before are kept in a bounded table.
@@ -16,6 +20,7 @@ literal word mark (U+2581) is written as bytes. Rows may repeat; other columns a
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -37,7 +42,11 @@ class Pieces:
     def __init__(self, model: bytes) -> None:
         import ahocorasick
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(model)
+        ranked = proto.trainer_spec.model_type == proto.trainer_spec.BPE
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.automaton = ahocorasick.Automaton()
         self.bytes: list[int] = [-1] * 256
@@ -56,7 +65,7 @@ class Pieces:
                 self.raw.append(b"")
                 continue
             self.raw.append(piece.replace(MARK, " ").encode())
-            score = sp.get_score(i)
+            score = -math.log(2 - sp.get_score(i)) if ranked else sp.get_score(i)
             scores.append(score)
             self.automaton.add_word(piece, (len(piece), score, i))
             crossing |= re.search(f"[^{MARK}]{MARK}", piece) is not None

@@ -116,7 +116,7 @@ def extra_candidates(text: str, base: list[Span]) -> list[Span]:
     if "at]" in text or "at)" in text or "at}" in text or re.search(r"[\[({]\s?at\s?[\])}]", text, re.IGNORECASE):
         out += [("email", m.start(), m.end()) for m in _SPELLED.finditer(text)]
     if _DIGIT.search(text):
-        out += [("card", m.start(), m.end()) for m in _CARD_PART.finditer(text)]
+        out += [("card", m.start(), m.end()) for m in _CARD_PART.finditer(text) if luhn(_NOT_DIGIT.sub("", m.group()))]
         out += [("phone", m.start(), m.end()) for m in _PLAIN_PHONE.finditer(text)]
     taken = sorted((s, e) for _, s, e in base)
     return [c for c in out if not any(s < c[2] and c[1] < e for s, e in taken)]
