@@ -309,10 +309,10 @@ def melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.melt(table(spark, sf_dir, "part"), ["p_partkey"], ["p_size", "p_brand"])
 
 
-@query("explode", "SELECT vec_id, count(*) AS n, round(sum(x), 3) AS s FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id")
+@query("explode", "SELECT vec_id, count(*) AS n, count(*) FILTER (x > 0) AS up FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id")
 def explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = reshape.explode(table(spark, sf_dir, "embeddings"), ["embedding"], keep_empty=False)
-    return out.groupBy("vec_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("embedding").cast("double")), 3).alias("s"))
+    return out.groupBy("vec_id").agg(F.count("*").alias("n"), F.count_if(F.col("embedding") > 0).alias("up"))
 
 
 @query("pivot", "SELECT n_regionkey, max(n_name) FILTER (r = 1) AS a, max(n_name) FILTER (r = 2) AS b FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation) GROUP BY n_regionkey")
