@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Units whose paths are remembered at once; the table is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -78,64 +78,70 @@ class Pieces:
         self.singles = singles
         self.unknown = min(scores, default=0.0) - 10
         self.units = re.compile(r" +[^ \n]*|\n|[^ \n]+" if not newline else r" +[^ ]*|[^ ]+") if not crossing else re.compile(r"(?s).+")
-        self.seen: dict[str, array] = {}
+        self.seen: dict[str, bytes] = {}
 
-    def path(self, unit: str) -> array:
-        """Ids of the best path; of equal scores the longer last piece wins."""
+    def path(self, unit: str) -> bytes:
+        """Ids of the best path, as 32-bit numbers; of equal scores the longer last piece wins."""
         # marks of the text itself must not meet the pieces' marks
         text = unit.replace(MARK, "\0").replace(" ", MARK)
         n = len(text)
         best = [0.0] + [-1e300] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        unknown, singles = self.unknown, self.singles
-        done = 0
-
-        def bare(upto: int) -> None:
-            nonlocal done
-            while done < upto:
-                if text[done] not in singles and best[done] + unknown > best[done + 1]:
-                    best[done + 1] = best[done] + unknown
-                    back[done + 1] = (done, -1)
-                done += 1
-
+        starts, pieces = [0] * (n + 1), [-1] * (n + 1)
+        singles = self.singles
+        bare = [k for k in range(n) if text[k] not in singles]
+        waiting = 0
         for end, (size, score, piece) in self.automaton.iter(text):
-            bare(end)
+            while waiting < len(bare) and bare[waiting] < end:
+                self._bare(bare[waiting], best, starts, pieces)
+                waiting += 1
             start = end + 1 - size
-            got = best[start] + score
-            if got > best[end + 1]:
-                best[end + 1] = got
-                back[end + 1] = (start, piece)
-        bare(n)
+            score += best[start]
+            if score > best[end + 1]:
+                best[end + 1] = score
+                starts[end + 1] = start
+                pieces[end + 1] = piece
+        for k in bare[waiting:]:
+            self._bare(k, best, starts, pieces)
         out: list[int] = []
         at = n
         while at:
-            start, piece = back[at]
-            if piece >= 0:
-                out.append(piece)
+            start = starts[at]
+            if pieces[at] >= 0:
+                out.append(pieces[at])
             else:
-                out.extend(self.bytes[b] for b in reversed(unit[start:at].encode()))
+                out.extend([self.bytes[b] for b in reversed(unit[start:at].encode())])
             at = start
         out.reverse()
-        return array("i", out)
+        return array("i", out).tobytes()
+
+    def _bare(self, k: int, best: list[float], starts: list[int], pieces: list[int]) -> None:
+        """Step over a character that is no piece."""
+        score = best[k] + self.unknown
+        if score > best[k + 1]:
+            best[k + 1] = score
+            starts[k + 1] = k
+            pieces[k + 1] = -1
 
-    def encode(self, text: str) -> array:
-        out = array("i")
+    def encode(self, text: str) -> np.ndarray:
         if not text:
-            return out
+            return np.zeros(0, np.int32)
         seen = self.seen
-        for unit in self.units.findall(" " + text):
-            ids = seen.get(unit)
-            if ids is None:
-                ids = self.path(unit)
-                if len(unit) <= 64:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[unit] = ids
-            out.extend(ids)
-        return out
+        units = self.units.findall(" " + text)
+        parts = [seen.get(u) for u in units]
+        if None in parts:
+            for k, ids in enumerate(parts):
+                if ids is None:
+                    unit = units[k]
+                    parts[k] = ids = seen.get(unit) or self.path(unit)
+                    if len(unit) <= 64:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen[unit] = ids
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids: Iterator[int]) -> str:
         raw = self.raw
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
         return b"".join([raw[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
@@ -164,20 +170,20 @@ def _run(df: DataFrame, model_path: str, id_col: str, text_col: str, decode: boo
             at = 0
             texts = b.column(1)
             while at < b.num_rows:
-                flat, ends, chars, digests, same = array("i"), [0], [], [], []
+                flat, ends, chars, digests, same = [], [0], [], [], []
                 start = at
-                while at < b.num_rows and len(flat) < 1 << 20:
+                while at < b.num_rows and ends[-1] < 1 << 20:
                     text = texts[at].as_py() or ""
                     ids = pieces.encode(text)
-                    flat.extend(ids)
-                    ends.append(len(flat))
+                    flat.append(ids)
+                    ends.append(ends[-1] + len(ids))
                     chars.append(len(text))
                     if decode:
                         back = pieces.decode(ids)
                         digests.append(hashlib.sha256(back.encode()).hexdigest())
                         same.append(back == text)
                     at += 1
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if len(flat) else [], pa.int32()))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
                 counts = pa.array(np.diff(ends), pa.int64())
                 columns = {"id": b.column(0).slice(start, at - start), "n_chars": pa.array(chars, pa.int64()), "n_tokens": counts, "ids": ids}
                 if decode:
