@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomic.llm._spark import durable
+
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
@@ -76,19 +78,23 @@ def build_level(keys: DataFrame, count: int, rate: float, salt: int) -> Level:
     return Level(bytes(raw), size, hashes, salt)
 
 
-def build(listed: DataFrame, universe: DataFrame, rate: float = 0.01, salt: int = 0) -> list[Level]:
-    """The cascade's levels for ``listed`` keys over the distinct keys of ``universe`` (column ``key`` each)."""
-    yes = listed.select("key").distinct()
-    no = universe.select("key").distinct().join(yes, "key", "left_anti")
+def build(listed: DataFrame, universe: DataFrame, rate: float = 0.01) -> list[Level]:
+    """The cascade's levels for ``listed`` keys over the keys of ``universe`` (column ``key`` each).
+
+    Each level's errors are written once: the next level is built from them and the one
+    after that is tested on them.
+    """
+    yes = durable(listed.select("key").distinct())
+    no = universe.select("key").join(yes, "key", "left_anti")
     levels: list[Level] = []
     inside, outside = yes, no
     while True:
         count = inside.count()
         if count == 0:
             return levels
-        levels.append(build_level(inside, count, rate if not levels else 0.5, 64 * salt + len(levels)))
+        levels.append(build_level(inside, count, rate if not levels else 0.5, len(levels)))
         # what this level errs on is what the next one has to encode
-        inside, outside = outside.filter(holds(F.col("key"), levels[-1])), inside
+        inside, outside = durable(outside.filter(holds(F.col("key"), levels[-1])).distinct()), inside
         if len(levels) > 60:
             raise RuntimeError("the cascade does not end")
 
@@ -127,34 +133,28 @@ def _candidates(host: Column, path: Column, lengths: list[int]) -> Column:
 def judge(df: DataFrame, rules: tuple = RULES, hosts: tuple = HOSTS, id_col: str = "page_id", url_col: str = "url", rate: float = 0.01) -> DataFrame:
     """Columns page_id, host, path, rule and verdict of every row.
 
-    The longest fitting rule wins, equal lengths by the greater text. A cascade
-    for each verdict holds its rules, one more the hosts blocked on their own.
+    The longest fitting rule wins, equal lengths by the greater text.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path = host_path(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
     lengths = sorted({len(p) for _, _, p in rules})
+    # one cascade holds every list; a key begins with the list that it is asked of
+    listed = spark.createDataFrame([(v[0] + h + p,) for v, h, p in rules] + [("h" + h,) for h in hosts], "key string")
+    fitting = _candidates(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>")
+    alone = _candidates(F.col("host"), F.lit(""), [0])
+    asked = F.flatten(F.array(F.transform(fitting, lambda k: F.concat(F.lit("b"), k)), F.transform(fitting, lambda k: F.concat(F.lit("a"), k)), F.transform(alone, lambda k: F.concat(F.lit("h"), k))))
     places = rows.select("host", F.substring("path", 1, max([0, *lengths])).alias("path")).distinct()
-    lists = [
-        ("block", [h + p for v, h, p in rules if v == "block"], lengths),
-        ("allow", [h + p for v, h, p in rules if v == "allow"], lengths),
-        ("host", list(hosts), [0]),
-    ]
-    tests = {}
-    for salt, (name, keys, lens) in enumerate(lists):
-        if not keys:
-            tests[name] = []
-            continue
-        listed = spark.createDataFrame([(k,) for k in keys], "key string")
-        universe = places.select(F.explode(_candidates(F.col("host"), F.col("path"), lens)).alias("key"))
-        tests[name] = build(listed, universe.distinct(), rate, salt)
-    keys = rows.withColumn("key", _candidates(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>"))
-    graded = F.transform("key", lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), F.when(member(k, tests["block"]), "block").when(member(k, tests["allow"]), "allow").alias("verdict")))
+    levels = build(listed, places.select(F.explode(asked).alias("key")), rate)
+
+    def on(name: str, key: Column) -> Column:
+        return member(F.concat(F.lit(name), key), levels)
+
+    graded = F.transform(fitting, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), F.when(on("b", k), "block").when(on("a", k), "allow").alias("verdict")))
     best = F.array_max(F.filter(graded, lambda g: g["verdict"].isNotNull()))
-    out = keys.withColumn("best", best)
-    own = F.exists(_candidates(F.col("host"), F.lit(""), [0]), lambda k: member(k, tests["host"]))
-    return out.select(
+    own = F.exists(alone, lambda k: on("h", k))
+    return rows.withColumn("best", best).select(
         "page_id",
         "host",
         "path",
