@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathomic.errors import Blocked
-from fathomic.operators.order import INDEX, with_row_index
+from fathomic.operators.order import INDEX, numbered, with_row_index
 
 FUNCTIONS = {"sum": F.sum, "mean": F.avg, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max}
 
@@ -54,12 +54,11 @@ def ranged(df: DataFrame, order: list[str] | None, before: int, after: int, colu
     rows of earlier blocks and the ``after`` first of later ones, as copies.
     """
     columns_in = df.columns
-    ordered = df.orderBy(*order) if order else df
-    numbered = with_row_index(ordered)
+    rows = numbered(df, order) if order else with_row_index(df)
     size = max(4096, 4 * (before + after))
     block = F.floor(F.col(INDEX) / size).cast("long")
     first, last = F.floor(F.greatest(F.col(INDEX) - after, F.lit(0)) / size).cast("long"), F.floor((F.col(INDEX) + before) / size).cast("long")
-    spread = numbered.withColumn("__home", block).withColumn("__block", F.explode(F.sequence(first, last)))
+    spread = rows.withColumn("__home", block).withColumn("__block", F.explode(F.sequence(first, last)))
     spec = W.partitionBy("__block").orderBy(INDEX)
     out = spread.withColumns(columns(spec)).filter("__block = __home")
     return out.select(*columns_in, *[c for c in out.columns if c not in (*columns_in, INDEX, "__home", "__block")])
@@ -79,11 +78,11 @@ def ffill(df: DataFrame, column: str, limit: int | None = None, by: list[str] |
         out = ranged(df, order, limit, 0, lambda spec: {"__filled": F.last(column, ignorenulls=True).over(spec.rowsBetween(-limit, 0))})
         return out.withColumn(column, F.col("__filled")).select(*names)
     # without a limit: fill within blocks, then take the last value of the blocks before
-    numbered = with_row_index(df.orderBy(*order) if order else df)
-    numbered = numbered.withColumn("__block", F.floor(F.col(INDEX) / 65_536).cast("long"))
-    ends = numbered.filter(F.col(column).isNotNull()).groupBy("__block").agg(F.max_by(column, INDEX).alias("__end"))
-    every = numbered.select("__block").distinct().join(ends, "__block", "left")
+    rows = numbered(df, order) if order else with_row_index(df)
+    rows = rows.withColumn("__block", F.floor(F.col(INDEX) / 65_536).cast("long"))
+    ends = rows.filter(F.col(column).isNotNull()).groupBy("__block").agg(F.max_by(column, INDEX).alias("__end"))
+    every = rows.select("__block").distinct().join(ends, "__block", "left")
     # a row for each block of 65,536 rows
     carried = every.withColumn("__carry", F.last("__end", ignorenulls=True).over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1))).select("__block", "__carry")
     inside = F.last(column, ignorenulls=True).over(W.partitionBy("__block").orderBy(INDEX).rowsBetween(W.unboundedPreceding, 0))
-    return numbered.withColumn("__filled", inside).join(carried, "__block", "left").withColumn(column, F.coalesce("__filled", "__carry")).select(*names)
+    return rows.withColumn("__filled", inside).join(carried, "__block", "left").withColumn(column, F.coalesce("__filled", "__carry")).select(*names)

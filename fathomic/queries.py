@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fathomic.functions import scalar as fx
 from fathomic.operators import dedup, picking, quality, reshape, rolling, vectors
+from fathomic.operators.order import numbered
 from fathomic.plans import rewrites
 from fathomic.session import Session
 from fathomic.streaming import changes
@@ -246,7 +247,7 @@ def ffill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("row_numbers", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS row_number FROM orders")
 def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Session(spark).frame(table(spark, sf_dir, "orders").orderBy("o_orderkey")).row_number().select("o_orderkey", "row_number").df
+    return numbered(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "row_number", 1)
 
 
 # Duplicates, picking, reshaping.

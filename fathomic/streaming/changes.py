@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fathomic.errors import Blocked
-from fathomic.operators.order import with_row_index
+from fathomic.operators.order import numbered
 
 SETS = ("append", "upsert")
 REMOVES = ("delete", "retract", "tombstone")
@@ -52,7 +52,7 @@ def late(df: DataFrame, event_time: str, order: list[str], delay: int = 0, by: s
         spec = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
         seen = F.max(event_time).over(spec)
         return df.withColumn("is_late", F.coalesce(F.col(event_time) < seen - F.lit(delay), F.lit(False)))
-    rows = with_row_index(df.orderBy(*order)).withColumn("__block", F.floor(F.col("__row") / 65_536).cast("long"))
+    rows = numbered(df, order).withColumn("__block", F.floor(F.col("__row") / 65_536).cast("long"))
     peaks = rows.groupBy("__block").agg(F.max(event_time).alias("__peak"))
     # a row for each block of 65,536 records
     before = peaks.withColumn("__before", F.max("__peak").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1))).select("__block", "__before")
