@@ -4,27 +4,13 @@ from __future__ import annotations
 
 import gc
 import math
-import re
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomic.durable import durable
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
-
-    A folder of its own is set only where the session names none and runs in one
-    process, as in tests; executors of a cluster would not see it.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fathomic-checkpoint-"))
-    return df.checkpoint(eager=True)
+__all__ = ["bucket_of", "durable", "partitions", "range_bounds", "release", "with_edges"]
 
 
 def partitions(spark: SparkSession) -> int:
