@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathomic.functions import scalar as fx
-from fathomic.operators import dedup, picking, quality, reshape, rolling, vectors
+from fathomic.operators import dedup, picking, quality, reshape, rolling, sketches, vectors
 from fathomic.operators.order import numbered
 from fathomic.plans import rewrites
 from fathomic.session import Session
@@ -450,6 +450,76 @@ def change_group_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.state(_changes(spark, sf_dir)).groupBy("event_type").agg(F.count("*").alias("rows"))
 
 
+# Scenarios.
+
+
+@query("scenario_nested_json", "SELECT event_type, count(*) AS c, count(json_extract_string(props, '$.k')) AS k FROM events GROUP BY 1")
+def scenario_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").alias("k"))
+    return df.groupBy("event_type").agg(F.count("*").alias("c"), F.count("k").alias("k"))
+
+
+_DIRTY = "CASE WHEN event_id % 9 = 0 THEN 'bad' ELSE CAST(user_id AS STRING) END"
+
+
+@query("scenario_clean_cast_filter", f"SELECT event_id, TRY_CAST({_DIRTY} AS BIGINT) AS n FROM events WHERE TRY_CAST({_DIRTY} AS BIGINT) > 10")
+def scenario_clean_cast_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").select("event_id", F.expr(_DIRTY).alias("raw"))
+    return df.select("event_id", fx.try_cast("raw", "string", "bigint").alias("n")).filter("n > 10")
+
+
+@query("scenario_malformed_timestamps", "SELECT count(*) AS n, count(TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'not a time' ELSE CAST(ts AS VARCHAR) END AS TIMESTAMP)) AS valid FROM events")
+def scenario_malformed_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("event_id") % 7 == 0, "not a time").otherwise(F.col("ts").cast("string"))
+    return table(spark, sf_dir, "events").select(raw.try_cast("timestamp").alias("t")).agg(F.count("*").alias("n"), F.count("t").alias("valid"))
+
+
+@query("scenario_null_heavy", "SELECT event_type, count(v) AS seen, CAST(sum(v) AS BIGINT) AS total FROM (SELECT event_type, CASE WHEN event_id % 4 <> 0 THEN user_id END AS v FROM events) GROUP BY 1")
+def scenario_null_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 4 != 0, F.col("user_id")).alias("v"))
+    return df.groupBy("event_type").agg(F.count("v").alias("seen"), F.sum("v").alias("total"))
+
+
+@query("scenario_skewed_join", "SELECT n_name, count(*) AS c FROM (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey % 25 END AS k FROM lineitem) JOIN nation ON k = n_nationkey GROUP BY 1")
+def scenario_skewed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all rows has one key: rows are counted by key before they meet the other side."""
+    key = F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_suppkey") % 25)
+    counted = table(spark, sf_dir, "lineitem").groupBy(key.alias("k")).agg(F.count("*").alias("n"))
+    return counted.join(table(spark, sf_dir, "nation"), F.col("k") == F.col("n_nationkey")).groupBy("n_name").agg(F.sum("n").alias("c"))
+
+
+@query(
+    "scenario_multi_stage",
+    """SELECT n_name, o_orderstatus, count(*) AS c, CAST(sum(q) AS BIGINT) AS q FROM (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY 1) l
+       JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE q > 100 GROUP BY 1, 2""",
+)
+def scenario_multi_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per_order = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("q")).filter("q > 100")
+    orders = per_order.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    named = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return named.groupBy("n_name", "o_orderstatus").agg(F.count("*").alias("c"), F.sum("q").alias("q"))
+
+
+@query("scenario_many_files", "SELECT count(*) AS c, CAST(sum(k) AS BIGINT) AS s FROM (SELECT o_orderkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer)")
+def scenario_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).unionByName(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
+    return both.agg(F.count("*").alias("c"), F.sum("k").alias("s"))
+
+
+@query("scenario_small_change", "SELECT c_custkey AS key, CASE WHEN c_custkey % 100 = 1 THEN 1.0 ELSE c_acctbal END AS balance FROM customer WHERE c_custkey % 100 <> 2")
+def scenario_small_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"))
+    picked = base.filter((F.col("key") % 100).isin(1, 2))
+    delta = picked.select("key", F.when(F.col("key") % 100 == 1, "upsert").otherwise("delete").alias("op"), F.lit(1.0).alias("balance"), F.col("key").alias("sequence"))
+    return changes.hybrid(base, delta)
+
+
+@query("approx_distinct_sketches")
+def approx_distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = sketches.build(table(spark, sf_dir, "events"), "user_id", ["event_type"])
+    return sketches.estimate(sketches.merge(parts))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return pricing_summary(spark, "/root/testdata/sf0.001")
 
