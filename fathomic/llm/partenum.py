@@ -4,19 +4,23 @@ A document's set holds the 64-bit hashes of its distinct runs of words. Document
 sets are one node of the link graph. Sizes fall into bands such that a node can link only
 within its band and the next; each pair of bands has a bound k on the symmetric
 difference of linked sets. There the hash domain is cut into first-level partitions, one
-of which must hold at most one difference; each of these is cut in three, and a
-signature is the content of two of the three. So two linked sets share at least one
-signature: no link is lost, and every candidate is checked against the whole sets.
+of which must hold at most one difference (two, where k is small); each of these is cut
+in three cells (five), and a signature is the content of two of the three (three of the
+five). So two linked sets share at least one signature: no link is lost, and every
+candidate is checked against the whole sets.
 
 More partitions than the bound needs leave some to spare: a node may leave out its
 weakest signatures (those of the fewest hashes) as long as fewer partitions are touched
 than there are to spare. Of two linked nodes, the one that leaves out more still has a
 common signature, which the other one keeps.
 
-Nodes that share a signature form a group. Pairs within a group are never all made: a
-group's first node is held against the others, linked nodes are joined to components,
-and what is left in more than one component goes on with the next node, until groups
-are single components; small remainders are compared across components.
+Nodes that share a signature are candidates of each other; a family is what candidates
+connect. Within a family, pairs are first held against a bound that needs no sets: a node's
+profile counts its hashes in 256 parts of the domain, and the distance of two profiles is
+never above the sets' difference. What passes is checked on the sets. A large family first
+meets a few pivots, a few for each turn, whose links join it to components; only nodes outside the
+largest component are then compared with those of other components, in blocks of
+bounded size, so no task holds a family and linked copies are not paired up.
 
 Defined results: texts without words (null, empty, white space) have size 0, link with
 nothing and are components of their own. Rows with equal ids are separate rows; a
@@ -25,6 +29,8 @@ component's id is its least non-null document id. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +42,13 @@ from pyspark.sql import functions as F
 from fathomic.llm._bytes import U64, mix, shingle_hashes, text_slices, word_hashes
 from fathomic.llm._spark import durable, partitions, release
 
-_SUB = 3
-_STRONG = 4
-_PIVOTS = 3
+_STRONG = 6
+_SMALL_BOUND = 8
+#: Families up to this size are compared at once; larger ones in blocks of about so many nodes.
+_BLOCK = 256
+#: Pivots of a large family in each turn, and turns before what is left is compared.
+_PIVOTS = 2
+_TURNS = 4
 
 
 def sets_of(buf: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
@@ -52,6 +62,12 @@ def node_of(hashes: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes()))))
 
 
+def profile_of(hashes: np.ndarray) -> np.ndarray:
+    """Counts of the hashes in 256 parts of the domain, 255 at most."""
+    counts = np.bincount(((hashes >> U64(16)) & U64(0xFF)).astype(np.int64), minlength=256)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
 class Bands:
     """Size bands of a similarity threshold num / den."""
 
@@ -82,9 +98,14 @@ class Bands:
         return (self.den - self.num) * (high + high * self.den // self.num) // (self.den + self.num)
 
 
-def first_level(k: int) -> int:
-    """Partitions at the first level: enough for one with at most one difference, and some to spare."""
-    return (k + 2) // 2 + 1 + k // 16
+def layout(k: int) -> tuple[int, int, int]:
+    """(partitions of the first level, cells of each, differences that one of them may hold).
+
+    A small bound affords to choose three cells of five, which covers more of a set;
+    a large one takes two of three. Larger bounds also get partitions to spare.
+    """
+    cells, allowed = (5, 2) if k <= _SMALL_BOUND else (3, 1)
+    return k // (allowed + 1) + 1 + (k - _SMALL_BOUND + 31) // 16 * (k > _SMALL_BOUND), cells, min(allowed, k)
 
 
 def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
@@ -92,35 +113,39 @@ def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
     own = bands.band(len(hashes))
     value = mix(hashes, 11)
     low, high = (value & U64(0xFFFFFFFF)).astype(np.float64), (value >> U64(32)).astype(np.float64)
-    place, sub = hashes >> U64(32), ((hashes & U64(0xFFFF)) * U64(_SUB)) >> U64(16)
     out = []
     for band in (own - 1, own):
         if band < 1 or (k := bands.bound(band)) == 0:
             continue
-        n = first_level(k)
-        cell = (((place * U64(n)) >> U64(32)) * U64(_SUB) + sub).astype(np.int64)
-        count = np.bincount(cell, minlength=n * _SUB).reshape(n, _SUB)
+        n, cells, allowed = layout(k)
+        cell = ((((hashes >> U64(32)) * U64(n)) >> U64(32)) * U64(cells) + (((hashes & U64(0xFFFF)) * U64(cells)) >> U64(16))).astype(np.int64)
         # sums of 32-bit halves are exact in doubles
-        lows = np.bincount(cell, weights=low, minlength=n * _SUB).reshape(n, _SUB)
-        highs = np.bincount(cell, weights=high, minlength=n * _SUB).reshape(n, _SUB)
-        count = count.sum(axis=1, keepdims=True) - count
-        lows = (lows.sum(axis=1, keepdims=True) - lows).astype(np.uint64)
-        highs = (highs.sum(axis=1, keepdims=True) - highs).astype(np.uint64)
+        sums = np.stack([np.bincount(cell, weights=w, minlength=n * cells).reshape(n, cells) for w in (None, low, high)])
+        chosen = _subsets(cells, cells - allowed)
+        count, lows, highs = (sums @ chosen.T).astype(np.uint64)
         least = count.min(axis=1)
-        spare = n - k // 2
+        spare = n - k // (allowed + 1)
         strong = next(t for t in range(_STRONG, -1, -1) if int((least < t).sum()) < spare)
-        names = np.arange(n * _SUB, dtype=np.uint64).reshape(n, _SUB) + U64(band << 32)
-        found = mix(lows + (highs << U64(32)) + mix(names, 5) + count.astype(np.uint64), 13)
+        names = np.arange(count.size, dtype=np.uint64).reshape(count.shape) + U64(band << 32)
+        found = mix(lows + (highs << U64(32)) + mix(names, 5) + count, 13)
         out.append(found[count >= strong])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+@functools.cache
+def _subsets(cells: int, size: int) -> np.ndarray:
+    """A row for each choice of ``size`` cells: 1 where a cell is chosen."""
+    rows = [[1.0 if c in pick else 0.0 for c in range(cells)] for pick in itertools.combinations(range(cells), size)]
+    return np.array(rows)
+
+
 def _measure(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, off in text_slices(batches):
             sets = sets_of(buf, off, width)
             nodes = [node_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "key", "n_shingles", "node"])
+            profiles = [profile_of(s).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(profiles, pa.binary())], names=["doc_id", "key", "n_shingles", "node", "profile"])
 
     return run
 
@@ -171,8 +196,8 @@ def _sign(width: int, num: int, den: int, buckets: int):
     return run
 
 
-def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of two nodes or more that share a signature, equal groups once."""
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) from the least node of each signature to its others, each once."""
     sigs, nodes = [], []
     for b in batches:
         for s, n in zip(b.column(1), b.column(2), strict=True):
@@ -182,35 +207,82 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     sig, node = np.concatenate(sigs), np.concatenate(nodes)
     del sigs, nodes
-    order = np.argsort(sig)
+    order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     del order
-    starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    sizes = np.diff(np.append(starts, len(sig)))
-    done: set[int] = set()
-    groups: list[int] = []
-    members: list[np.ndarray] = []
-    count = 0
-    for at, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
-        own = np.unique(node[at : at + n])
-        if len(own) < 2:
-            continue
-        name = node_of(own)
-        if name in done:
-            continue
-        done.add(name)
-        groups.append(name)
-        members.append(own)
-        count += len(own)
-        if count >= 1 << 18:
-            yield _members(groups, members)
-            groups, members, count = [], [], 0
-    if groups:
-        yield _members(groups, members)
+    new = np.append(True, sig[1:] != sig[:-1])
+    starts = np.flatnonzero(new)
+    least = np.repeat(node[starts], np.diff(np.append(starts, len(sig))))
+    other = node != least
+    pairs = np.unique(np.stack([least[other], node[other]], axis=1), axis=0)
+    for k in range(0, len(pairs), 1 << 18):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + (1 << 18), 0]), pa.array(pairs[k : k + (1 << 18), 1])], names=["a", "b"])
+
+
+def near(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which rows (profiles p, sizes n; q, m) may be linked: sizes alike and profiles within the bound."""
+    ok = (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (n > 0)
+    distance = np.abs(p.astype(np.int16) - q.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    return ok & (distance <= (den - num) * (n + m) // (den + num))
+
+
+def _may_link(num: int, den: int):
+    """Pairs (a, b, n, m, p, q) that pass the bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("p", "q"))
+            ok = near(p, b.column("n").to_numpy(), q, b.column("m").to_numpy(), num, den)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def _within(num: int, den: int):
+    """Pairs that pass the bound among the rows of each unit: across its two blocks, or within its one.
+
+    Rows come by unit; at least one node of a pair lies outside the family's largest component.
+    """
+
+    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        _, node, comp, minor, side, n, profile = zip(*rows, strict=True)
+        node, comp, minor, side, n = np.array(node), np.array(comp), np.array(minor), np.array(side), np.array(n)
+        vectors = np.frombuffer(b"".join(profile), np.uint8).reshape(-1, 256)
+        two = side.max() > 0
+        order = np.argsort(n, kind="stable")
+        node, comp, minor, side, n, vectors = (x[order] for x in (node, comp, minor, side, n, vectors))
+        a, b = [], []
+        for i in range(len(node)):
+            # partners are no smaller, and small enough; ties by the order of the rows
+            j = slice(i + 1, int(np.searchsorted(n, n[i] * den // num, side="right")))
+            ok = (comp[j] != comp[i]) & (minor[j] | minor[i])
+            if two:
+                ok &= side[j] != side[i]
+            at = np.flatnonzero(ok) + i + 1
+            if len(at):
+                at = at[near(vectors[i], np.full(len(at), n[i]), vectors[at], n[at], num, den)]
+                a.append(np.full(len(at), node[i]))
+                b.append(node[at])
+            if sum(map(len, b[-64:])) > 1 << 18:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                a, b = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("unit", "node", "comp", "minor", "side", "n", "profile")), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield from pairs(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from pairs(held)
 
-def _members(groups: list[int], members: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(groups, np.int64), [len(m) for m in members])), pa.array(np.concatenate(members))], names=["gid", "node"])
+    return run
 
 
 def _verify(num: int, den: int):
@@ -230,13 +302,12 @@ def _verify(num: int, den: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node of ``edges`` (a, b): the least node that it is connected to.
+    """(node, comp) of every node of ``edges`` (a, b) but the least of each component: the least node it is connected to.
 
-    Alternates the large star and the small star until the edges no longer change.
+    Alternates the large star and the small star until each component is one star.
     """
     edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
-    while True:
+    while not _stars_only(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -244,64 +315,116 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = durable(small.filter("u <> v").distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
-            return edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node")
-        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+
+
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every node with a lesser neighbour has one of these and no greater ones."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def node_components(rows: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
     """(node, comp) of the nodes that link with another; None if there are no candidates.
 
-    ``rows``: doc_id, key, n_shingles, node of each document; ``texts``: doc_id, text.
+    ``rows``: doc_id, key, n_shingles, node, profile of each document; ``texts``: doc_id, text.
     """
     spark = rows.sparkSession
     total = rows.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     # about half a signature for each shingle, two million pairs a bucket at most
     buckets = max(partitions(spark), total // (2 << 21) + 1)
     packed = texts.select("text").mapInArrow(_sign(width, num, den, buckets), "bucket long, sigs binary, nodes binary")
-    groups = durable(packed.repartition(buckets, "bucket").mapInArrow(_group, "gid long, node long").distinct())
+    stars = durable(packed.repartition(buckets, "bucket").mapInArrow(_stars, "a long, b long").distinct())
     del packed
     release(spark)
-    if groups.isEmpty():
+    if stars.isEmpty():
         return None
-    wanted = groups.select("node").distinct()
-    reps = rows.join(wanted, "node").groupBy("node").agg(F.min("key").alias("key"))
-    # one text of each node; texts without an id go by their hash
-    keyed = texts.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))).join(reps.select("key").distinct(), "key", "left_semi").select("text")
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, buf, off in text_slices(batches):
-            sets = [s for s in sets_of(buf, off, width) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
-
-    sets = durable(keyed.mapInArrow(collect, "node long, hashes binary"))
+    family = components(stars)
+    family = family.unionByName(family.select(F.col("comp").alias("node"), "comp").distinct()).withColumnRenamed("comp", "family")
+    facts = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("profile").alias("profile"), F.min("key").alias("key"))
+    members = durable(family.join(facts, "node"))
     release(spark)
+    verify = _Verifier(texts, members, width, num, den)
     links: DataFrame | None = None
     comp: DataFrame | None = None
-    left = groups
-    for turn in range(_PIVOTS + 1):
-        if comp is None:
-            now = left.withColumn("comp", F.col("node"))
-        else:
-            now = left.join(comp, "node", "left").select("gid", "node", F.coalesce("comp", "node").alias("comp"))
-        open_ = now.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("pivot")).filter("lo <> hi")
-        now = durable(now.join(open_.select("gid", "pivot"), "gid"))
+    for turn in range(_TURNS + 1):
+        now = members.select("family", "node") if comp is None else members.select("family", "node").join(comp, "node", "left")
+        now = now.withColumn("comp", F.col("node") if comp is None else F.coalesce("comp", "node"))
+        parts = now.groupBy("family", "comp").agg(F.count("*").alias("m"))
+        open_ = parts.groupBy("family").agg(F.sum("m").alias("size"), F.max_by("comp", F.struct("m", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
+        now = durable(now.join(open_.select("family", "size", "big"), "family"))
         if now.isEmpty():
             break
-        if turn < _PIVOTS:
-            heads = now.filter("node = pivot").select("gid", F.col("comp").alias("own"))
-            pairs = now.filter("node <> pivot").join(heads, "gid").filter("comp <> own").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-            left = now.filter("node <> pivot").select("gid", "node")
-        else:
-            other = now.select("gid", F.col("node").alias("b"), F.col("comp").alias("c"))
-            pairs = now.select("gid", F.col("node").alias("a"), "comp").join(other, "gid").filter("comp < c").select("a", "b")
-        found = durable(_linked(pairs.distinct(), sets, num, den))
-        links = found if links is None else links.unionByName(found)
-        comp = durable(components(links))
+        last = turn == _TURNS
+        # small families are settled in the first turn, all others in the last
+        whole = now if last else now.filter(F.col("size") <= _BLOCK) if turn == 0 else None
+        pairs = None
+        if whole is not None:
+            pairs = _compared(whole, members, num, den)
+        if not last:
+            large = now.filter(F.col("size") > _BLOCK)
+            pivots = large.filter("comp <> big").groupBy("family", F.pmod(F.xxhash64("node"), F.lit(_PIVOTS)).alias("k")).agg(F.min(F.struct("node", "comp")).alias("p"))
+            met = large.join(pivots.select("family", F.col("p.node").alias("pivot"), F.col("p.comp").alias("own")), "family").filter("comp <> own")
+            met = met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+            one = members.select(F.col("node").alias("a"), "n", F.col("profile").alias("p"))
+            two = members.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("profile").alias("q"))
+            met = met.join(one, "a").join(two, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(_may_link(num, den), "a long, b long")
+            pairs = met if pairs is None else pairs.unionByName(met)
+        pairs = durable(pairs.distinct())
+        if not pairs.isEmpty():
+            found = verify(pairs)
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                comp = durable(components(links))
+        release(spark)
+        if turn == 0:
+            members = durable(members.join(now.filter(F.col("size") > _BLOCK).select("family").distinct(), "family", "left_semi"))
+            if members.isEmpty():
+                break
     return comp
 
 
+def _compared(now: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs of different components within families, block by block."""
+    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
+    units = (
+        now.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("node", "comp", (F.col("comp") != F.col("big")).alias("minor"), (F.col("own") > F.col("other")).cast("int").alias("side"), F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
+    )
+    rows = units.join(members.select("node", "n", "profile"), "node")
+    dealt = rows.repartition(partitions(now.sparkSession), "unit").sortWithinPartitions("unit")
+    return dealt.select("unit", "node", "comp", "minor", "side", "n", "profile").mapInArrow(_within(num, den), "a long, b long")
+
+
+class _Verifier:
+    """Checks pairs on whole sets; a node's set is taken from its text once."""
+
+    def __init__(self, texts: DataFrame, members: DataFrame, width: int, num: int, den: int) -> None:
+        self.texts, self.keys = texts.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))), members.select("node", "key")
+        self.width, self.num, self.den = width, num, den
+        self.sets: DataFrame | None = None
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        width = self.width
+
+        def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, buf, off in text_slices(batches):
+                sets = [s for s in sets_of(buf, off, width) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
+
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        keys = wanted.join(self.keys, "node").select("key").distinct()
+        # one plan at every size: keys are never few by rule
+        more = durable(self.texts.join(keys.hint("merge"), "key", "left_semi").select("text").mapInArrow(collect, "node long, hashes binary"))
+        self.sets = more if self.sets is None else self.sets.unionByName(more)
+        release(pairs.sparkSession)
+        return durable(_linked(pairs, self.sets, self.num, self.den))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("hashes").alias("sb"))
@@ -312,7 +435,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     """Columns doc_id, n_shingles and component_id of every row; links need Jaccard >= num / den."""
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = texts.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text")
-    rows = durable(keyed.mapInArrow(_measure(width), "doc_id long, key long, n_shingles long, node long"))
+    rows = durable(keyed.mapInArrow(_measure(width), "doc_id long, key long, n_shingles long, node long, profile binary"))
     comp = node_components(rows, texts, width, num, den)
     # a node's least document id, then the least over the nodes of a component
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
