@@ -75,17 +75,12 @@ def features(buf: np.ndarray, off: np.ndarray, buckets: int) -> tuple[np.ndarray
     return np.concatenate(ids), np.concatenate(rows)
 
 
-def _bags(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows: start offsets, bucket ids and shares that sum to one in each text."""
-    starts, ids, shares = [0], [], []
-    for text in texts:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        found, _ = features(raw, np.array([0, len(raw)]), buckets)
-        own, count = np.unique(found, return_counts=True)
-        ids.append(own)
-        shares.append(count / max(1, count.sum()))
-        starts.append(starts[-1] + len(own))
-    return np.array(starts), np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*shares, np.zeros(0)])
+def bag_of(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct buckets and their shares, which sum to one; at most ``buckets`` of them."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    found, _ = features(raw, np.array([0, len(raw)]), buckets)
+    own, count = np.unique(found, return_counts=True)
+    return own.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -93,12 +88,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], buckets: int = BUCKETS, dim: int = DIM, epochs: int = 6, least_steps: int = 600, rate: float = 2.0, batch: int = 32, reject_below: float = REJECT_BELOW, seed: int = 7) -> Model:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], buckets: int = BUCKETS, dim: int = DIM, epochs: int = 6, least_steps: int = 600, rate: float = 2.0, batch: int = 32, reject_below: float = REJECT_BELOW, seed: int = 7) -> Model:
     """Train on nine tenths of the rows and calibrate on the rest."""
     labels = tuple(sorted(set(langs)))
     rng = np.random.default_rng(seed)
     y = np.array([labels.index(x) for x in langs])
-    starts, ids, shares = _bags(texts, buckets)
+    starts = np.append(0, np.cumsum([len(i) for i, _ in bags]))
+    ids, shares = np.concatenate([i for i, _ in bags]).astype(np.int64), np.concatenate([x for _, x in bags])
     emb = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
     out = rng.normal(0, 0.1, (dim, len(labels)))
     bias = np.zeros(len(labels))
@@ -160,7 +156,8 @@ def probabilities(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, among: Column | None = None) -> Model | None:
     """Fit on at most ``sample`` rows of each language, the least by a hash of the id; None without rows.
 
-    Only ids are ranked over all rows; the texts of the chosen are then fetched.
+    Texts stay on the executors: the driver gets the chosen texts' bags of buckets,
+    whose size doesn't grow with the texts.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -173,11 +170,18 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return None
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * sample / n + 50 / n))) for lang, n in counts.items()])
     near = rows.filter(F.pmod(key, F.lit(1 << 30)) <= share * (1 << 30)).withColumn("key", key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [bag_of(t.as_py()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("lang"), pa.array([i.tobytes() for i, _ in bags], pa.binary()), pa.array([x.tobytes() for _, x in bags], pa.binary())], names=["key", "lang", "ids", "shares"])
+
     taken: list = []
     for lang in sorted(counts):
-        taken += near.filter(F.col("lang") == lang).orderBy("key", "text").limit(sample).collect()
-    taken.sort(key=lambda r: (r["key"], r["lang"], r["text"]))
-    return fit([r["text"] for r in taken], [r["lang"] for r in taken])
+        chosen = near.filter(F.col("lang") == lang).orderBy("key", "text").limit(sample).select("key", "lang", "text")
+        taken += chosen.mapInArrow(run, "key long, lang string, ids binary, shares binary").collect()
+    taken.sort(key=lambda r: (r["key"], r["lang"], r["ids"]))
+    return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in taken], [r["lang"] for r in taken])
 
 
 def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
