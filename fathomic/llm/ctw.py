@@ -39,7 +39,9 @@ from fathomic.llm._spark import durable, partitions, release
 DEPTH = 5
 LEAST = 2.0**-16
 #: Runs held by a task before equal ones are merged, and slots of a task's table of known runs.
-_HELD = 3 << 20
+_HELD = 3 << 19
+#: Bytes of text handled at once.
+_SLICE = 1 << 20
 _SLOTS = 20
 
 
@@ -81,7 +83,7 @@ def _count(depth: int):
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         held = 0
-        for _, buf, off in text_slices(batches):
+        for _, buf, off in text_slices(batches, limit=_SLICE):
             key, _ = runs(buf, off, depth)
             key.sort()
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -136,6 +138,12 @@ class Depth:
     symbols: np.ndarray
     scores: np.ndarray  # log10 probability of the symbol where the path ends here
 
+    def packed(self) -> Depth:
+        """Weights in single precision, and node numbers in 32 bits where they fit."""
+        small = np.int32 if len(self.contexts) < 1 << 23 else np.int64
+        stop, mass, rest = (x.astype(np.float32) for x in (self.stop, self.mass, self.rest))
+        return Depth(self.contexts, self.nodes.astype(small), stop, mass, rest, self.symbols.astype(small), self.scores)
+
 
 class Tree:
     """Trained weights; bounded by the number of kept contexts."""
@@ -165,7 +173,7 @@ class Tree:
             which = np.flatnonzero(level == d)
             if not len(which):
                 continue
-            want = number[d, which] * 256 + symbol[which]
+            want = (number[d, which] * 256 + symbol[which]).astype(deep.symbols.dtype)
             at = np.minimum(np.searchsorted(deep.symbols, want), len(deep.symbols) - 1)
             ok = deep.symbols[at] == want
             out[which[ok]] = deep.scores[at[ok]]
@@ -255,7 +263,7 @@ def build(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int)
             one = ((symbol >> (7 - j)) & 1).astype(bool)
             score += np.log10(np.where(one, stop[at], 1 - stop[at]))
         depths.append(Depth(contexts, nodes, stop, mass, left, number * 256 + symbol, score))
-    return Tree(depths, depth)
+    return Tree([d.packed() for d in depths], depth)
 
 
 def train(df: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = LEAST) -> Tree:
@@ -297,7 +305,7 @@ def _requests(buckets: int):
                 names=["unit", "bucket", "words", "counts"],
             )
 
-        for part, buf, off in text_slices(batches):
+        for part, buf, off in text_slices(batches, limit=_SLICE):
             words, first = word_hashes(buf, off)
             unit = part.column("unit").to_numpy()
             train = ~part.column("held_out").to_numpy(zero_copy_only=False)
@@ -387,9 +395,13 @@ def score(df: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: s
         words: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             units = batch.column("unit").to_numpy()
             cuts = np.flatnonzero(np.append(True, units[1:] != units[:-1])) if len(units) else []
-            for a, b in zip(cuts, [*cuts[1:], len(units)], strict=True):
+            ends_at = [*cuts[1:], len(units)]
+            # few rows at a time, as each step copies its rows
+            steps = [(c, min(c + 1024, b)) for a, b in zip(cuts, ends_at, strict=True) for c in range(a, b, 1024)]
+            for a, b in steps:
                 part = batch.slice(a, b - a)
                 if units[a] != unit:
                     unit, ready, words, counts = units[a], False, [], []
@@ -405,7 +417,7 @@ def score(df: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: s
                     order = np.argsort(w)
                     table = w[order], np.concatenate([*counts, np.zeros(0, np.int64)])[order]
                     words, counts, ready = [], [], True
-                for piece, buf, off in text_slices(iter([docs])):
+                for piece, buf, off in text_slices(iter([docs]), limit=_SLICE):
                     own, first = word_hashes(buf, off)
                     c = table[1][np.searchsorted(table[0], own)] if len(own) else np.zeros(0, np.int64)
                     ahead = np.append(0, np.cumsum(np.log10(c + 0.5) - base))

@@ -105,7 +105,7 @@ def test_tree_equals_reference(spark):
         keys, at = ctw.runs(buf, np.array([0, len(buf)]), depth)
         assert list(at) == [0, len(buf) + 1]
         want = [reference(tuple(data[i - 1 : i - 1 - depth : -1]) if i > depth else tuple(data[depth - 1 :: -1][:depth]), data[i]) for i in range(depth, len(data))]
-        assert tree.score(keys) == pytest.approx(want, abs=1e-9)
+        assert tree.score(keys) == pytest.approx(want, abs=1e-6)
 
 
 def test_pruned_tree_is_a_distribution(spark, docs):
