@@ -6,6 +6,8 @@ and shingles costs a few numpy passes a byte and no Python loop over words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,13 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+def give_back() -> None:
+    """Return memory that a task has freed to the system; workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _powers(n: int) -> np.ndarray:
     out = np.full(n, _BASE, dtype=np.uint64)
     out[0] = 1

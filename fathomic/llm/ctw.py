@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomic.llm._bytes import LOWER, U64, mix, text_slices, word_hashes
+from fathomic.llm._bytes import LOWER, U64, give_back, mix, text_slices, word_hashes
 from fathomic.llm._spark import durable, partitions, release
 
 DEPTH = 5
@@ -98,6 +98,8 @@ def _count(depth: int):
                     keys, counts, held = [], [], 0
         if keys:
             yield _pairs(*_merged(keys, counts))
+        keys, counts = [], []
+        give_back()
 
     return run
 
@@ -324,6 +326,7 @@ def _requests(buckets: int):
                     held[int(u)] = ([w], [c], 0)
         for u in list(held):
             yield flush(u)
+        give_back()
 
     return run
 
@@ -395,7 +398,7 @@ def score(df: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: s
         words: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         for batch in batches:
-            pa.default_memory_pool().release_unused()
+            give_back()
             units = batch.column("unit").to_numpy()
             cuts = np.flatnonzero(np.append(True, units[1:] != units[:-1])) if len(units) else []
             ends_at = [*cuts[1:], len(units)]

@@ -39,16 +39,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomic.llm._bytes import U64, mix, shingle_hashes, text_slices, word_hashes
+from fathomic.llm._bytes import U64, give_back, mix, shingle_hashes, text_slices, word_hashes
 from fathomic.llm._spark import durable, partitions, release
 
 _STRONG = 6
 _SMALL_BOUND = 8
-#: Families up to this size are compared at once; larger ones in blocks of about so many nodes.
-_BLOCK = 256
+#: Families up to this size are compared at once.
+_SMALL = 32
+#: Larger ones are compared in blocks of about so many nodes, once pivots have met them.
+_BLOCK = 1024
 #: Pivots of a large family in each turn, and turns before what is left is compared.
-_PIVOTS = 2
-_TURNS = 4
+_PIVOTS = 3
+_TURNS = 2
 
 
 def sets_of(buf: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
@@ -217,6 +219,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs = np.unique(np.stack([least[other], node[other]], axis=1), axis=0)
     for k in range(0, len(pairs), 1 << 18):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + (1 << 18), 0]), pa.array(pairs[k : k + (1 << 18), 1])], names=["a", "b"])
+    del sig, node, new, starts, least, other, pairs
+    give_back()
 
 
 def near(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -357,12 +361,12 @@ def node_components(rows: DataFrame, texts: DataFrame, width: int, num: int, den
             break
         last = turn == _TURNS
         # small families are settled in the first turn, all others in the last
-        whole = now if last else now.filter(F.col("size") <= _BLOCK) if turn == 0 else None
+        whole = now if last else now.filter(F.col("size") <= _SMALL) if turn == 0 else None
         pairs = None
         if whole is not None:
             pairs = _compared(whole, members, num, den)
         if not last:
-            large = now.filter(F.col("size") > _BLOCK)
+            large = now.filter(F.col("size") > _SMALL)
             pivots = large.filter("comp <> big").groupBy("family", F.pmod(F.xxhash64("node"), F.lit(_PIVOTS)).alias("k")).agg(F.min(F.struct("node", "comp")).alias("p"))
             met = large.join(pivots.select("family", F.col("p.node").alias("pivot"), F.col("p.comp").alias("own")), "family").filter("comp <> own")
             met = met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
@@ -371,6 +375,9 @@ def node_components(rows: DataFrame, texts: DataFrame, width: int, num: int, den
             met = met.join(one, "a").join(two, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(_may_link(num, den), "a long, b long")
             pairs = met if pairs is None else pairs.unionByName(met)
         pairs = durable(pairs.distinct())
+        if turn == 0:
+            # later turns need no node beyond those of large families, so texts are read once
+            verify.fetch(pairs, now.filter(F.col("size") > _SMALL).select("node"))
         if not pairs.isEmpty():
             found = verify(pairs)
             if not found.isEmpty():
@@ -378,7 +385,7 @@ def node_components(rows: DataFrame, texts: DataFrame, width: int, num: int, den
                 comp = durable(components(links))
         release(spark)
         if turn == 0:
-            members = durable(members.join(now.filter(F.col("size") > _BLOCK).select("family").distinct(), "family", "left_semi"))
+            members = durable(members.join(now.filter(F.col("size") > _SMALL).select("family").distinct(), "family", "left_semi"))
             if members.isEmpty():
                 break
     return comp
@@ -399,14 +406,15 @@ def _compared(now: DataFrame, members: DataFrame, num: int, den: int) -> DataFra
 
 
 class _Verifier:
-    """Checks pairs on whole sets; a node's set is taken from its text once."""
+    """Checks pairs on whole sets, which are taken from the texts in one pass."""
 
     def __init__(self, texts: DataFrame, members: DataFrame, width: int, num: int, den: int) -> None:
         self.texts, self.keys = texts.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))), members.select("node", "key")
         self.width, self.num, self.den = width, num, den
         self.sets: DataFrame | None = None
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
+    def fetch(self, pairs: DataFrame, nodes: DataFrame) -> None:
+        """Keep the sets of the pairs' nodes and of ``nodes``."""
         width = self.width
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,14 +422,13 @@ class _Verifier:
                 sets = [s for s in sets_of(buf, off, width) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
 
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(nodes).distinct()
         keys = wanted.join(self.keys, "node").select("key").distinct()
         # one plan at every size: keys are never few by rule
-        more = durable(self.texts.join(keys.hint("merge"), "key", "left_semi").select("text").mapInArrow(collect, "node long, hashes binary"))
-        self.sets = more if self.sets is None else self.sets.unionByName(more)
+        self.sets = durable(self.texts.join(keys.hint("merge"), "key", "left_semi").select("text").mapInArrow(collect, "node long, hashes binary"))
         release(pairs.sparkSession)
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
         return durable(_linked(pairs, self.sets, self.num, self.den))
 
 

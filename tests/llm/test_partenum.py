@@ -73,6 +73,29 @@ def test_chains_of_near_copies(spark):
         assert found(df, width=width, num=num, den=den) == brute(rows, width, num, den), (width, num)
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_large_families(spark, monkeypatch, block):
+    """Families above the size that is compared at once: pivots, then what is left in blocks."""
+    monkeypatch.setattr(pe, "_BLOCK", block)
+    rng = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    rows = []
+    for _ in range(3):
+        base = [rng.choice(vocabulary) for _ in range(130)]
+        for _ in range(150):
+            text = list(base)
+            for _ in range(rng.choice((0, 1, 2, 3, 4, 5, 7))):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+            if rng.random() < 0.3:
+                base = text
+            rows.append((len(rows), " ".join(text)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 4, 85, 100)
+    assert len({c for _, _, c in want}) > 3
+    assert found(df, width=4, num=85, den=100) == want
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(3)
     for num in (85, 70):
