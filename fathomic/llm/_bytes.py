@@ -74,12 +74,14 @@ def spans(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]
         i = j
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row slices of bounded bytes with the bytes and offsets of their text."""
     for batch in batches:
         buf, off = buffers(batch.column(text))
         for i, j in spans(off, limit):
             yield batch.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
+        del buf, off
+        give_back()
 
 
 def word_hashes(buf: np.ndarray, offsets: np.ndarray, strip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomic.llm._bytes import LOWER, U64, buffers, mix, spans
+from fathomic.llm._bytes import LOWER, U64, buffers, give_back, mix, spans
 
 UNKNOWN = "und"
 #: At most so many labelled rows of each language train the classifier, chosen by a hash of the id.
@@ -199,7 +199,7 @@ def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str =
             if m is None:
                 names, scores = [UNKNOWN] * b.num_rows, [0.0] * b.num_rows
             else:
-                for i, j in spans(off, 1 << 20):
+                for i, j in spans(off, 1 << 19):
                     p = probabilities(m, buf[off[i] : off[j]], off[i : j + 1] - off[i])
                     for k in range(j - i):
                         good = lettered[i + k]
@@ -212,6 +212,7 @@ def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str =
                 [*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([n == UNKNOWN or s < below for n, s in zip(names, scores, strict=True)], pa.bool_())],
                 names=[*b.schema.names[:-1], "lang_pred", "score", "rejected"],
             )
+            give_back()
 
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
     rows = df.select(*keep, F.col(text_col).alias("__text"))
