@@ -6,11 +6,13 @@ bytes keeps Krichevsky-Trofimov estimates of its decisions, and context-tree wei
 mixes them over all depths: a node's probability is half its own estimate and half the
 product of its children's. The trained tree gives each byte's code length.
 
-Counts come from every training text: tasks count runs of ``depth + 1`` bytes, which are
-summed by a shuffle. The tree keeps the contexts that hold at least the share ``least``
-of all training symbols, so each depth has at most ``1 / least`` contexts whatever the
-corpus; what a kept context saw in longer contexts that aren't kept is one more child.
-That bound is what makes the tree small enough to be sent to the executors.
+Counts come from every training text and every context is kept, however rare. Units of
+rows (file blocks) ask for their distinct runs of ``depth + 1`` bytes with their training
+counts. A shuffle brings the requests of one context of ``SPLIT`` bytes together: a task
+merges them to the context's part of the model, a table that stays distributed, and the
+subtree under it is weighted there. Only the contexts above, at most 256 of one byte, meet
+on the driver. A second shuffle brings model and requests together again, and the scores
+of a unit's runs come back to the unit and meet its texts there.
 
 The base score needs each token's count over the whole corpus, and the vocabulary has no
 bound. So each unit of rows (a file block) asks once for each of its distinct words; the
@@ -38,6 +40,8 @@ from fathomic.llm._spark import durable, partitions, release
 
 DEPTH = 5
 LEAST = 2.0**-16
+#: Bytes of the contexts that subtrees are dealt out by; what lies above them is bounded by the bytes there are.
+SPLIT = 2
 #: Runs held by a task before equal ones are merged, and slots of a task's table of known runs.
 _HELD = 3 << 19
 #: Bytes of text handled at once.
@@ -179,24 +183,29 @@ class Tree:
             at = np.minimum(np.searchsorted(deep.symbols, want), len(deep.symbols) - 1)
             ok = deep.symbols[at] == want
             out[which[ok]] = deep.scores[at[ok]]
-            for i in which[~ok]:
-                out[i] = self._unseen(d, number[:, i], int(symbol[i]))
+            new = which[~ok]
+            if len(new):
+                out[new] = self._unseen(d, number[:, new], symbol[new])
         return out
 
-    def _unseen(self, level: int, number: np.ndarray, symbol: int) -> float:
-        """A symbol new to its context: nodes that it has not seen leave the choice to the depths above."""
-        total = 0.0
+    def _unseen(self, level: int, number: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Symbols new to their contexts: nodes that those have not seen leave the choice to the depths above."""
+        total = np.zeros(len(symbol))
         for j in range(8):
-            prefix, bit = (1 << j) | (symbol >> (8 - j)), (symbol >> (7 - j)) & 1
-            p = 0.5
+            prefix, bit = (1 << j) | (symbol >> (8 - j)), ((symbol >> (7 - j)) & 1).astype(bool)
+            p = np.full(len(symbol), 0.5)
+            open_ = np.arange(len(symbol))
             for d in range(level, -1, -1):
                 deep = self.depths[d]
-                want = int(number[d]) * 256 + prefix
-                at = int(np.searchsorted(deep.nodes, want))
-                if at < len(deep.nodes) and deep.nodes[at] == want:
-                    p = float(deep.stop[at]) if d == level else float(deep.mass[at] + deep.rest[at] * 0.5)
+                want = number[d, open_] * 256 + prefix[open_]
+                at = np.minimum(np.searchsorted(deep.nodes, want.astype(deep.nodes.dtype)), len(deep.nodes) - 1)
+                ok = deep.nodes[at] == want
+                found = at[ok]
+                p[open_[ok]] = deep.stop[found] if d == level else deep.mass[found] + deep.rest[found] * 0.5
+                open_ = open_[~ok]
+                if not len(open_):
                     break
-            total += math.log10(p if bit else 1 - p)
+            total += np.log10(np.where(bit, p, 1 - p))
         return total
 
 
@@ -218,46 +227,68 @@ def _decisions(context: np.ndarray, symbol: np.ndarray, *counts: np.ndarray) ->
     return key[order], [(np.concatenate(z)[order].astype(float), np.concatenate(o)[order].astype(float)) for z, o in sums]
 
 
-def build(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> Tree:
-    """``entries``: for each depth the (context, symbol, count) arrays of kept contexts, sorted."""
-    if not entries or not len(entries[0][0]):
-        return Tree([], depth)
+def _stages(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], whole: bool) -> list:
+    """Contexts, entries and decision nodes of consecutive depths. ``whole``: all contexts below the last depth are kept."""
     stages = []
-    for d, (context, symbol, n) in enumerate(entries):
+    for k, (context, symbol, n) in enumerate(entries):
         contexts, number = np.unique(context, return_inverse=True)
         other = n.copy()
-        if d < depth and len(entries[d + 1][0]):
-            below, sym, m = entries[d + 1]
+        if k + 1 < len(entries) and len(entries[k + 1][0]):
+            below, sym, m = entries[k + 1]
             at = np.searchsorted(context * 256 + symbol, (below >> 8) * 256 + sym)
             other -= np.bincount(at, weights=m, minlength=len(n)).astype(np.int64)
+        elif whole:
+            other[:] = 0
         nodes, (own, rest) = _decisions(number, symbol, n, other)
         stages.append([contexts, number, symbol, nodes, own, rest])
-    up = [None] * (depth + 2)
-    weight = [None] * (depth + 1)
-    parent = [None] * (depth + 1)
-    for d in range(depth, -1, -1):
-        contexts, _, _, nodes, own, rest = stages[d]
-        if d:
-            above = np.searchsorted(stages[d - 1][0], contexts >> 8)
-            parent[d] = np.searchsorted(stages[d - 1][3], above[nodes >> 8] * 256 + (nodes & 255)) if len(nodes) else np.zeros(0, np.int64)
+    return stages
+
+
+def _above(deep: list, over: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The nodes' numbers among those (contexts ``over``, ``nodes``) of the depth above."""
+    contexts, own = deep
+    return np.searchsorted(nodes, np.searchsorted(over, contexts >> 8)[own >> 8] * 256 + (own & 255)) if len(own) else np.zeros(0, np.int64)
+
+
+def _upward(stages: list, below: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Weighted log probabilities of the first depth's nodes, and each depth's weights.
+
+    ``below``: the sums of what lies under the last depth, by context * 256 + prefix;
+    without it the last depth is the deepest.
+    """
+    weight: list[np.ndarray] = [np.zeros(0)] * len(stages)
+    up = np.zeros(0)
+    for k in range(len(stages) - 1, -1, -1):
+        contexts, _, _, nodes, own, rest = stages[k]
         estimate = _kt(*own)
-        if d == depth:
-            up[d], weight[d] = estimate, np.ones(len(nodes))
+        if k == len(stages) - 1 and below is None:
+            up, weight[k] = estimate, np.ones(len(nodes))
             continue
         children = _kt(*rest)
-        if len(stages[d + 1][3]):
-            children += np.bincount(parent[d + 1], weights=up[d + 1], minlength=len(nodes))
-        up[d] = np.logaddexp(estimate, children) - math.log(2)
-        weight[d] = np.exp(estimate - math.log(2) - up[d])
-    depths = []
-    mass, left = np.zeros(len(stages[0][3])), np.ones(len(stages[0][3]))
-    for d in range(depth + 1):
-        contexts, number, symbol, nodes, own, rest = stages[d]
-        if d:
-            mass, left = depths[-1].mass[parent[d]], depths[-1].rest[parent[d]]
+        if k == len(stages) - 1:
+            if len(nodes):
+                children = children + below[1][np.searchsorted(below[0], contexts[nodes >> 8] * 256 + (nodes & 255))]
+        elif len(stages[k + 1][3]):
+            at = _above([stages[k + 1][0], stages[k + 1][3]], contexts, nodes)
+            children = children + np.bincount(at, weights=up, minlength=len(nodes))
+        up = np.logaddexp(estimate, children) - math.log(2)
+        weight[k] = np.exp(estimate - math.log(2) - up)
+    return up, weight
+
+
+def _downward(stages: list, weight: list[np.ndarray], above: Depth | None) -> list[Depth]:
+    """The depths' probabilities; ``above`` is the depth over the first one."""
+    depths: list[Depth] = []
+    for (contexts, number, symbol, nodes, own, rest), w in zip(stages, weight, strict=True):
+        over = depths[-1] if depths else above
+        if over is None:
+            mass, left = np.zeros(len(nodes)), np.ones(len(nodes))
+        else:
+            at = _above([contexts, nodes], over.contexts, over.nodes)
+            mass, left = over.mass[at], over.rest[at]
         likely = (own[1] + 0.5) / (own[0] + own[1] + 1)
-        mass = mass + left * weight[d] * likely
-        left = left * (1 - weight[d])
+        mass = mass + left * w * likely
+        left = left * (1 - w)
         stop = mass + left * (rest[1] + 0.5) / (rest[0] + rest[1] + 1)
         score = np.zeros(len(symbol))
         for j in range(8):
@@ -265,11 +296,30 @@ def build(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int)
             one = ((symbol >> (7 - j)) & 1).astype(bool)
             score += np.log10(np.where(one, stop[at], 1 - stop[at]))
         depths.append(Depth(contexts, nodes, stop, mass, left, number * 256 + symbol, score))
-    return Tree([d.packed() for d in depths], depth)
+    return depths
+
+
+def build(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> Tree:
+    """``entries``: for each depth the (context, symbol, count) arrays of kept contexts, sorted."""
+    if not entries or not len(entries[0][0]):
+        return Tree([], depth)
+    stages = _stages(entries, False)
+    return Tree([d.packed() for d in _downward(stages, _upward(stages, None)[1], None)], depth)
+
+
+def _entries(run: np.ndarray, n: np.ndarray, first: int, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted (context, symbol, count) arrays of depths ``first`` to ``depth`` of distinct runs of ``depth + 1`` bytes."""
+    out = []
+    for d in range(first, depth + 1):
+        key, m = run, n
+        if len(run):
+            key, m = _merged([((run >> (8 * (depth + 1 - d))) << 8) | (run & 255)], [n])
+        out.append((key >> 8, key & 255, m))
+    return out
 
 
 def train(df: DataFrame, text_col: str = "text", depth: int = DEPTH, least: float = LEAST) -> Tree:
-    """The weighted tree of every text of ``df``."""
+    """The weighted tree of every text of ``df`` in one piece, of contexts with at least the share ``least`` of all symbols."""
     spark = df.sparkSession
     counted = df.select(F.col(text_col).alias("text")).mapInArrow(_count(depth), "run long, n long")
     counted = durable(counted.groupBy("run").agg(F.sum("n").alias("n")))
@@ -288,6 +338,185 @@ def train(df: DataFrame, text_col: str = "text", depth: int = DEPTH, least: floa
     return build(entries, depth)
 
 
+def _low(depth: int, split: int) -> tuple[int, type]:
+    """Bits of a run under its context of ``split`` bytes, and a type that holds them."""
+    bits = 8 * (depth + 1 - split)
+    return bits, np.uint32 if bits <= 32 else np.uint64
+
+
+def _asked_runs(depth: int, split: int):
+    """Rows (unit, context, runs, counts): a unit's distinct runs by context, and how often its training texts have them.
+
+    A unit may ask for a run more than once, as equal runs are merged only while a task holds them.
+    """
+    bits, kind = _low(depth, split)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        size = 0
+
+        def rows(unit: int) -> pa.RecordBatch:
+            k, c = held[unit][0][0], held[unit][1][0]
+            context = k >> bits
+            starts = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            ends = np.append(starts[1:], len(k))
+            low, c = (k & ((1 << bits) - 1)).astype(kind), c.astype(np.uint32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(starts), unit)), pa.array(context[starts]), pa.array([low[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())],
+                names=["unit", "context", "runs", "counts"],
+            )
+
+        def merged() -> int:
+            for u, (k, c) in held.items():
+                k, c = _merged(k, c)
+                held[u] = [k], [c]
+            return sum(len(k[0]) for k, _ in held.values())
+
+        for part, buf, off in text_slices(batches, limit=_SLICE):
+            key, at = runs(buf, off, depth)
+            sizes = np.diff(at)
+            key = (key << 1) | np.repeat((~part.column("held_out").to_numpy(zero_copy_only=False)).astype(np.int64), sizes)
+            unit = part.column("unit").to_numpy()
+            for u in np.unique(unit):
+                own = np.sort(key[np.repeat(unit == u, sizes)])
+                k = own >> 1
+                starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+                ks, cs = held.setdefault(int(u), ([], []))
+                ks.append(k[starts])
+                cs.append(np.add.reduceat(own & 1, starts))
+                size += len(starts)
+            if size >= _HELD:
+                size = merged()
+                if size >= _HELD // 2:
+                    for u in held:
+                        yield rows(u)
+                    held, size = {}, 0
+        merged()
+        for u in held:
+            yield rows(u)
+        held = {}
+        give_back()
+
+    return run
+
+
+def _rows_by_context(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, np.ndarray | None, np.ndarray | None]]:
+    """(context, unit, runs, counts) of rows sorted by context; a None at the end."""
+    for b in batches:
+        for row in zip(b.column("context").to_pylist(), b.column("unit").to_pylist(), b.column("runs"), b.column("counts"), strict=True):
+            yield row[0], row[1], row[2].as_buffer(), row[3].as_buffer()
+    yield None, 0, None, None
+
+
+def _model(depth: int, split: int):
+    """From requests sorted by context: rows (context, runs, counts) of the model, and rows (key, symbols, up) for the depth above.
+
+    A key is a context of ``split - 1`` bytes * 256 and a symbol, or a node's prefix after 2^62.
+    """
+    bits, kind = _low(depth, split)
+    names = ["unit", "context", "runs", "counts", "key", "n", "up"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        held, before = 0, None
+        for context, _, k, c in _rows_by_context(batches):
+            if context != before and keys:
+                k_, c_ = _merged(keys, counts)
+                k_, c_ = k_[c_ > 0], c_[c_ > 0]
+                keys, counts, held = [], [], 0
+                for a in range(0, len(k_), 1 << 20):
+                    part, m = k_[a : a + (1 << 20)], c_[a : a + (1 << 20)]
+                    nothing = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64())]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([before]), pa.array([part.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), *nothing], names=names)
+                if len(k_) and split:
+                    entries = _entries((before << bits) | k_.astype(np.int64), c_, split, depth)
+                    stages = _stages(entries, True)
+                    up, _ = _upward(stages, None)
+                    (_, symbol, n), nodes, over = entries[0], stages[0][3], (before >> 8) * 256
+                    key = np.concatenate([over + symbol, (1 << 62) + over + nodes])
+                    total, ups = np.append(n, np.zeros(len(nodes), np.int64)), np.append(np.zeros(len(n)), up)
+                    empty = [pa.nulls(len(key), x) for x in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*empty, pa.array(key), pa.array(total), pa.array(ups)], names=names)
+            before = context
+            if context is None:
+                break
+            keys.append(np.frombuffer(k, kind))
+            counts.append(np.frombuffer(c, np.uint32).astype(np.int64))
+            held += len(keys[-1])
+            if held >= 2 * _HELD and len(keys) > 1:
+                k_, c_ = _merged(keys, counts)
+                keys, counts, held = [k_], [c_], 0
+        give_back()
+
+    return run
+
+
+def _top(model: DataFrame, depth: int, split: int) -> list[Depth]:
+    """The depths above the dealt subtrees, from at most 256^split symbols and as many nodes."""
+    if not split:
+        return []
+    found = model.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n"), F.sum("up").alias("up")).orderBy("key").toArrow()
+    key, n, up = (found.column(c).to_numpy() for c in ("key", "n", "up"))
+    node = key >= 1 << 62
+    stages = _stages(_entries(key[~node], n[~node], 0, split - 1), True)
+    return _downward(stages, _upward(stages, (key[node] - (1 << 62), up[node]))[1], None)
+
+
+def _run_answers(shared, depth: int, split: int):
+    """From rows sorted by context, the model's first: the requests with scores for counts."""
+    bits, kind = _low(depth, split)
+    names = ["unit", "context", "runs", "scores"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = shared.value
+        before, tree, size = None, None, 0
+        learned: list[tuple[np.ndarray, np.ndarray]] = []
+        k_, scores = np.zeros(0, np.int64), np.zeros(0)
+        out: list[tuple[int, int, bytes, bytes]] = []
+
+        def batch() -> pa.RecordBatch:
+            u, c, r, s = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(c, pa.int64()), pa.array(r, pa.binary()), pa.array(s, pa.binary())], names=names)
+
+        for context, unit, k, c in _rows_by_context(batches):
+            if context is None:
+                break
+            if context != before:
+                before, tree, learned = context, None, []
+            if unit is None:
+                learned.append((np.frombuffer(k, kind), np.frombuffer(c, np.int64)))
+                continue
+            if tree is None:
+                k_ = np.concatenate([np.zeros(0, np.int64), *((context << bits) | x.astype(np.int64) for x, _ in learned)])
+                n = np.concatenate([np.zeros(0, np.int64), *(m for _, m in learned)])
+                order = np.argsort(k_, kind="stable")
+                k_, n, learned = k_[order], n[order], []
+                stages = _stages(_entries(k_, n, split, depth), True)
+                deep = _downward(stages, _upward(stages, None)[1], top[-1] if top else None)
+                tree = Tree([*top, *deep], depth)
+                scores = deep[-1].scores
+            want = (context << bits) | np.frombuffer(k, kind).astype(np.int64)
+            if len(k_):
+                at = np.minimum(np.searchsorted(k_, want), len(k_) - 1)
+                answer = scores[at]
+                new = np.flatnonzero(k_[at] != want)
+                if len(new):
+                    answer[new] = tree.score(want[new])
+            else:
+                answer = tree.score(want)
+            out.append((unit, context, k.to_pybytes(), answer.astype(np.float32).tobytes()))
+            size += len(want)
+            if size >= 1 << 18:
+                yield batch()
+                out, size = [], 0
+        if out:
+            yield batch()
+        give_back()
+
+    return run
+
+
 def _requests(buckets: int):
     """Rows (unit, bucket, words, counts): a unit's distinct words and how often its training texts have them."""
 
@@ -348,10 +577,10 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Known:
-    """Scores of runs met before, in a table of fixed size."""
+    """Scores of a unit's runs; those met before are in a table of fixed size."""
 
-    def __init__(self, tree: Tree) -> None:
-        self.tree = tree
+    def __init__(self, runs: np.ndarray, scores: np.ndarray) -> None:
+        self.runs, self.scores = runs, scores
         self.keys = np.full(1 << _SLOTS, -1, np.int64)
         self.values = np.zeros(1 << _SLOTS)
 
@@ -361,7 +590,7 @@ class _Known:
         new = np.flatnonzero(self.keys[slot] != keys)
         if len(new):
             distinct, where = np.unique(keys[new], return_inverse=True)
-            scores = self.tree.score(distinct)
+            scores = self.scores[np.searchsorted(self.runs, distinct)].astype(float)
             out[new] = scores[where]
             place = (mix(distinct.view(np.uint64), 3) >> U64(64 - _SLOTS)).astype(np.int64)
             self.keys[place] = distinct
@@ -369,7 +598,21 @@ class _Known:
         return out
 
 
-def score(df: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: float = LEAST) -> DataFrame:
+def _scored_runs(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """Rows (unit, context, runs, scores) of the runs of each unit of ``rows``, by the model of those not held out."""
+    spark = rows.sparkSession
+    split = min(SPLIT, depth)
+    kinds = "unit long, context long, runs binary, counts binary"
+    asked = durable(rows.select("unit", "held_out", "text").mapInArrow(_asked_runs(depth, split), kinds))
+    model = durable(asked.repartition(buckets, "context").sortWithinPartitions("context").mapInArrow(_model(depth, split), f"{kinds}, key long, n long, up double"))
+    release(spark)
+    shared = spark.sparkContext.broadcast(_top(model, depth, split))  # at most 256^split symbols
+    learned = model.filter("key is null").select("unit", "context", "runs", "counts")
+    both = asked.unionByName(learned).repartition(buckets, "context").sortWithinPartitions("context", F.col("unit").asc_nulls_first())
+    return both.mapInArrow(_run_answers(shared, depth, split), "unit long, context long, runs binary, scores binary")
+
+
+def score(df: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """Columns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     ``held_out``: which rows of ``df`` nothing is learned from. The model's score
@@ -381,22 +624,22 @@ def score(df: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: s
     # rows of one file block are a unit; where rows come from no file, those of one hash of the id
     unit = F.when(block >= 0, F.xxhash64(F.input_file_name(), block)).otherwise(F.pmod(F.xxhash64(F.col(id_col)), F.lit(4 * buckets)))
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), unit.alias("unit"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    tree = train(rows.filter(~F.col("held_out")), "text", depth, least)
     asked = rows.select("unit", "held_out", "text").mapInArrow(_requests(buckets), "unit long, bucket long, words binary, counts binary")
     answers = durable(asked.repartition(buckets, "bucket").mapInArrow(_answers, "unit long, words binary, counts binary, distinct long, total long"))
     ends = rows.filter(~F.col("held_out")).count()
     sums = answers.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
     tokens, kinds = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
     release(spark)
-    shared = spark.sparkContext.broadcast((tree, tokens, kinds, ends))  # at most 1 / least contexts a depth
+    scored = _scored_runs(rows, depth, buckets)
+    bits, low = _low(depth, min(SPLIT, depth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, tokens, kinds, ends = shared.value
-        known = _Known(tree)
         base = math.log10(tokens + 0.5 * (kinds + 1))
         unit, ready = None, False
         words: list[np.ndarray] = []
         counts: list[np.ndarray] = []
+        asked: list[np.ndarray] = []
+        logs: list[np.ndarray] = []
         for batch in batches:
             give_back()
             units = batch.column("unit").to_numpy()
@@ -407,9 +650,13 @@ def score(df: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: s
             for a, b in steps:
                 part = batch.slice(a, b - a)
                 if units[a] != unit:
-                    unit, ready, words, counts = units[a], False, [], []
+                    unit, ready, words, counts, asked, logs, known = units[a], False, [], [], [], [], None
                 answer = part.filter(pc.is_valid(part.column("words")))
-                for w, c in zip(answer.column("words"), answer.column("counts"), strict=True):
+                for w, c, x in zip(answer.column("words"), answer.column("counts"), answer.column("context").to_pylist(), strict=True):
+                    if x is not None:
+                        asked.append((x << bits) | np.frombuffer(w.as_buffer(), low).astype(np.int64))
+                        logs.append(np.frombuffer(c.as_buffer(), np.float32))
+                        continue
                     words.append(np.frombuffer(w.as_buffer(), np.uint64))
                     counts.append(np.frombuffer(c.as_buffer(), np.int64))
                 docs = part.filter(pc.is_null(part.column("words")))
@@ -420,12 +667,16 @@ def score(df: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: s
                     order = np.argsort(w)
                     table = w[order], np.concatenate([*counts, np.zeros(0, np.int64)])[order]
                     words, counts, ready = [], [], True
+                    r = np.concatenate(asked)
+                    order = np.argsort(r, kind="stable")
+                    known = _Known(r[order], np.concatenate(logs)[order])
+                    asked, logs, r, order = [], [], None, None
                 for piece, buf, off in text_slices(iter([docs]), limit=_SLICE):
                     own, first = word_hashes(buf, off)
                     c = table[1][np.searchsorted(table[0], own)] if len(own) else np.zeros(0, np.int64)
                     ahead = np.append(0, np.cumsum(np.log10(c + 0.5) - base))
                     seen = np.append(0, np.cumsum(c > 0))
-                    key, at = runs(buf, off, tree.depth)
+                    key, at = runs(buf, off, depth)
                     symbols = np.add.reduceat(known(key), at[:-1])
                     n = np.diff(first) + 1
                     yield pa.RecordBatch.from_arrays(
@@ -443,9 +694,11 @@ def score(df: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: s
                         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"],
                     )
 
-    texts = rows.select("unit", "doc_id", "held_out", "text", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("counts"), F.lit(1).alias("part"))
+    texts = rows.select("unit", "doc_id", "held_out", "text", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("long").alias("context"), F.lit(1).alias("part"))
     kind = df.schema[id_col].dataType.simpleString()
-    sent = answers.filter("unit is not null").select("unit", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"), "words", "counts", F.lit(0).alias("part"))
-    dealt = texts.unionByName(sent).repartition(buckets, "unit").sortWithinPartitions("unit", "part")
+    none = [F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text")]
+    sent = answers.filter("unit is not null").select("unit", *none, "words", "counts", F.lit(None).cast("long").alias("context"), F.lit(0).alias("part"))
+    told = scored.select("unit", *none, F.col("runs").alias("words"), F.col("scores").alias("counts"), "context", F.lit(0).alias("part"))
+    dealt = texts.unionByName(sent).unionByName(told).repartition(buckets, "unit").sortWithinPartitions("unit", "part", "context")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return dealt.select("unit", "doc_id", "held_out", "text", "words", "counts").mapInArrow(run, schema)
+    return dealt.select("unit", "doc_id", "held_out", "text", "words", "counts", "context").mapInArrow(run, schema)

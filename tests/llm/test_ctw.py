@@ -117,6 +117,23 @@ def test_pruned_tree_is_a_distribution(spark, docs):
         assert (10 ** tree.score(keys)).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_rare_contexts_are_scored(spark):
+    """No share of the corpus cuts contexts: the scores are those of the tree that keeps all of them."""
+    texts = ["ab" * 60_000, "zq xv wz", "quiz jinx", "zq xv wz", "quiz zq", "", "\u00e9\u00e8 new"]
+    rows = [(i, t, i > 2) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, out boolean")
+    tree = ctw.train(df.filter("not out"), "text", ctw.DEPTH, 0.0)
+    got = {r["doc_id"]: r["score"] for r in ctw.score(df, F.col("out")).collect()}
+    for i, t, _ in rows:
+        buf = np.frombuffer(t.encode(), np.uint8)
+        assert got[i] == pytest.approx(tree.score(ctw.runs(buf, np.array([0, len(buf)]), ctw.DEPTH)[0]).sum(), rel=1e-5)
+    for depth in (0, 1, 2, 3):
+        tree = ctw.train(df.filter("not out"), "text", depth, 0.0)
+        for r in ctw.score(df, F.col("out"), depth=depth).collect():
+            buf = np.frombuffer(texts[r["doc_id"]].encode(), np.uint8)
+            assert r["score"] == pytest.approx(tree.score(ctw.runs(buf, np.array([0, len(buf)]), depth)[0]).sum(), rel=1e-5)
+
+
 def test_awkward_rows(awkward, empty):
     out = ctw.score(awkward, held_out("doc_id", 1)).collect()
     assert len(out) == awkward.count()
