@@ -18,10 +18,11 @@ other columns are ignored.
 from __future__ import annotations
 
 import html as _html
+import math
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,9 @@ _MAIN = frozenset(("article", "main"))
 _WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer masthead menu nav navbar navigation newsletter notice popup promo promoted related share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
+#: Most bits of the masks of lines that an alignment keeps; others are made when needed.
+_MASK_BITS = 1 << 27
+
 
 def _is_chrome(name: str, attributes: str, within_main: bool) -> bool:
     if name in _CHROME:
@@ -149,24 +153,75 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     right = [j for j in range(lead, len(b) - tail) if b[j] in inside_a]
     if not left:
         return out
-    if len(left) * len(right) > 4_000_000:
-        # two very long pages: matching blocks, so the table of lengths stays bounded
-        match = SequenceMatcher(None, [a[i] for i in left], [b[j] for j in right], autojunk=False)
-        return out + [(left[x.a + k], right[x.b + k]) for x in match.get_matching_blocks() for k in range(x.size)]
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for x in range(len(left) - 1, -1, -1):
-        row, below, line = best[x], best[x + 1], a[left[x]]
-        for y in range(len(right) - 1, -1, -1):
-            row[y] = below[y + 1] + 1 if line == b[right[y]] else max(below[y], row[y + 1])
+    return out + [(left[x], right[y]) for x, y in _aligned([a[i] for i in left], [b[j] for j in right])]
+
+
+def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence from rows of bits: a row tells where the lengths for ``a[x:]`` and ``b[y:]`` grow with y.
+
+    Only about a square root of the rows is held: every k-th, and the k rows in use, made again from the one after them.
+    """
+    n, m = len(a), len(b)
+    full = (1 << m) - 1
+    places: dict[str, list[int]] = {}
+    for y, line in enumerate(b):
+        places.setdefault(line, []).append(m - 1 - y)
+    masks: dict[str, int] = {}
+
+    def mask(line: str) -> int:
+        found = masks.get(line)
+        if found is None:
+            bits = np.zeros(m, np.uint8)
+            bits[places[line]] = 1
+            found = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            if (len(masks) + 1) * m <= _MASK_BITS:
+                masks[line] = found
+        return found
+
+    def before(row: int, x: int) -> int:
+        same = row & mask(a[x])
+        return ((row + same) | (row - same)) & full
+
+    step = max(1, math.isqrt(n))
+    kept = {n: full}
+    row = full
+    for x in range(n - 1, -1, -1):
+        row = before(row, x)
+        if x % step == 0:
+            kept[x] = row
+    rows: dict[int, int] = {}
+
+    def at(x: int) -> int:
+        if x not in rows:
+            rows.clear()
+            high = min(n, (x // step + 1) * step)
+            r = kept[high]
+            rows[high] = r
+            for k in range(high - 1, x - 1, -1):
+                r = before(r, k)
+                rows[k] = r
+        return rows[x]
+
+    def length(row: int, y: int) -> int:
+        return (~row & ((1 << (m - y)) - 1)).bit_count()
+
+    out = []
     x = y = 0
-    while x < len(left) and y < len(right):
-        if a[left[x]] == b[right[y]]:
-            out.append((left[x], right[y]))
-            x, y = x + 1, y + 1
-        elif best[x + 1][y] >= best[x][y + 1]:
-            x += 1
-        else:
+    here, below = at(0), at(1) if n else 0
+    now, then = length(here, 0), length(below, 0)
+    while x < n and y < m and now:
+        if a[x] != b[y] and then < now:
+            # the length here is that of the next y, where the row doesn't grow
+            then -= not (below >> (m - 1 - y)) & 1
+            y += 1
+            continue
+        if a[x] == b[y]:
+            out.append((x, y))
             y += 1
+        x += 1
+        if x < n:
+            here, below = below, at(x + 1)
+            now, then = length(here, y), length(below, y)
     return out
 
 

@@ -100,6 +100,15 @@ def test_alignment_is_a_longest_common_subsequence():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs))
 
 
+def test_alignment_of_long_pages_is_a_longest_common_subsequence():
+    rng = random.Random(10)
+    a, b = (["abcdefgh"[rng.randrange(8)] for _ in range(2100)] for _ in range(2))
+    pairs = sorted(pagediff._common(a, b))
+    assert len(pairs) == lcs(a, b)
+    assert all(a[i] == b[j] for i, j in pairs)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs))
+
+
 TEMPLATE = "<html><head><title>t</title></head><body><div>Site name</div>{}<div>All rights &amp; more</div></body></html>"
 
 
