@@ -1,7 +1,9 @@
 """HTML extraction by nearest-URL page differencing.
 
 Pages are ordered by host and URL path, so each page stands beside the pages of its host
-with the nearest paths. The text lines of a page and of its neighbour are aligned by a
+with the nearest paths. Its neighbours are the nearest of them whose lines differ: copies
+side by side (mirrors, repeated rows, one path with several queries) don't delete each
+other, and share the neighbours around them. The text lines of a page and of its neighbour are aligned by a
 longest common subsequence, and shared lines are deleted as the host's template.
 
 Structure settles what no neighbour shows: markup, scripts, forms, menus, headers,
@@ -11,12 +13,13 @@ article of both pages are kept though shared: there they are quoted or repeated
 not template.
 
 Defined results: null or empty html has empty text; a null URL counts as an empty one;
-rows may repeat (a page is never its own neighbour's template if the article is marked);
-other columns are ignored.
+rows may repeat; a host whose pages all have the same lines shows no template, so they
+keep them; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import math
 import re
@@ -24,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomic.llm._spark import bucket_of, partitions, with_edges
+from fathomic.llm._spark import bucket_of, partitions
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -236,53 +239,75 @@ def difference(page: list[tuple[str, bool]], others: list[list[tuple[str, bool]]
     return "\n".join([x for i, (x, m) in enumerate(page) if i not in gone and (m or not marked)])
 
 
+def _digest(found: list[tuple[str, bool]]) -> str:
+    return hashlib.blake2b("\n".join(t for t, _ in found).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.string())
     for b in batches:
         found = [lines(h.as_py() or "") for h in b.column(b.num_columns - 1)]
         flags = pa.array(["".join("1" if m else "0" for _, m in x) for x in found], pa.string())
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([[t for t, _ in x] for x in found], kind), flags], names=[*b.schema.names[:-1], "lines", "marks"])
+        digests = pa.array([_digest(x) for x in found], pa.string())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([[t for t, _ in x] for x in found], kind), flags, digests], names=[*b.schema.names[:-1], "lines", "marks", "digest"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = pa.array([_digest(lines(h.as_py() or "")) for h in b.column(b.num_columns - 1)], pa.string())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], names=[*b.schema.names[:-1], "digest"])
 
 
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket, host and path; each is compared with the rows beside it of its host."""
+    """Rows come by bucket, host and path; runs of equal lines are compared with the rows beside the run of their host."""
     before: list | None = None
-    held: tuple | None = None
+    place: tuple | None = None
+    found: list[str] = []
+    members: list[tuple] = []  # page, url, marks, edge
     out: list[tuple] = []
-
-    def close(following: list | None) -> None:
-        text = difference(held[4], [x for x in (before, following) if x is not None])
-        out.append((held[0], held[1], text, len(text)))
+    size = 0
 
     def batch() -> pa.RecordBatch:
         ids, urls, texts, sizes = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    size = 0
-    for b in batches:
-        for page, url, host, bucket, edge, found, marks in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host", "bucket", "_edge", "lines", "marks")), strict=True):
-            own = [(t, m == "1") for t, m in zip(found, marks, strict=True)]
-            same = held is not None and held[2:4] == (host, bucket)
-            if held is not None and held[5] == 0:
-                close(own if same else None)
-                size += out[-1][3]
-            before = held[4] if same else None
-            held = (page, url, host, bucket, own, edge)
+    def close(following: list | None) -> Iterator[pa.RecordBatch]:
+        nonlocal out, size
+        texts: dict[str, str] = {}
+        for page, url, marks, edge in members:
+            if edge:
+                continue
+            if marks not in texts:
+                texts[marks] = difference(_marked(found, marks), [x for x in (before, following) if x is not None])
+            out.append((page, url, texts[marks], len(texts[marks])))
+            size += len(texts[marks])
             if len(out) >= 2048 or size >= 4 << 20:
                 yield batch()
                 out, size = [], 0
-    if held is not None and held[5] == 0:
-        close(None)
+
+    for b in batches:
+        for page, url, host, bucket, edge, own, marks in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host", "bucket", "_edge", "lines", "marks")), strict=True):
+            same = place == (host, bucket)
+            if not same or own != found:
+                yield from close(_marked(own, marks) if same else None)
+                before = _marked(found, members[-1][2]) if same else None
+                place, found, members = (host, bucket), own, []
+            members.append((page, url, marks, edge))
+    yield from close(None)
     if out:
         yield batch()
 
 
+def _marked(found: list[str], marks: str) -> list[tuple[str, bool]]:
+    return [(t, m == "1") for t, m in zip(found, marks, strict=True)]
+
+
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Columns page_id, url, text and n_chars of every page.
 
     Pages are parsed before they are dealt out, so only text lines are shuffled.
     Buckets are ranges of (host, path) with near equal rows, whatever the hosts'
-    sizes; a bucket also carries the pages just outside it.
+    sizes; a bucket also carries the nearest pages outside it that differ from its ends.
     """
     spark = df.sparkSession
     rest = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)://(.*)", 1)
@@ -292,9 +317,9 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     place = F.concat_ws("\u0001", F.col("host"), F.col("path"))
     bounds = _string_bounds(rows.select(place.alias("place"), "page_id"), 2 * partitions(spark))
     rows = rows.withColumn("bucket", bucket_of(place, bounds, "string"))
-    parsed = rows.select("page_id", "url", "host", "path", "bucket", "html").mapInArrow(_parse, "page_id long, url string, host string, path string, bucket int, lines array<string>, marks string")
+    parsed = rows.select("page_id", "url", "host", "path", "bucket", "html").mapInArrow(_parse, "page_id long, url string, host string, path string, bucket int, lines array<string>, marks string, digest string")
     whole = parsed.withColumn("_edge", F.lit(0)).unionByName(_edges(rows))
-    dealt = whole.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "_edge", "host", "path", "page_id")
+    dealt = whole.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "_edge", "host", "path", "page_id", "digest")
     return dealt.select("page_id", "url", "host", "bucket", "_edge", "lines", "marks").mapInArrow(_pair, "page_id long, url string, text string, n_chars long")
 
 
@@ -314,7 +339,41 @@ def _string_bounds(keys: DataFrame, count: int) -> list[str]:
 
 
 def _edges(rows: DataFrame) -> DataFrame:
-    """The pages just outside each bucket, parsed anew, with their ``_edge``."""
+    """For each bucket's first and last page the nearest of its host outside that has other lines, parsed anew, with ``_edge``.
+
+    At most four keys a bucket are gathered: its first and last page, and the nearest to
+    each that differs from it.
+    """
+    order = ["host", "path", "page_id", "digest"]
+    keys = rows.select("host", "path", "page_id", "bucket", "html").mapInArrow(_digests, "host string, path string, page_id long, bucket int, digest string")
+    key = F.struct(*order)
+    groups = keys.groupBy("bucket", "host", "digest").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    by = Window.partitionBy("bucket")
+    ends: dict[int, list[list]] = {}  # the first two of a bucket, and the last two
+    for side, column in ((0, "lo"), (1, "hi")):
+        sort = F.col(column).asc() if side == 0 else F.col(column).desc()
+        ranked = groups.withColumn("r", F.row_number().over(by.orderBy(sort))).filter("r <= 2")
+        for r in ranked.select("bucket", "r", F.col(column).alias("k")).orderBy("bucket", "r").collect():
+            ends.setdefault(r["bucket"], [[], []])[side].append(r["k"])
+    wanted = []
+    present = sorted(ends)
+    for side, buckets in ((1, present), (0, present[::-1])):
+        # what stands nearest to the next bucket's end on this side, and the one that differs from it
+        last: list = []
+        for b in buckets:
+            own = ends[b][1 - side][0]
+            other = next((k for k in last if k["host"] == own["host"] and k["digest"] != own["digest"]), None)
+            if other is not None and last[0]["host"] == own["host"]:
+                wanted.append((b, -1 if side else 1, *other))
+            mine = ends[b][side]
+            # a bucket of one run: what differs from it is farther back
+            farther = next((k for k in last if (k["host"], k["digest"]) != (mine[0]["host"], mine[0]["digest"])), None)
+            last = mine if len(mine) > 1 or farther is None else [mine[0], farther]
     columns = ["page_id", "url", "host", "path", "bucket", "_edge", "html"]
-    copies = with_edges(rows, "bucket", ["host", "path", "page_id"], previous=True).filter("_edge <> 0").select(columns)
-    return copies.mapInArrow(_parse, "page_id long, url string, host string, path string, bucket int, _edge int, lines array<string>, marks string")
+    kind = "page_id long, url string, host string, path string, bucket int, _edge int, lines array<string>, marks string, digest string"
+    table = rows.sparkSession.createDataFrame(wanted, "nb int, side int, h string, p string, i long, _want string")
+    near = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")) & F.col("page_id").eqNullSafe(F.col("i"))
+    # at most two keys a bucket, so its size is bounded by the bucket count
+    copies = rows.join(F.broadcast(table), near).select("_want", *[F.col("nb").alias(c) if c == "bucket" else F.col("side").alias(c) if c == "_edge" else F.col(c) for c in columns])
+    found = copies.select("_want", *columns).mapInArrow(_parse, f"_want string, {kind}")
+    return found.filter("digest = _want").select("page_id", "url", "host", "path", "bucket", "lines", "marks", "digest", "_edge")

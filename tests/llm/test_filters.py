@@ -125,6 +125,38 @@ def test_differencing_removes_the_hosts_template(spark):
     assert pagediff.extract(df.limit(0)).collect() == []
 
 
+def test_unmarked_copies_keep_their_text(spark):
+    def page(k):
+        return TEMPLATE.format(f"<p>Own text {k}</p><p>More {k}</p>")
+
+    rows = [(1, "http://h.test/a", page(1)), (2, "http://h.test/a?s=2", page(1)), (3, "http://h.test/b", page(3)), (3, "http://h.test/b", page(3)), (None, "http://h.test/b", page(3))]
+    rows += [(10 + k, f"http://mirror.test/{k}", page(7)) for k in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = sorted((r["page_id"] or 0, r["text"]) for r in pagediff.extract(df).collect())
+    one, three = "Own text 1\nMore 1", "Own text 3\nMore 3"
+    assert out[:5] == [(0, three), (1, one), (2, one), (3, three), (3, three)]
+    assert {t for _, t in out[5:]} == {"Site name\nOwn text 7\nMore 7\nAll rights & more"}
+
+
+def test_neighbours_are_the_nearest_pages_that_differ(spark):
+    """Runs of copies longer than a bucket, in hosts of many and of few pages, against a search over all rows."""
+    rng = random.Random(11)
+    rows, k = [], 0
+    for host, sizes in (("a", [3, 1, 150, 2, 1]), ("b", [1]), ("c", [200]), ("d", [1, 90, 1]), ("e", [1] * 60)):
+        for run in sizes:
+            body = "".join(f"<p>line {rng.randrange(6)}</p>" for _ in range(4)) + f"<p>{k}</p>"
+            for _ in range(run):
+                rows.append((k, f"http://{host}.test/{k:06}", TEMPLATE.format(body)))
+                k += 1
+    got = {r["page_id"]: r["text"] for r in pagediff.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    found = [(r[1].split("/")[2], pagediff.lines(r[2])) for r in rows]
+    for i, (host, own) in enumerate(found):
+        sides = (range(i - 1, -1, -1), range(i + 1, len(found)))
+        near = [next((found[j][1] for j in side if found[j] != (host, own)), None) for side in sides]
+        hosts = [next((found[j][0] for j in side if found[j] != (host, own)), None) for side in sides]
+        assert got[i] == pagediff.difference(own, [x for x, h in zip(near, hosts, strict=True) if h == host])
+
+
 def tiles_by_search(item, doc, least):
     """Greedy string tiling by looking at every pair of places."""
     a, b = [False] * len(item), [False] * len(doc)
