@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomic.llm._bytes import U64, give_back, mix, shingle_hashes, text_slices, word_hashes
@@ -147,7 +147,7 @@ def _measure(width: int):
             sets = sets_of(buf, off, width)
             nodes = [node_of(s) if len(s) else None for s in sets]
             profiles = [profile_of(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(profiles, pa.binary())], names=["doc_id", "key", "n_shingles", "node", "profile"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(profiles, pa.binary())], names=["doc_id", "key", "mark", "n_shingles", "node", "profile"])
 
     return run
 
@@ -438,12 +438,22 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(_verify(num, den), "a long, b long")
 
 
+def _mark(id_: F.Column, text: F.Column) -> F.Column:
+    """A number that rows share where id and text are equal."""
+    return F.xxhash64(id_.cast("long").isNull(), id_.cast("long"), text.isNull(), text)
+
+
+def _placed(df: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (doc_id, key, mark, n_shingles, node, profile) of ``df``, and the components of their nodes."""
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keyed = texts.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), _mark(F.col("doc_id"), F.col("text")).alias("mark"), "text")
+    rows = durable(keyed.mapInArrow(_measure(width), "doc_id long, key long, mark long, n_shingles long, node long, profile binary"))
+    return rows, node_components(rows, texts, width, num, den)
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Columns doc_id, n_shingles and component_id of every row; links need Jaccard >= num / den."""
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = texts.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text")
-    rows = durable(keyed.mapInArrow(_measure(width), "doc_id long, key long, n_shingles long, node long, profile binary"))
-    comp = node_components(rows, texts, width, num, den)
+    rows, comp = _placed(df, id_col, text_col, width, num, den)
     # a node's least document id, then the least over the nodes of a component
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     if comp is None:
@@ -456,10 +466,17 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``df`` whose id is their component's; all columns stay, rows without words too.
+    """One row of each component, and every row without words; all columns stay.
 
-    Where rows repeat an id, each of them that carries it stays.
+    It is the row of the least id, a null id being the last. Of rows with equal ids and
+    texts one stays, whatever ids other components have.
     """
-    found = join(df.select(id_col, text_col), id_col, text_col, width, num, den)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("component_id").isNull()).select(F.col("doc_id").alias("__kept")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    rows, comp = _placed(df, id_col, text_col, width, num, den)
+    worded = rows.filter("node is not null").select("node", "doc_id", "mark")
+    placed = worded.withColumn("comp", F.col("node")) if comp is None else worded.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("one"))
+    kept = least.select(F.col("one.mark").alias("__mark"), F.lit(False).alias("__all"))
+    kept = kept.unionByName(rows.filter("node is null").select(F.col("mark").alias("__mark"), F.lit(True).alias("__all")).distinct())
+    found = df.withColumn("__mark", _mark(F.col(id_col), F.col(text_col))).join(kept, "__mark")
+    first = Window.partitionBy("__mark").orderBy(F.xxhash64(*[F.col(c) for c in df.columns if c not in (id_col, text_col) and "map<" not in dict(df.dtypes)[c]] or [F.lit(0)]))
+    return found.withColumn("__place", F.row_number().over(first)).filter("__all OR __place = 1").select(df.columns)

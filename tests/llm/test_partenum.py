@@ -143,6 +143,16 @@ def test_awkward_rows(spark, awkward, empty):
     assert ids == sorted([1, 2, 3, 4, 5, 5, 7, None], key=str)
 
 
+def test_one_row_of_each_component_stays(spark):
+    base = [f"w{k}" for k in range(40)]
+    one, near, two, three = " ".join(base), " ".join([*base, "end"]), "some other text with seven words", "and a third one with eight words here"
+    rows = [(1, one, "a"), (1, one, "a"), (1, one, "b"), (2, near, "c"), (2, two, "d"), (None, near, "e"), (None, three, "f"), (None, three, "f"), (None, "", "g"), (None, "", "g"), (3, None, "h"), (3, None, "h"), (3, two, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    got = sorted(((r["doc_id"], r["text"]) for r in pe.keep_one(df).collect()), key=str)
+    want = [(1, one), (2, two), (None, three), (None, ""), (None, ""), (3, None), (3, None)]
+    assert got == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("size", [1, 2, 5, 6, 100, 10_000])
 def test_bands_cover_every_size(size):
     bands = pe.Bands(85, 100)
