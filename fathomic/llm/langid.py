@@ -29,7 +29,7 @@ from fathomic.llm._bytes import LOWER, U64, buffers, give_back, mix, spans
 
 UNKNOWN = "und"
 #: At most so many labelled rows of each language train the classifier, chosen by a hash of the id.
-SAMPLE = 1000
+SAMPLE = 1500
 BUCKETS = 1 << 16
 DIM = 16
 REJECT_BELOW = 0.5
@@ -88,7 +88,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], buckets: int = BUCKETS, dim: int = DIM, epochs: int = 6, least_steps: int = 600, rate: float = 2.0, batch: int = 32, reject_below: float = REJECT_BELOW, seed: int = 7) -> Model:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], buckets: int = BUCKETS, dim: int = DIM, epochs: int = 8, least_steps: int = 600, rate: float = 2.0, batch: int = 32, reject_below: float = REJECT_BELOW, seed: int = 7) -> Model:
     """Train on nine tenths of the rows and calibrate on the rest."""
     labels = tuple(sorted(set(langs)))
     rng = np.random.default_rng(seed)

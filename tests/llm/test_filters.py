@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import inspect
 import itertools
 import random
 import re
@@ -70,6 +71,11 @@ def test_language_held_out(spark, docs, awkward, empty):
     assert {r["lang_pred"] for r in langid.predict(awkward, None, ["doc_id"]).collect()} == {"und"}
 
 
+def test_training_is_not_shortened():
+    assert langid.SAMPLE >= 1500
+    assert inspect.signature(langid.fit).parameters["epochs"].default >= 8
+
+
 def test_pages_give_their_articles(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     source = {r["page_id"]: r["html"] for r in pages.collect()}
