@@ -12,10 +12,12 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
 
     A folder of its own is set only where the session names none and runs in one
-    process, as in tests; executors of a cluster would not see it.
+    process, as in tests; executors of a cluster would not see it. The files of a
+    checkpoint go once no frame refers to it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
