@@ -14,13 +14,15 @@ weakest signatures (those of the fewest hashes) as long as fewer partitions are
 than there are to spare. Of two linked nodes, the one that leaves out more still has a
 common signature, which the other one keeps.
 
-Nodes that share a signature are candidates of each other; a family is what candidates
-connect. Within a family, pairs are first held against a bound that needs no sets: a node's
-profile counts its hashes in 256 parts of the domain, and the distance of two profiles is
-never above the sets' difference. What passes is checked on the sets. A large family first
-meets a few pivots, a few for each turn, whose links join it to components; only nodes outside the
-largest component are then compared with those of other components, in blocks of
-bounded size, so no task holds a family and linked copies are not paired up.
+The least node of a signature is its centre, and all nodes that share a signature with a
+centre are the centre's star, so two nodes of one signature always meet in a star. Rows
+are (star, node), never pairs. In a star only nodes with a promising partner stay: a
+node's profile counts its hashes in 256 parts of the domain, and the distance of two profiles
+is never above the sets' difference. Then whole sets meet, and only a spanning forest of the
+links found comes out: first each node in the first of its stars, which joins copies to
+their centre; then the stars that still hold several components. A star of too many nodes
+is split before its pairs are compared, by signatures of a second partitioning of the domain; what is
+still too large is compared in blocks, nodes outside its largest component against all.
 
 Defined results: texts without words (null, empty, white space) have size 0, link with
 nothing and are components of their own. Rows with equal ids are separate rows; a
@@ -44,13 +46,9 @@ from fathomic.llm._spark import durable, partitions, release
 
 _STRONG = 6
 _SMALL_BOUND = 8
-#: Families up to this size are compared at once.
-_SMALL = 32
-#: Larger ones are compared in blocks of about so many nodes, once pivots have met them.
+#: Nodes, and hashes of their sets, that are compared in one place.
 _BLOCK = 1024
-#: Pivots of a large family in each turn, and turns before what is left is compared.
-_PIVOTS = 3
-_TURNS = 2
+_HASHES = 1 << 20
 
 
 def sets_of(buf: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
@@ -110,9 +108,11 @@ def layout(k: int) -> tuple[int, int, int]:
     return k // (allowed + 1) + 1 + (k - _SMALL_BOUND + 31) // 16 * (k > _SMALL_BOUND), cells, min(allowed, k)
 
 
-def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """The node's signatures, for the pairs of bands that it is in."""
+def signatures(hashes: np.ndarray, bands: Bands, salt: int = 0) -> np.ndarray:
+    """The node's signatures, for the pairs of bands that it is in; each salt partitions the domain anew."""
     own = bands.band(len(hashes))
+    if salt:
+        hashes = mix(hashes, salt)
     value = mix(hashes, 11)
     low, high = (value & U64(0xFFFFFFFF)).astype(np.float64), (value >> U64(32)).astype(np.float64)
     out = []
@@ -147,55 +147,69 @@ def _measure(width: int):
             sets = sets_of(buf, off, width)
             nodes = [node_of(s) if len(s) else None for s in sets]
             profiles = [profile_of(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(profiles, pa.binary())], names=["doc_id", "key", "mark", "n_shingles", "node", "profile"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(profiles, pa.binary())], names=["doc_id", "mark", "n_shingles", "node", "profile"])
 
     return run
 
 
+def _packed(found: Iterator[tuple[np.ndarray, int]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, sigs, nodes): signatures and nodes of many sets, packed by signature range."""
+    held: list[tuple[np.ndarray, int]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        sig = np.concatenate([s for s, _ in held])
+        node = np.repeat(np.array([n for _, n in held], np.int64), [len(s) for s, _ in held])
+        bucket = ((sig >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        sig, node, bucket = sig[order], node[order], bucket[order]
+        starts = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
+        ends = np.append(starts[1:], len(sig))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[starts], pa.int64()), pa.array([sig[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()), pa.array([node[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())],
+            names=["bucket", "sigs", "nodes"],
+        )
+
+    for sigs, node in found:
+        if len(sigs):
+            held.append((sigs, node))
+            size += len(sigs)
+        if size >= 2 << 20:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
 def _sign(width: int, num: int, den: int, buckets: int):
-    """Rows (bucket, pairs): signatures and nodes of many documents, packed by signature range."""
+    """Packed signatures of texts; copies within a task are signed once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
         bands = Bands(num, den)
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, int]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            sig = np.concatenate([s for s, _ in held])
-            node = np.repeat(np.array([n for _, n in held], np.int64), [len(s) for s, _ in held])
-            bucket = ((sig >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            sig, node, bucket = sig[order], node[order], bucket[order]
-            starts = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
-            ends = np.append(starts[1:], len(sig))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(bucket[starts], pa.int64()), pa.array([sig[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()), pa.array([node[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())],
-                names=["bucket", "sigs", "nodes"],
-            )
-
         for _, buf, off in text_slices(batches):
             for s in sets_of(buf, off, width):
-                if not len(s):
-                    continue
-                node = node_of(s)
-                # copies within a task are signed once
-                if node in seen:
+                if not len(s) or (node := node_of(s)) in seen:
                     continue
                 if len(seen) >= 1 << 20:
                     seen.clear()
                 seen.add(node)
-                found = signatures(s, bands)
-                if len(found):
-                    held.append((found, node))
-                    size += len(found)
-                if size >= 2 << 20:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+                yield signatures(s, bands), node
+
+    return lambda batches: _packed(signed(batches), buckets)
 
-    return run
+
+def _sign_again(num: int, den: int, buckets: int):
+    """Packed signatures of the sets of large stars, by a second partitioning; those of different stars differ."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+        bands = Bands(num, den)
+        for b in batches:
+            for star, node, hashes in zip(b.column("star").to_pylist(), b.column("node").to_pylist(), b.column("hashes"), strict=True):
+                found = signatures(np.frombuffer(hashes.as_buffer(), np.uint64), bands, salt=17)
+                yield mix(found ^ U64(star & 0xFFFFFFFFFFFFFFFF), 19), node
+
+    return lambda batches: _packed(signed(batches), buckets)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +237,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def _members(packed: DataFrame, buckets: int) -> DataFrame:
+    """(star, node): each centre and the nodes that share a signature with it."""
+    edges = packed.repartition(buckets, "bucket").mapInArrow(_stars, "a long, b long").distinct()
+    # the centre itself comes with its edges, so that no second pass over them is needed
+    return edges.select(F.col("a").alias("star"), F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def near(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which rows (profiles p, sizes n; q, m) may be linked: sizes alike and profiles within the bound."""
     ok = (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (n > 0)
@@ -230,77 +251,104 @@ def near(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray, num: int, d
     return ok & (distance <= (den - num) * (n + m) // (den + num))
 
 
-def _may_link(num: int, den: int):
-    """Pairs (a, b, n, m, p, q) that pass the bound."""
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Whole runs of equal ``key`` of rows that come by key, many at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(key).to_numpy()
+        change = np.flatnonzero(keys[1:] != keys[:-1])
+        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        cut = int(change[-1]) + 1 if len(change) else 0
+        if cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _promising(num: int, den: int):
+    """Rows (star, node) of the nodes that have a partner in their star within the bound. Rows come by star."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("p", "q"))
-            ok = near(p, b.column("n").to_numpy(), q, b.column("m").to_numpy(), num, den)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
+        for t in _runs(batches, "star"):
+            star, node, n = (t.column(c).to_numpy() for c in ("star", "node", "n"))
+            profile = np.frombuffer(b"".join(t.column("profile").to_pylist()), np.uint8).reshape(-1, 256)
+            starts = np.flatnonzero(np.append(True, star[1:] != star[:-1]))
+            sizes = np.diff(np.append(starts, len(star)))
+            keep = np.zeros(len(star), bool)
+            twos = starts[sizes == 2]
+            keep[twos] = keep[twos + 1] = near(profile[twos], n[twos], profile[twos + 1], n[twos + 1], num, den)
+            for a, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                order = a + np.argsort(n[a : a + size], kind="stable")
+                m, vectors = n[order], profile[order]
+                # partners are no smaller, and small enough
+                high = np.searchsorted(m, m * den // num, side="right")
+                for i in range(size - 1):
+                    j = slice(i + 1, int(high[i]))
+                    if j.stop > j.start and (ok := near(vectors[i], m[i], vectors[j], m[j], num, den)).any():
+                        keep[order[i]] = True
+                        keep[order[j][ok]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(star[keep]), pa.array(node[keep])], names=["star", "node"])
 
     return run
 
 
-def _within(num: int, den: int):
-    """Pairs that pass the bound among the rows of each unit: across its two blocks, or within its one.
+def links_among(node: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """A forest of links that joins the components of linked nodes.
 
-    Rows come by unit; at least one node of a pair lies outside the family's largest component.
+    Sides 0 and 1 are compared with each other and with side 2, which is also compared
+    within itself. Pairs of one component need no comparison, and components grow as links are found.
     """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    node, side, sets = node[order], side[order], [sets[i] for i in order]
+    size = np.array([len(s) for s in sets])
+    _, comp = np.unique(comp[order], return_inverse=True)
+    starts = np.append(0, np.cumsum(size))
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(values), np.int32)
+    high = np.searchsorted(size, size * den // num, side="right")
+    out = []
+    for i in range(len(node) - 1):
+        j = np.arange(i + 1, high[i])
+        j = j[(comp[j] != comp[i]) & ((side[j] == 2) | (side[j] != side[i])) & (node[j] != node[i])]
+        if not len(j):
+            continue
+        own = ids[starts[i] : starts[i + 1]]
+        mark[own] = 1
+        if 2 * len(j) > j[-1] + 1 - j[0]:
+            first, last = j[0], j[-1] + 1
+            both = np.add.reduceat(mark[ids[starts[first] : starts[last]]], starts[first:last] - starts[first])[j - first]
+        else:
+            both = np.array([int(mark[ids[starts[k] : starts[k + 1]]].sum()) for k in j])
+        mark[own] = 0
+        for k in j[den * both >= num * (size[i] + size[j] - both)]:
+            if comp[k] != comp[i]:
+                out.append((int(node[i]), int(node[k])))
+                comp[comp == comp[k]] = comp[i]
+    return out
+
+
+def _linked(num: int, den: int):
+    """Links (a, b) among the rows of each unit (node, comp, side, hashes). Rows come by unit."""
 
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        _, node, comp, minor, side, n, profile = zip(*rows, strict=True)
-        node, comp, minor, side, n = np.array(node), np.array(comp), np.array(minor), np.array(side), np.array(n)
-        vectors = np.frombuffer(b"".join(profile), np.uint8).reshape(-1, 256)
-        two = side.max() > 0
-        order = np.argsort(n, kind="stable")
-        node, comp, minor, side, n, vectors = (x[order] for x in (node, comp, minor, side, n, vectors))
-        a, b = [], []
-        for i in range(len(node)):
-            # partners are no smaller, and small enough; ties by the order of the rows
-            j = slice(i + 1, int(np.searchsorted(n, n[i] * den // num, side="right")))
-            ok = (comp[j] != comp[i]) & (minor[j] | minor[i])
-            if two:
-                ok &= side[j] != side[i]
-            at = np.flatnonzero(ok) + i + 1
-            if len(at):
-                at = at[near(vectors[i], np.full(len(at), n[i]), vectors[at], n[at], num, den)]
-                a.append(np.full(len(at), node[i]))
-                b.append(node[at])
-            if sum(map(len, b[-64:])) > 1 << 18:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("unit", "node", "comp", "minor", "side", "n", "profile")), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield from pairs(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from pairs(held)
-
-    return run
-
-
-def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for u, v, x, y in zip(*(batch.column(c) for c in ("a", "b", "sa", "sb")), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([p, q]), kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                if den * inter >= num * (len(p) + len(q) - inter):
-                    a.append(u.as_py())
-                    b.append(v.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for t in _runs(batches, "unit"):
+            unit = t.column("unit").to_numpy()
+            node, comp, side = (t.column(c).to_numpy() for c in ("node", "comp", "side"))
+            hashes = t.column("hashes").combine_chunks()
+            starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])).tolist()
+            out = []
+            for a, b in zip(starts, [*starts[1:], len(unit)], strict=True):
+                if b - a > 1:
+                    sets = [np.frombuffer(hashes[k].as_buffer(), np.uint64) for k in range(a, b)]
+                    out += links_among(node[a:b], comp[a:b], side[a:b], sets, num, den)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+            give_back()
 
     return run
 
@@ -328,114 +376,97 @@ def _stars_only(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
+def _open(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``rows`` (star, node, ...) with ``comp``, of the stars that hold several components."""
+    rows = rows.withColumn("comp", F.col("node")) if comp is None else rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = rows.groupBy("star").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("star")
+    return rows.join(several, "star", "left_semi")
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """``rows`` (star, node, n) with the number of blocks of each star."""
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(_BLOCK)), F.ceil(F.sum("n") / F.lit(_HASHES))).cast("int")
+    # a star of two nodes is one block, however long they are
+    return rows.join(rows.groupBy("star").agg(F.when(F.count("*") > 2, blocks).otherwise(1).alias("blocks")), "star")
+
+
+def _units_of_blocks(rows: DataFrame) -> DataFrame:
+    """Units of stars of several blocks: each block of nodes outside the largest component meets each block of all."""
+    shares = rows.groupBy("star", "comp").agg(F.count("*").alias("m"))
+    big = shares.groupBy("star").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), (1 - F.max("m") / F.sum("m")).alias("share"))
+    rows = rows.join(big, "star")
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    few = F.greatest(F.lit(1), F.ceil(F.col("blocks") * F.col("share"))).cast("int")
+    rows = rows.withColumn("few", few).withColumn("own", own)
+    outside = rows.filter("comp <> big").withColumn("mine", F.pmod(F.col("own"), F.col("few"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one = outside.select(F.xxhash64("star", "mine", "other").alias("unit"), "node", "comp", F.lit(0).alias("side"))
+    two = rows.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("few") - 1))).select(F.xxhash64("star", "mine", "own").alias("unit"), "node", "comp", F.lit(1).alias("side"))
+    return one.unionByName(two)
+
+
 def node_components(rows: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
-    """(node, comp) of the nodes that link with another; None if there are no candidates.
+    """(node, comp) of the nodes that link with another; None if there are none.
 
-    ``rows``: doc_id, key, n_shingles, node, profile of each document; ``texts``: doc_id, text.
+    ``rows``: doc_id, mark, n_shingles, node, profile of each document; ``texts``: mark, text.
     """
     spark = rows.sparkSession
     total = rows.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     # about half a signature for each shingle, two million pairs a bucket at most
     buckets = max(partitions(spark), total // (2 << 21) + 1)
     packed = texts.select("text").mapInArrow(_sign(width, num, den, buckets), "bucket long, sigs binary, nodes binary")
-    stars = durable(packed.repartition(buckets, "bucket").mapInArrow(_stars, "a long, b long").distinct())
+    facts = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("profile").alias("profile"), F.min("mark").alias("mark"))
+    members = durable(_members(packed, buckets))
     del packed
     release(spark)
-    if stars.isEmpty():
+    if members.isEmpty():
         return None
-    family = components(stars)
-    family = family.unionByName(family.select(F.col("comp").alias("node"), "comp").distinct()).withColumnRenamed("comp", "family")
-    facts = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("profile").alias("profile"), F.min("key").alias("key"))
-    members = durable(family.join(facts, "node"))
+    members = durable(_sized(members.join(facts, "node")))
+    by_star = members.filter("blocks = 1").select("star", "node", "n", "profile").repartition(partitions(spark), "star").sortWithinPartitions("star")
+    small = by_star.mapInArrow(_promising(num, den), "star long, node long").withColumn("blocks", F.lit(1))
+    chosen = durable(small.unionByName(members.filter("blocks > 1").select("star", "node", "blocks")))
+    sets = _sets(texts, chosen.select("node").distinct().join(members.groupBy("node").agg(F.first("mark").alias("mark")), "node").select("mark").distinct(), width)
+    sizes = members.groupBy("node").agg(F.first("n").alias("n"))
+    del members, by_star, small, facts
     release(spark)
-    verify = _Verifier(texts, members, width, num, den)
-    links: DataFrame | None = None
-    comp: DataFrame | None = None
-    for turn in range(_TURNS + 1):
-        now = members.select("family", "node") if comp is None else members.select("family", "node").join(comp, "node", "left")
-        now = now.withColumn("comp", F.col("node") if comp is None else F.coalesce("comp", "node"))
-        parts = now.groupBy("family", "comp").agg(F.count("*").alias("m"))
-        open_ = parts.groupBy("family").agg(F.sum("m").alias("size"), F.max_by("comp", F.struct("m", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
-        now = durable(now.join(open_.select("family", "size", "big"), "family"))
-        if now.isEmpty():
-            break
-        last = turn == _TURNS
-        # small families are settled in the first turn, all others in the last
-        whole = now if last else now.filter(F.col("size") <= _SMALL) if turn == 0 else None
-        pairs = None
-        if whole is not None:
-            pairs = _compared(whole, members, num, den)
-        if not last:
-            large = now.filter(F.col("size") > _SMALL)
-            pivots = large.filter("comp <> big").groupBy("family", F.pmod(F.xxhash64("node"), F.lit(_PIVOTS)).alias("k")).agg(F.min(F.struct("node", "comp")).alias("p"))
-            met = large.join(pivots.select("family", F.col("p.node").alias("pivot"), F.col("p.comp").alias("own")), "family").filter("comp <> own")
-            met = met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-            one = members.select(F.col("node").alias("a"), "n", F.col("profile").alias("p"))
-            two = members.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("profile").alias("q"))
-            met = met.join(one, "a").join(two, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(_may_link(num, den), "a long, b long")
-            pairs = met if pairs is None else pairs.unionByName(met)
-        pairs = durable(pairs.distinct())
-        if turn == 0:
-            # later turns need no node beyond those of large families, so texts are read once
-            verify.fetch(pairs, now.filter(F.col("size") > _SMALL).select("node"))
-        if not pairs.isEmpty():
-            found = verify(pairs)
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                comp = durable(components(links))
-        release(spark)
-        if turn == 0:
-            members = durable(members.join(now.filter(F.col("size") > _SMALL).select("family").distinct(), "family", "left_semi"))
-            if members.isEmpty():
-                break
-    return comp
-
-
-def _compared(now: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of different components within families, block by block."""
-    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
-    units = (
-        now.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("node", "comp", (F.col("comp") != F.col("big")).alias("minor"), (F.col("own") > F.col("other")).cast("int").alias("side"), F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
-    )
-    rows = units.join(members.select("node", "n", "profile"), "node")
-    dealt = rows.repartition(partitions(now.sparkSession), "unit").sortWithinPartitions("unit")
-    return dealt.select("unit", "node", "comp", "minor", "side", "n", "profile").mapInArrow(_within(num, den), "a long, b long")
-
-
-class _Verifier:
-    """Checks pairs on whole sets, which are taken from the texts in one pass."""
-
-    def __init__(self, texts: DataFrame, members: DataFrame, width: int, num: int, den: int) -> None:
-        self.texts, self.keys = texts.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))), members.select("node", "key")
-        self.width, self.num, self.den = width, num, den
-        self.sets: DataFrame | None = None
-
-    def fetch(self, pairs: DataFrame, nodes: DataFrame) -> None:
-        """Keep the sets of the pairs' nodes and of ``nodes``."""
-        width = self.width
-
-        def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, buf, off in text_slices(batches):
-                sets = [s for s in sets_of(buf, off, width) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
-
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(nodes).distinct()
-        keys = wanted.join(self.keys, "node").select("key").distinct()
-        # one plan at every size: keys are never few by rule
-        self.sets = durable(self.texts.join(keys.hint("merge"), "key", "left_semi").select("text").mapInArrow(collect, "node long, hashes binary"))
-        release(pairs.sparkSession)
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        return durable(_linked(pairs, self.sets, self.num, self.den))
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("hashes").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(_verify(num, den), "a long, b long")
+
+    def found(units: DataFrame) -> DataFrame:
+        dealt = units.join(sets, "node").repartition(partitions(spark), "unit").sortWithinPartitions("unit")
+        return durable(dealt.select("unit", "node", "comp", "side", "hashes").mapInArrow(_linked(num, den), "a long, b long"))
+
+    # each node in the first of its stars, with the star's centre in every part of a large one
+    first = chosen.groupBy("node").agg(F.min_by(F.struct("star", "blocks"), "star").alias("s")).select("node", "s.star", "s.blocks")
+    part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("blocks"))
+    centres = first.filter("node <> star").select("star", "blocks").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = first.filter("node <> star").select("star", "node", part.cast("int").alias("part")).unionByName(centres.select("star", F.col("star").alias("node"), "part"))
+    links = found(units.select(F.xxhash64("star", "part").alias("unit"), "node", F.col("node").alias("comp"), F.lit(2).alias("side")))
+    comp = _joined(links)
+    again = found(_open(chosen.filter("blocks = 1"), comp).select(F.col("star").alias("unit"), "node", "comp", F.lit(2).alias("side")))
+    split = _open(chosen.filter("blocks > 1").select("star", "node"), comp).select("star", "node")
+    resigned = split.join(sets, "node").select("star", "node", "hashes").mapInArrow(_sign_again(num, den, buckets), "bucket long, sigs binary, nodes binary")
+    stars = durable(_sized(_open(_members(resigned, buckets), comp).join(sizes, "node")))
+    rest = stars.filter("blocks = 1").select(F.col("star").alias("unit"), "node", "comp", F.lit(2).alias("side"))
+    last = found(rest.unionByName(_units_of_blocks(stars.filter("blocks > 1"))))
+    more = again.unionByName(last)
+    if more.isEmpty():
+        return comp
+    return _joined(more if comp is None else more.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+
+
+def _joined(links: DataFrame) -> DataFrame | None:
+    return None if links.isEmpty() else durable(components(links))
+
+
+def _sets(texts: DataFrame, marks: DataFrame, width: int) -> DataFrame:
+    """(node, hashes) of the texts of ``marks``, each node once."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, buf, off in text_slices(batches):
+            sets = {node_of(s): s for s in sets_of(buf, off, width) if len(s)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["node", "hashes"])
+
+    # repeated rows share a mark; one plan at every size: marks are never few by rule
+    wanted = texts.join(marks.hint("merge"), "mark", "left_semi").select("text").mapInArrow(collect, "node long, hashes binary")
+    return durable(wanted.groupBy("node").agg(F.first("hashes").alias("hashes")))
 
 
 def _mark(id_: F.Column, text: F.Column) -> F.Column:
@@ -444,11 +475,11 @@ def _mark(id_: F.Column, text: F.Column) -> F.Column:
 
 
 def _placed(df: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (doc_id, key, mark, n_shingles, node, profile) of ``df``, and the components of their nodes."""
+    """Rows (doc_id, mark, n_shingles, node, profile) of ``df``, and the components of their nodes."""
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = texts.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), _mark(F.col("doc_id"), F.col("text")).alias("mark"), "text")
-    rows = durable(keyed.mapInArrow(_measure(width), "doc_id long, key long, mark long, n_shingles long, node long, profile binary"))
-    return rows, node_components(rows, texts, width, num, den)
+    texts = texts.withColumn("mark", _mark(F.col("doc_id"), F.col("text"))).select("doc_id", "mark", "text")
+    rows = durable(texts.mapInArrow(_measure(width), "doc_id long, mark long, n_shingles long, node long, profile binary"))
+    return rows, node_components(rows, texts.select("mark", "text"), width, num, den)
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
