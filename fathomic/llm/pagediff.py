@@ -1,16 +1,23 @@
 """HTML extraction by nearest-URL page differencing.
 
-Pages are ordered by host and URL path, so each page stands beside the pages of its host
-with the nearest paths. Its neighbours are the nearest of them whose lines differ: copies
-side by side (mirrors, repeated rows, one path with several queries) don't delete each
-other, and share the neighbours around them. The text lines of a page and of its neighbour are aligned by a
-longest common subsequence, and shared lines are deleted as the host's template.
+Pages are ordered by host and URL path, so each page stands between the pages of its host
+with the nearest paths. Its neighbours are the nearest of them, one on each side, whose
+lines differ: copies side by side (mirrors, repeated rows, one path with several queries)
+don't delete each other, and share the neighbours around them. The text lines of a page and
+of its neighbour are aligned by a longest common subsequence, and shared lines are deleted
+as the host's template.
+
+Two guards keep content that pages merely repeat. A neighbour that shares 0.8 or more of
+the characters of both pages is a near copy and shows no template. And a line inside the
+article that a page marks goes only where both neighbours share it inside theirs and it
+stands in the run of such lines that opens or closes the article, where templates put
+their lines; in the midst of an article, shared lines are quoted or repeated content.
 
 Structure settles what no neighbour shows: markup, scripts, forms, menus, headers,
 footers, sidebars, adverts, notices and reader comments never become lines, and where a
-page marks its article, lines outside it are left out. Lines that lie inside the marked
-article of both pages are kept though shared: there they are quoted or repeated content,
-not template.
+page marks its article, lines outside it are left out. Names of classes are split into
+words for that outside an article; within one, only a whole name counts. Tags and
+attributes are read by the tokenizer rules of the HTML standard.
 
 Defined results: null or empty html has empty text; a null URL counts as an empty one;
 rows may repeat; a host whose pages all have the same lines shows no template, so they
@@ -19,8 +26,10 @@ keep them; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as _html
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -30,21 +39,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomic.llm._spark import bucket_of, partitions
+from fathomic.llm._spark import bucket_of, durable, partitions
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# Comments, tags with their attributes, and what the standard calls bogus comments.
+_TOKEN = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))"""
+    r"""|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+)*+)(?:>|\Z)"""
+    r"""|<[!?/][^>]*(?:>|\Z)""",
+    re.DOTALL,
+)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)|'([^']*)|([^\s>"'][^\s>]*))?["']?)?""")
+_UNQUOTED_SLASH = re.compile(r"""=\s*[^\s>"'][^\s>]*/\Z""")
 
 # Elements by their part in a page.
-_BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul caption".split())
-_RAW = frozenset("script style noscript template iframe textarea title svg math object select noembed noframes xmp".split())
-_CHROME = frozenset("nav header footer aside form dialog menu button fieldset head".split())
+_BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul caption".split())
+_RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+_CHROME = frozenset("nav header footer aside form dialog menu button fieldset select noscript template object svg math".split())
+_FOREIGN = frozenset(("svg", "math"))
+#: HTML elements that end an open svg or math element.
+_BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article section main nav footer header aside".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_ENDS_P = _BLOCKS - frozenset(("body", "html", "title"))
+_UNSTACKED = frozenset(("html", "head", "body"))
+_ENDS_P = _BLOCKS - _UNSTACKED - frozenset(("title",))
+_REPEATED = frozenset("p li dd dt tr td th option".split())
 _MAIN = frozenset(("article", "main"))
 _WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer masthead menu nav navbar navigation newsletter notice popup promo promoted related share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
+#: Share of the characters of both pages from which neighbours are near copies.
+_NEAR_COPY = 0.8
+#: Bytes of html that a bucket is to hold.
+_BUCKET_BYTES = 16 << 20
+_LINES = "lines array<string>, marks string, digest string"
 #: Most bits of the masks of lines that an alignment keeps; others are made when needed.
 _MASK_BITS = 1 << 27
 
@@ -52,7 +78,7 @@ _MASK_BITS = 1 << 27
 def _is_chrome(name: str, attributes: str, within_main: bool) -> bool:
     if name in _CHROME:
         return True
-    if not attributes or name in _MAIN or name in ("body", "html"):
+    if not attributes or name in _MAIN:
         return False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
@@ -60,7 +86,7 @@ def _is_chrome(name: str, attributes: str, within_main: bool) -> bool:
             return True
         if key == "role" and value in _ROLES:
             return True
-        if key in ("class", "id") and any(w in _WORDS for w in re.split(r"[^a-z]+", value)):
+        if key in ("class", "id") and any(w in _WORDS for w in (value.split() if within_main else re.split(r"[^a-z]+", value))):
             return True
     return False
 
@@ -70,70 +96,82 @@ def lines(page: str) -> list[tuple[str, bool]]:
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, chrome, main
+    places: dict[str, list[int]] = {}  # where each name is open
+    blocks: list[int] = []  # where blocks and chrome are open
     chrome = main = 0
     at = 0
 
+    def add(piece: str) -> None:
+        if not chrome:
+            parts.append(_html.unescape(piece) if "&" in piece else piece)
+
     def flush() -> None:
         if parts:
-            text = " ".join(_html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             parts.clear()
             if text:
                 out.append((text, main > 0))
 
-    def pop() -> None:
+    def pop_to(depth: int) -> None:
         nonlocal chrome, main
-        _, c, m = stack.pop()
-        chrome -= c
-        main -= m
+        while len(stack) > depth:
+            name, c, m = stack.pop()
+            places[name].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+            chrome -= c
+            main -= m
 
     n = len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            if not chrome:
-                parts.append(page[at:])
+            add(page[at:])
             break
-        if m.start() > at and not chrome:
-            parts.append(page[at : m.start()])
+        if m.start() > at:
+            add(page[at : m.start()])
         at = m.end()
         name = m.group(2)
         if name is None:
             continue
         name = name.lower()
-        if m.group(1):
+        if m.group(1) and name != "br":
             if name in _BLOCKS:
                 flush()
-            if any(x[0] == name for x in stack):
-                while stack[-1][0] != name:
-                    pop()
-                pop()
+            open_ = places.get(name)
+            # an end tag of a phrase ends no block above it
+            if open_ and (name in _BLOCKS or name in _CHROME or not blocks or blocks[-1] <= open_[-1]):
+                pop_to(open_[-1])
             continue
         attributes = m.group(3)
+        if name in _BREAKS_OUT and chrome:
+            foreign = max((places[x][-1] for x in _FOREIGN if places.get(x)), default=-1)
+            if foreign >= 0:
+                pop_to(foreign)
         if name in _RAW:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.IGNORECASE).search(page, at)
-            at = close.end()
+            at = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.IGNORECASE).search(page, at).end()
             if name == "title":
                 flush()
             continue
         if name in _BLOCKS:
             flush()
         if name == "br":
-            if not chrome:
-                parts.append(" ")
+            add(" ")
             continue
-        if name in _VOID or attributes.rstrip().endswith("/"):
+        if name in _VOID or name in _UNSTACKED:
             continue
-        if name in _ENDS_P and stack:
+        if name in _ENDS_P and blocks:
             # an open paragraph, or an open item of the same sort, ends here
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or (stack[k][0] == name and name in ("li", "dd", "dt", "tr", "td", "th", "option")):
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in _BLOCKS:
-                    break
+            last = stack[blocks[-1]][0]
+            if last == "p" or (last == name and name in _REPEATED):
+                pop_to(blocks[-1])
         c = _is_chrome(name, attributes, main > 0)
+        if c and attributes.endswith("/") and not _UNQUOTED_SLASH.search(attributes):
+            continue
         m_ = name in _MAIN or bool(attributes and re.search(r"role\s*=\s*[\"']?(?:main|article)\b", attributes, re.IGNORECASE))
+        places.setdefault(name, []).append(len(stack))
+        if c or name in _BLOCKS:
+            blocks.append(len(stack))
         stack.append((name, c, m_))
         chrome += c
         main += m_
@@ -229,13 +267,22 @@ def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def difference(page: list[tuple[str, bool]], others: list[list[tuple[str, bool]]]) -> str:
-    """The page's text without the lines it shares with its neighbours."""
+    """The page's text without the lines it shares with its neighbours, of which there are two at most."""
     gone: set[int] = set()
+    inside: list[set[int]] = []
+    size = sum(len(x) for x, _ in page)
     for other in others:
-        for i, j in _common([x for x, _ in page], [x for x, _ in other]):
-            if not (page[i][1] and other[j][1]):
-                gone.add(i)
-    marked = any(m for _, m in page)
+        pairs = _common([x for x, _ in page], [x for x, _ in other])
+        shared = sum(len(page[i][0]) for i, _ in pairs)
+        if shared >= _NEAR_COPY * max(size, sum(len(x) for x, _ in other)):
+            continue
+        inside.append({i for i, j in pairs if page[i][1] and other[j][1]})
+        gone |= {i for i, j in pairs if not (page[i][1] and other[j][1])}
+    marked = [i for i, (_, m) in enumerate(page) if m]
+    if len(inside) == 2:
+        both = inside[0] & inside[1]
+        lead = itertools.takewhile(both.__contains__, marked)
+        gone.update(lead, itertools.takewhile(both.__contains__, reversed(marked)))
     return "\n".join([x for i, (x, m) in enumerate(page) if i not in gone and (m or not marked)])
 
 
@@ -252,12 +299,6 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([[t for t, _ in x] for x in found], kind), flags, digests], names=[*b.schema.names[:-1], "lines", "marks", "digest"])
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = pa.array([_digest(lines(h.as_py() or "")) for h in b.column(b.num_columns - 1)], pa.string())
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], names=[*b.schema.names[:-1], "digest"])
-
-
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by bucket, host and path; runs of equal lines are compared with the rows beside the run of their host."""
     before: list | None = None
@@ -315,20 +356,21 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
     place = F.concat_ws("\u0001", F.col("host"), F.col("path"))
-    bounds = _string_bounds(rows.select(place.alias("place"), "page_id"), 2 * partitions(spark))
+    sized = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")).first()
+    count = max(2 * partitions(spark), math.ceil((sized["bytes"] or 0) / _BUCKET_BYTES))
+    bounds = _string_bounds(rows.select(place.alias("place"), "page_id"), sized["n"], count)
     rows = rows.withColumn("bucket", bucket_of(place, bounds, "string"))
-    parsed = rows.select("page_id", "url", "host", "path", "bucket", "html").mapInArrow(_parse, "page_id long, url string, host string, path string, bucket int, lines array<string>, marks string, digest string")
+    parsed = rows.select("page_id", "url", "host", "path", "bucket", "html").mapInArrow(_parse, f"page_id long, url string, host string, path string, bucket int, {_LINES}")
     whole = parsed.withColumn("_edge", F.lit(0)).unionByName(_edges(rows))
-    dealt = whole.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "_edge", "host", "path", "page_id", "digest")
+    dealt = whole.repartition(max(partitions(spark), count // 2), "bucket").sortWithinPartitions("bucket", "_edge", "host", "path", "page_id", "digest")
     return dealt.select("page_id", "url", "host", "bucket", "_edge", "lines", "marks").mapInArrow(_pair, "page_id long, url string, text string, n_chars long")
 
 
-def _string_bounds(keys: DataFrame, count: int) -> list[str]:
+def _string_bounds(keys: DataFrame, total: int, count: int) -> list[str]:
     """Bounds of ``place`` by the row counts of its hashed sample; exact ordering doesn't depend on them.
 
     The sample only sets where runs are cut; it holds at most about 64 keys a run.
     """
-    total = keys.count()
     if total < 2 or count < 2:
         return []
     wanted = 64 * count
@@ -339,22 +381,42 @@ def _string_bounds(keys: DataFrame, count: int) -> list[str]:
 
 
 def _edges(rows: DataFrame) -> DataFrame:
-    """For each bucket's first and last page the nearest of its host outside that has other lines, parsed anew, with ``_edge``.
+    """For each bucket's first and last page the nearest of its host outside that has other lines, with ``_edge``.
 
-    At most four keys a bucket are gathered: its first and last page, and the nearest to
-    each that differs from it.
+    Only pages at the ends of a bucket are parsed for it: a few of different html, more
+    where all of these have the same lines. A bucket sends its first and last page's place,
+    and the nearest to each that differs from it, to the driver.
     """
-    order = ["host", "path", "page_id", "digest"]
-    keys = rows.select("host", "path", "page_id", "bucket", "html").mapInArrow(_digests, "host string, path string, page_id long, bucket int, digest string")
-    key = F.struct(*order)
-    groups = keys.groupBy("bucket", "host", "digest").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    spark = rows.sparkSession
+    columns = ["page_id", "url", "host", "path", "bucket"]
+    rows = rows.withColumn("raw", F.xxhash64("html"))
+    key = F.struct("host", "path", "page_id", "raw")
+    groups = durable(rows.groupBy("bucket", "host", "raw").agg(F.min(key).alias("lo"), F.max(key).alias("hi")))
     by = Window.partitionBy("bucket")
-    ends: dict[int, list[list]] = {}  # the first two of a bucket, and the last two
-    for side, column in ((0, "lo"), (1, "hi")):
-        sort = F.col(column).asc() if side == 0 else F.col(column).desc()
-        ranked = groups.withColumn("r", F.row_number().over(by.orderBy(sort))).filter("r <= 2")
-        for r in ranked.select("bucket", "r", F.col(column).alias("k")).orderBy("bucket", "r").collect():
-            ends.setdefault(r["bucket"], [[], []])[side].append(r["k"])
+    ranked = groups.withColumn("first", F.row_number().over(by.orderBy(F.col("lo").asc()))).withColumn("last", F.row_number().over(by.orderBy(F.col("hi").desc())))
+    depth, open_ = 4, None
+    ends: dict[int, list[list]] = {}  # the first two of a bucket whose lines differ, and the last two
+    tables: list[DataFrame] = []
+    while open_ is None or open_:
+        near = ranked if open_ is None else ranked.filter(F.col("bucket").isin(sorted(open_)))
+        near = near.select("bucket", "first", "last", "lo", "hi").filter(f"first <= {depth} OR last <= {depth}")
+        keys = near.select("bucket", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("first").alias("r"), F.col("lo").alias("k")), F.struct(F.lit(1).alias("side"), F.col("last").alias("r"), F.col("hi").alias("k")))).alias("e")).filter(f"e.r <= {depth}")
+        keys = keys.select(F.col("bucket").alias("b"), "e.side", "e.r", F.col("e.k.host").alias("h"), F.col("e.k.path").alias("p"), F.col("e.k.page_id").alias("i"), F.col("e.k.raw").alias("x"))
+        same = F.col("bucket").eqNullSafe(F.col("b")) & F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")) & F.col("page_id").eqNullSafe(F.col("i")) & (F.col("raw") == F.col("x"))
+        # a few keys a bucket, so the size is bounded by the number of buckets
+        copies = rows.join(F.broadcast(keys), same).select("side", "r", *columns, "html")
+        table = durable(copies.mapInArrow(_parse, f"side int, r int, page_id long, url string, host string, path string, bucket int, {_LINES}").dropDuplicates(["side", "r", "bucket"]))
+        tables.append(table)
+        found: dict[int, list[list]] = {}
+        for r in sorted(table.select("side", "r", "host", "path", "page_id", "bucket", "digest").collect(), key=lambda r: (r["bucket"], r["side"], r["r"])):
+            found.setdefault(r["bucket"], [[], []])[r["side"]].append(r)
+        open_ = set()
+        for b, sides in found.items():
+            firsts = [[s[0], *[x for x in s if (x["host"], x["digest"]) != (s[0]["host"], s[0]["digest"])][:1]] for s in sides]
+            ends[b] = firsts
+            if any(len(f) < 2 and len(s) == depth for f, s in zip(firsts, sides, strict=True)):
+                open_.add(b)
+        depth *= 8
     wanted = []
     present = sorted(ends)
     for side, buckets in ((1, present), (0, present[::-1])):
@@ -364,16 +426,12 @@ def _edges(rows: DataFrame) -> DataFrame:
             own = ends[b][1 - side][0]
             other = next((k for k in last if k["host"] == own["host"] and k["digest"] != own["digest"]), None)
             if other is not None and last[0]["host"] == own["host"]:
-                wanted.append((b, -1 if side else 1, *other))
+                wanted.append((b, -1 if side else 1, other["bucket"], other["side"], other["r"]))
             mine = ends[b][side]
             # a bucket of one run: what differs from it is farther back
             farther = next((k for k in last if (k["host"], k["digest"]) != (mine[0]["host"], mine[0]["digest"])), None)
             last = mine if len(mine) > 1 or farther is None else [mine[0], farther]
-    columns = ["page_id", "url", "host", "path", "bucket", "_edge", "html"]
-    kind = "page_id long, url string, host string, path string, bucket int, _edge int, lines array<string>, marks string, digest string"
-    table = rows.sparkSession.createDataFrame(wanted, "nb int, side int, h string, p string, i long, _want string")
-    near = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")) & F.col("page_id").eqNullSafe(F.col("i"))
-    # at most two keys a bucket, so its size is bounded by the bucket count
-    copies = rows.join(F.broadcast(table), near).select("_want", *[F.col("nb").alias(c) if c == "bucket" else F.col("side").alias(c) if c == "_edge" else F.col(c) for c in columns])
-    found = copies.select("_want", *columns).mapInArrow(_parse, f"_want string, {kind}")
-    return found.filter("digest = _want").select("page_id", "url", "host", "path", "bucket", "lines", "marks", "digest", "_edge")
+    parsed = functools.reduce(DataFrame.unionByName, tables).dropDuplicates(["side", "r", "bucket"])
+    table = spark.createDataFrame(wanted, "nb int, want int, bucket int, side int, r int")
+    # at most two keys a bucket
+    return parsed.join(F.broadcast(table), ["bucket", "side", "r"]).select("page_id", "url", "host", "path", F.col("nb").alias("bucket"), "lines", "marks", "digest", F.col("want").alias("_edge"))

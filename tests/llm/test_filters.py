@@ -7,6 +7,7 @@ import inspect
 import itertools
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -221,3 +222,69 @@ def test_decontamination_awkward(spark, awkward, empty):
     assert tiling.clean(awkward, bench).count() == awkward.count() - 3
     assert tiling.contaminated(empty, bench).collect() == []
     assert tiling.clean(awkward, bench.limit(0)).count() == awkward.count()
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a</p><svg/><p>b</p>", "a\nb"),
+        ("<p>a</p><svg><path d=x><text>no</text><p>b</p>", "a\nb"),
+        ('<p class=x">one</p><p>two</p>', "one\ntwo"),
+        ("<p title=it's>one</p><p>two</p>", "one\ntwo"),
+        ('<article><p>x</p><div class="related-work"><p>kept</p></div><div class=comments>no</div></article>', "x\nkept"),
+        ("<head><title>t<b></title><p>text", "text"),
+        ("<p>&am<b></b>p;</p>", "&amp;"),
+        ("a<!-->b<!-- c -->d", "abd"),
+        ("<b><nav>no</b>no</nav>yes", "yes"),
+        ("a < b &amp; c&lt;d", "a < b & c<d"),
+    ],
+)
+def test_tokens_follow_the_standard(page, want):
+    assert "\n".join(t for t, _ in pagediff.lines(page)) == want
+
+
+def test_unclosed_tags_take_linear_time():
+    for page in ("<b>" * 40_000 + "</i>" * 40_000, "<b><p></p>" * 20_000, "<p><b>" * 20_000 + "</p>" * 20_000):
+        start = time.process_time()
+        pagediff.lines(page)
+        assert time.process_time() - start < 3
+
+
+def test_template_lines_within_articles_go_by_their_neighbours(spark, sf):
+    """Real pages of one host with a template put into their articles: without neighbours it stays."""
+    pages = [r for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").collect() if "</article>" in (r["html"] or "")][:12]
+    lead, tail = "<p>Site of many things</p>", "<p>Share this page</p><p>Write to us</p>"
+    made = [(k, f"http://one.test/{k:02}", r["html"].replace("<article>", "<article>" + lead).replace("</article>", tail + "</article>")) for k, r in enumerate(pages)]
+    want = ["\n".join(t for t, _ in pagediff.lines(r["html"])) for r in pages]
+    df = spark.createDataFrame(made, "page_id long, url string, html string")
+    together = {r["page_id"]: r["text"] for r in pagediff.extract(df).collect()}
+    inner = range(1, len(pages) - 1)
+    assert [together[k] for k in inner] == [want[k] for k in inner]
+    alone = spark.createDataFrame([(k, f"http://h{k}.test/", h) for k, _, h in made], "page_id long, url string, html string")
+    assert all(r["text"] == f"Site of many things\n{want[r['page_id']]}\nShare this page\nWrite to us" for r in pagediff.extract(alone).collect())
+
+
+def test_near_copies_and_quotes_keep_their_text():
+    body = [(f"line {k} of the text", False) for k in range(30)]
+    other = [*body[:-1], ("another end", False)]
+    assert pagediff.difference(body, [other, other]).count("\n") == 29
+    marked = [(f"own {k}", True) for k in range(4)]
+    quoted = [*marked[:2], ("all quote this", True), *marked[2:]]
+    pages = [[(f"{c}{k}", True) for k in range(2)] + [("all quote this", True)] + [(f"{c}{k}", True) for k in range(2, 4)] for c in "ab"]
+    assert "all quote this" in pagediff.difference(quoted, pages)
+
+
+def test_buckets_do_not_change_the_text(spark, monkeypatch):
+    """Runs of equal pages over many buckets, and hosts cut by bounds."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(160):
+        own = "same" if 40 <= k < 90 else f"own {rng.randrange(6) if k < 40 else k} text"
+        rows.append((k, f"http://h{k // 120}.test/{k // 2:03}", TEMPLATE.format(f"<p>{own}</p><p>{own} more of it</p>" + "<!-- x -->" * rng.randrange(9))))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = []
+    for size in (1 << 30, 700, 60):
+        monkeypatch.setattr(pagediff, "_BUCKET_BYTES", size)
+        monkeypatch.setattr(pagediff, "partitions", lambda _: 1 if size > 700 else 8)
+        got.append(sorted((r["page_id"], r["text"]) for r in pagediff.extract(df).collect()))
+    assert got[0] == got[1] == got[2]
