@@ -7,8 +7,8 @@ shard with room. Capacity is ``(1 + slack)`` times the mean load, so the balance
 construction, and another shard count moves few cells beside those it must.
 
 Law ``bytes``: a load is the sum of sizes. Equal texts share a cell and so a shard,
-except a group of copies heavier than one shard's fair share: its rows are salted by
-their id over the whole ring. Only the cells' loads, at most ``2**cell_bits`` numbers,
+except a group of copies heavier than one shard's fair share: its rows are salted one by
+one over the whole ring, whatever their ids. Only the cells' loads, at most ``2**cell_bits`` numbers,
 reach the driver; a table of as many cells goes back to the rows.
 
 Defined results: null text counts as size 1 and shares a group with nothing but other
@@ -78,19 +78,22 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
             F.xxhash64(text, F.isnull(text)).alias("group"),
+            # written with the rows, so that it tells equal rows apart in every later pass
+            F.monotonically_increasing_id().alias("row"),
         )
     )
-    total = rows.agg(F.sum("size").alias("n")).first()["n"] or 0
-    fair = total / shards
+    total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
+    fair = (total["bytes"] or 0) / shards
+    parts = min(1 << 16, max(64, -(-total["n"] // (shards << 16))))
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     # at most ``shards`` groups can be heavier than a fair share
     split = [r["group"] for r in groups.filter((F.col("bytes") > fair) & (F.col("n") > 1)).select("group").collect()]
-    key = F.when(F.col("group").isin(split), F.xxhash64("group", "doc_id")).otherwise(F.col("group")) if split else F.col("group")
+    key = F.when(F.col("group").isin(split), F.xxhash64("group", "row")).otherwise(F.col("group")) if split else F.col("group")
     rows = rows.withColumn("cell", F.shiftrightunsigned(F.xxhash64(key, F.lit("ring")), 64 - cell_bits).cast("int"))
     loads = {r["cell"]: r["load"] for r in rows.groupBy("cell").agg(F.sum("size").alias("load")).collect()}
     placed = walk(loads, shards, cell_bits, virtual, slack)
     table = spark.createDataFrame(sorted(placed.items()), "cell int, shard int")
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(1 << 10)).cast("int")
+    part = F.pmod(F.xxhash64("row", F.lit("part")), F.lit(parts)).cast("int")
     rows = rows.join(F.broadcast(table), "cell").withColumn("part", part)
     counts = rows.groupBy("shard", "part").count().collect()
     starts, at = [], {}
@@ -98,7 +101,7 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
         starts.append((s, p, at.get(s, 0)))
         at[s] = at.get(s, 0) + n
     begins = spark.createDataFrame(starts, "shard int, part int, begin long")
-    order = W.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size", "group")
+    order = W.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size", "group", "row")
     return (
         rows.join(F.broadcast(begins), ["shard", "part"])
         .withColumn("slot", F.col("begin") + F.row_number().over(order) - 1)
