@@ -213,6 +213,29 @@ def test_tiling_equals_brute_force(spark):
     assert small == want
     bad = {d for d, _, _ in want}
     assert {r["doc_id"] for r in tiling.clean(df, bench).collect()} == {d for d, _ in docs} - bad
+    one = tiling.clean(df, bench, block_bytes=40)
+    assert {r["doc_id"] for r in one.collect()} == {d for d, _ in docs} - bad
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    twice = bench.unionByName(bench.withColumn("item_id", F.col("item_id") + 100))
+    doubled = {(r["doc_id"], r["item_id"] % 100, r["covered"]) for r in tiling.contaminated(df, twice).collect()}
+    assert doubled == want
+
+
+def test_a_stock_phrase_of_many_items_calls_no_tiling(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    phrase = "this is a stock phrase of many items"
+    texts = [f"{phrase} " + " ".join(f"own{k}x{j}" for j in range(30)) for k in range(300)]
+    block = tiling.Block(list(range(300)), texts, 5, 0.8)
+    calls = []
+    monkeypatch.setattr(tiling, "tile", lambda *a: calls.append(a) or [])
+    docs = [f"a text with {phrase} in it", texts[7]]
+    words, first = tiling.words_of(*tiling.buffers(pa.array(docs)))
+    hits = [(r, k) for r, k, _, _ in block.hits(words, first)]
+    assert hits == [(1, 7)]
+    assert len(calls) == 1
+    assert np.isin(block.seeds[0][:3], block.tables[0][1]).sum() == 0
 
 
 def test_decontamination_awkward(spark, awkward, empty):
