@@ -21,8 +21,9 @@ node's profile counts its hashes in 256 parts of the domain, and the distance of
 is never above the sets' difference. Then whole sets meet, and only a spanning forest of the
 links found comes out: first each node in the first of its stars, which joins copies to
 their centre; then the stars that still hold several components. A star of too many nodes
-is split before its pairs are compared, by signatures of a second partitioning of the domain; what is
-still too large is compared in blocks, nodes outside its largest component against all.
+is compared in blocks, nodes outside its largest component against all, and only nodes of a block
+with a promising partner in the other are brought with their sets. One of very many nodes is
+first split by signatures of a second partitioning of the domain.
 
 Defined results: texts without words (null, empty, white space) have size 0, link with
 nothing and are components of their own. Rows with equal ids are separate rows; a
@@ -49,6 +50,8 @@ _SMALL_BOUND = 8
 #: Nodes, and hashes of their sets, that are compared in one place.
 _BLOCK = 1024
 _HASHES = 1 << 20
+#: A star of more blocks than this is split by a second partitioning.
+_MANY = 16
 
 
 def sets_of(buf: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
@@ -272,28 +275,31 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def _promising(num: int, den: int):
-    """Rows (star, node) of the nodes that have a partner in their star within the bound. Rows come by star."""
+    """The rows (unit, node, comp, side) that have a partner in their unit within the bound. Rows come by unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, "star"):
-            star, node, n = (t.column(c).to_numpy() for c in ("star", "node", "n"))
+        for t in _runs(batches, "unit"):
+            unit, n, comp, side = (t.column(c).to_numpy() for c in ("unit", "n", "comp", "side"))
             profile = np.frombuffer(b"".join(t.column("profile").to_pylist()), np.uint8).reshape(-1, 256)
-            starts = np.flatnonzero(np.append(True, star[1:] != star[:-1]))
-            sizes = np.diff(np.append(starts, len(star)))
-            keep = np.zeros(len(star), bool)
+            starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            sizes = np.diff(np.append(starts, len(unit)))
+            keep = np.zeros(len(unit), bool)
             twos = starts[sizes == 2]
             keep[twos] = keep[twos + 1] = near(profile[twos], n[twos], profile[twos + 1], n[twos + 1], num, den)
             for a, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 order = a + np.argsort(n[a : a + size], kind="stable")
-                m, vectors = n[order], profile[order]
+                m, vectors, c, d = n[order], profile[order], comp[order], side[order]
                 # partners are no smaller, and small enough
                 high = np.searchsorted(m, m * den // num, side="right")
                 for i in range(size - 1):
                     j = slice(i + 1, int(high[i]))
-                    if j.stop > j.start and (ok := near(vectors[i], m[i], vectors[j], m[j], num, den)).any():
-                        keep[order[i]] = True
-                        keep[order[j][ok]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(star[keep]), pa.array(node[keep])], names=["star", "node"])
+                    ok = (c[j] != c[i]) & ((d[j] == 2) | (d[j] != d[i]))
+                    if ok.any():
+                        ok[ok] = near(vectors[i], m[i], vectors[j][ok], m[j][ok], num, den)
+                        if ok.any():
+                            keep[order[i]] = True
+                            keep[order[j][ok]] = True
+            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(pa.array(keep)) for c in ("unit", "node", "comp", "side")], names=["unit", "node", "comp", "side"])
 
     return run
 
@@ -420,19 +426,27 @@ def node_components(rows: DataFrame, texts: DataFrame, width: int, num: int, den
     release(spark)
     if members.isEmpty():
         return None
-    members = durable(_sized(members.join(facts, "node")))
-    by_star = members.filter("blocks = 1").select("star", "node", "n", "profile").repartition(partitions(spark), "star").sortWithinPartitions("star")
-    small = by_star.mapInArrow(_promising(num, den), "star long, node long").withColumn("blocks", F.lit(1))
-    chosen = durable(small.unionByName(members.filter("blocks > 1").select("star", "node", "blocks")))
-    sets = _sets(texts, chosen.select("node").distinct().join(members.groupBy("node").agg(F.first("mark").alias("mark")), "node").select("mark").distinct(), width)
-    sizes = members.groupBy("node").agg(F.first("n").alias("n"))
-    del members, by_star, small, facts
+    members = durable(_sized(members.join(facts.select("node", "n"), "node")))
     release(spark)
+    fields = ["unit", "node", "comp", "side"]
+
+    def dealt(units: DataFrame, more: DataFrame) -> DataFrame:
+        return units.join(more, "node").repartition(partitions(spark), "unit").sortWithinPartitions("unit")
+
+    def promising(units: DataFrame) -> DataFrame:
+        rows_ = dealt(units, facts.select("node", "n", "profile")).select(*fields, "n", "profile")
+        return durable(rows_.mapInArrow(_promising(num, den), "unit long, node long, comp long, side int"))
 
     def found(units: DataFrame) -> DataFrame:
-        dealt = units.join(sets, "node").repartition(partitions(spark), "unit").sortWithinPartitions("unit")
-        return durable(dealt.select("unit", "node", "comp", "side", "hashes").mapInArrow(_linked(num, den), "a long, b long"))
+        return durable(dealt(units, sets).select(*fields, "hashes").mapInArrow(_linked(num, den), "a long, b long"))
 
+    small = promising(_whole(members.filter("blocks = 1").withColumn("comp", F.col("node")))).select(F.col("unit").alias("star"), "node", F.lit(1).alias("blocks"))
+    chosen = durable(small.unionByName(members.filter("blocks > 1").select("star", "node", "blocks")))
+    sizes = durable(members.filter("blocks > 1").groupBy("node").agg(F.first("n").alias("n")))
+    del members, small
+    release(spark)
+    sets = _sets(texts, chosen.select("node").distinct().join(facts.select("node", "mark"), "node").select("mark").distinct(), width)
+    release(spark)
     # each node in the first of its stars, with the star's centre in every part of a large one
     first = chosen.groupBy("node").agg(F.min_by(F.struct("star", "blocks"), "star").alias("s")).select("node", "s.star", "s.blocks")
     part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("blocks"))
@@ -440,18 +454,23 @@ def node_components(rows: DataFrame, texts: DataFrame, width: int, num: int, den
     units = first.filter("node <> star").select("star", "node", part.cast("int").alias("part")).unionByName(centres.select("star", F.col("star").alias("node"), "part"))
     links = found(units.select(F.xxhash64("star", "part").alias("unit"), "node", F.col("node").alias("comp"), F.lit(2).alias("side")))
     comp = _joined(links)
-    again = found(_open(chosen.filter("blocks = 1"), comp).select(F.col("star").alias("unit"), "node", "comp", F.lit(2).alias("side")))
-    split = _open(chosen.filter("blocks > 1").select("star", "node"), comp).select("star", "node")
-    resigned = split.join(sets, "node").select("star", "node", "hashes").mapInArrow(_sign_again(num, den, buckets), "bucket long, sigs binary, nodes binary")
-    stars = durable(_sized(_open(_members(resigned, buckets), comp).join(sizes, "node")))
-    rest = stars.filter("blocks = 1").select(F.col("star").alias("unit"), "node", "comp", F.lit(2).alias("side"))
-    last = found(rest.unionByName(_units_of_blocks(stars.filter("blocks > 1"))))
+    again = found(_whole(_open(chosen.filter("blocks = 1").select("star", "node"), comp)))
+    large = durable(_open(chosen.filter("blocks > 1"), comp))
+    resigned = large.filter(F.col("blocks") > _MANY).select("star", "node").join(sets, "node").select("star", "node", "hashes").mapInArrow(_sign_again(num, den, buckets), "bucket long, sigs binary, nodes binary")
+    stars = durable(_sized(_open(_members(resigned, buckets), comp).join(sizes, "node")).select("star", "node", "comp", "blocks"))
+    parted = _units_of_blocks(stars.filter("blocks > 1").unionByName(large.filter(F.col("blocks") <= _MANY).select("star", "node", "comp", "blocks")))
+    last = found(promising(_whole(stars.filter("blocks = 1")).unionByName(parted)))
     more = again.unionByName(last)
     if more.isEmpty():
         return comp
     return _joined(more if comp is None else more.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """Units of stars (star, node, comp) that are compared at once."""
+    return rows.select(F.col("star").alias("unit"), "node", "comp", F.lit(2).alias("side"))
+
+
 def _joined(links: DataFrame) -> DataFrame | None:
     return None if links.isEmpty() else durable(components(links))
 

@@ -73,10 +73,11 @@ def test_chains_of_near_copies(spark):
         assert found(df, width=width, num=num, den=den) == brute(rows, width, num, den), (width, num)
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_large_families(spark, monkeypatch, block):
-    """Families above the size that is compared at once: pivots, then what is left in blocks."""
+@pytest.mark.parametrize(("block", "many"), [(1024, 16), (16, 16), (16, 2)])
+def test_large_families(spark, monkeypatch, block, many):
+    """Stars above the size that is compared at once, in blocks and split by a second partitioning."""
     monkeypatch.setattr(pe, "_BLOCK", block)
+    monkeypatch.setattr(pe, "_MANY", many)
     rng = random.Random(11)
     vocabulary = [f"v{k}" for k in range(5000)]
     rows = []
