@@ -24,7 +24,7 @@ def sample(df: DataFrame, n: int | None = None, fraction: float | None = None, s
 
     Each row's place is a hash of the seed and its key (or row index), so the same rows
     are drawn however they are partitioned. Weighted draws take the largest
-    ``ln(u) / w``. With replacement, each draw falls on a row by its share.
+    ``ln(u) / w``. With replacement, each draw falls on a row by its share, or by its weight.
     """
     if (n is None) == (fraction is None):
         raise Blocked("FX-ARGUMENT", "give a count or a fraction")
@@ -34,13 +34,13 @@ def sample(df: DataFrame, n: int | None = None, fraction: float | None = None, s
     by = key or [INDEX]
     unit = (F.pmod(F.xxhash64(F.lit(seed), *by), F.lit((1 << 52) - 1)) + 1).cast("double") / float(1 << 52)
     if replace:
-        if weights:
-            raise Blocked("FX-ARGUMENT", "weights and replacement do not go together")
         numbered = with_row_index(df)
         total = numbered.count()
         draws = n if n is not None else round(fraction * total)
         if not total or not draws:
             return df.limit(0)
+        if weights:
+            return _weighted_draws(numbered, total, draws, seed, weights).select(*df.columns)
         picks = df.sparkSession.range(draws).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias(INDEX))
         return numbered.join(picks.groupBy(INDEX).count(), INDEX).withColumn("__d", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).select(*df.columns)
     if weights:
@@ -55,6 +55,31 @@ def sample(df: DataFrame, n: int | None = None, fraction: float | None = None, s
     return rows.orderBy(order, *by).limit(count).select(*df.columns)
 
 
+def _weighted_draws(rows: DataFrame, total: int, draws: int, seed: int, weights: str) -> DataFrame:
+    """Draws with replacement: each falls on the row whose stretch of the summed weights holds it.
+
+    Rows are summed in at most 1,024 blocks, whose totals alone reach the driver; within a
+    block, rows and draws are walked in one order of place.
+    """
+    weight = F.when(F.col(weights) < 0, F.raise_error(F.lit("sample: a weight is negative"))).otherwise(F.coalesce(F.col(weights).cast("double"), F.lit(0.0)))
+    block = F.floor(F.col(INDEX) / max(1 << 16, -(-total // 1024))).cast("int")
+    rows = rows.withColumn("__w", weight).withColumn("__b", block)
+    begins, at = {}, 0.0
+    for r in sorted(rows.groupBy("__b").agg(F.sum("__w").alias("s")).collect(), key=lambda r: r["__b"]):
+        begins[r["__b"]] = at
+        at += r["s"]
+    if not at:
+        return rows.limit(0)
+    starts = F.lit(list(begins.values())).cast("array<double>")
+    own = F.sum("__w").over(W.partitionBy("__b").orderBy(INDEX).rowsBetween(W.unboundedPreceding, -1))
+    stretches = rows.select("__b", (F.element_at(starts, F.col("__b") + 1) + F.coalesce(own, F.lit(0.0))).alias("__p"), F.col(INDEX).alias("__i"))
+    place = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "id"), F.lit(1 << 52)).cast("double") / float(1 << 52) * at
+    picks = rows.sparkSession.range(draws).select(place.alias("__p")).select((F.array_size(F.filter(starts, lambda s: s <= F.col("__p"))) - 1).alias("__b"), "__p", F.lit(None).cast("long").alias("__i"))
+    walk = W.partitionBy("__b").orderBy("__p", F.col("__i").asc_nulls_last())
+    hit = stretches.unionByName(picks).withColumn("__h", F.last("__i", ignorenulls=True).over(walk)).filter("__i IS NULL").groupBy(F.col("__h").alias(INDEX)).count()
+    return rows.join(hit, INDEX).withColumn("__d", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
+
+
 def n_extreme(df: DataFrame, n: int, columns: list[str], largest: bool = True, keep: str = "first", order: list[str] | None = None) -> DataFrame:
     """The rows of the ``n`` greatest or least values; ties by ``keep``: first, last or all. Nulls don't count."""
     if keep not in ("first", "last", "all"):

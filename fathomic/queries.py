@@ -7,6 +7,8 @@ differs, its text is given beside it.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +17,10 @@ from pyspark.sql import functions as F
 
 from fathomic.functions import scalar as fx
 from fathomic.operators import dedup, picking, quality, reshape, rolling, sketches, vectors
-from fathomic.operators.order import numbered
+from fathomic.operators.order import INDEX, numbered, with_row_index
 from fathomic.plans import rewrites
 from fathomic.session import Session
+from fathomic.sources import sinks
 from fathomic.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -520,6 +523,134 @@ def approx_distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.estimate(sketches.merge(parts))
 
 
+# Types of the contract, without casts around them.
+
+sql_query(
+    "int_division_scopes",
+    "SELECT t.a / 2 AS half, CASE WHEN t.a > 700 THEN 7 ELSE 9 END / 2 AS fixed, (t.a + c.c_nationkey) / 2 AS both FROM (SELECT o_custkey AS a FROM orders) AS t INNER JOIN customer AS c ON t.a = c.c_custkey",
+    "SELECT t.a // 2 AS half, CASE WHEN t.a > 700 THEN 7 ELSE 9 END // 2 AS fixed, (t.a + c.c_nationkey) // 2 AS both FROM (SELECT o_custkey AS a FROM orders) AS t INNER JOIN customer AS c ON t.a = c.c_custkey",
+)
+sql_query("float_floor_ceil", "SELECT c_custkey, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, floor(c_acctbal / 7e0) + 0.5e0 AS g FROM customer")
+sql_query(
+    "decimal_exact",
+    "SELECT o_orderkey, CAST(o_totalprice AS decimal128(12,2)) * CAST(0.05 AS decimal128(4,2)) AS product, CAST(o_totalprice AS decimal128(12,2)) + CAST(0.125 AS decimal128(6,3)) AS total, CAST(o_totalprice AS decimal128(12,2)) / CAST(4 AS decimal128(3,0)) AS quotient FROM orders",
+    "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12,2)) * CAST(0.05 AS DECIMAL(4,2)) AS product, CAST(o_totalprice AS DECIMAL(12,2)) + CAST(0.125 AS DECIMAL(6,3)) AS total, CAST(CAST(o_totalprice AS DECIMAL(12,2)) * 0.25 AS DECIMAL(38,6)) AS quotient FROM orders",
+)
+sql_query(
+    "strict_try_cast",
+    "SELECT c_custkey, TRY_CAST(c_acctbal AS int64) AS whole, TRY_CAST(c_mktsegment AS boolean) AS flag, TRY_CAST(CASE WHEN c_nationkey > 9 THEN 'true' ELSE 'FALSE' END AS boolean) AS big, TRY_CAST(c_name AS int64) AS n FROM customer",
+    "SELECT c_custkey, CASE WHEN c_acctbal % 1 = 0 THEN CAST(c_acctbal AS BIGINT) END AS whole, CAST(NULL AS BOOLEAN) AS flag, c_nationkey > 9 AS big, CAST(NULL AS BIGINT) AS n FROM customer",
+)
+sql_query(
+    "encoded_text",
+    "SELECT n_nationkey, CAST(from_base64('YWJj') AS STRING) AS b, CAST(unhex('6f6b') AS STRING) AS h, regexp_replace(n_name, '^([A-Z])', '$\\1') AS d FROM nation",
+    "SELECT n_nationkey, 'abc' AS b, 'ok' AS h, regexp_replace(n_name, '^([A-Z])', '$\\1') AS d FROM nation",
+)
+sql_query("from_list", "SELECT n.n_name, r.r_name FROM nation AS n, region AS r WHERE n.n_regionkey = r.r_regionkey")
+sql_query("sub_row_not_in", "SELECT n_nationkey FROM nation WHERE (n_regionkey, n_nationkey) NOT IN (SELECT r_regionkey, r_regionkey * 2 FROM region)")
+sql_query("sub_not_in_projection", "SELECT n_nationkey, n_nationkey NOT IN (SELECT nullif(r_regionkey, 2) FROM region) AS other FROM nation")
+sql_query("sub_exists_in_having", "SELECT o_orderstatus, count(*) AS c FROM orders GROUP BY o_orderstatus HAVING EXISTS (SELECT r_name FROM region WHERE r_name = 'ASIA') AND NOT EXISTS (SELECT r_name FROM region WHERE r_name = 'NOWHERE')")
+sql_query("join_or_large", "SELECT c.c_custkey, s.s_suppkey FROM customer AS c INNER JOIN supplier AS s ON c.c_custkey = s.s_suppkey OR c.c_nationkey = s.s_suppkey")
+sql_query("lists_distinct", "SELECT DISTINCT ARRAY[n_regionkey, n_regionkey + 1] AS l FROM nation", "SELECT DISTINCT [n_regionkey, n_regionkey + 1] AS l FROM nation")
+sql_query("lists_union_sorted", "SELECT ARRAY[n_regionkey, 1] AS l FROM nation UNION SELECT ARRAY[r_regionkey, 2] AS l FROM region ORDER BY l DESC LIMIT 7", "SELECT [n_regionkey, 1] AS l FROM nation UNION SELECT [r_regionkey, 2] AS l FROM region ORDER BY l DESC LIMIT 7")
+sql_query(
+    "structs_distinct",
+    "SELECT count(*) AS n FROM (SELECT STRUCT(n_regionkey AS a, n_regionkey * 2 AS b) AS s FROM nation UNION SELECT STRUCT(r_regionkey AS a, 4 AS b) AS s FROM region) AS t",
+    "SELECT count(*) AS n FROM (SELECT {'a': n_regionkey, 'b': n_regionkey * 2} AS s FROM nation UNION SELECT {'a': r_regionkey, 'b': 4} AS s FROM region) AS t",
+)
+sql_query(
+    "timestamp_parts",
+    "SELECT event_id, CAST(timestamp_year(ts) AS BIGINT) AS y, CAST(timestamp_month(ts) AS BIGINT) AS m, CAST(timestamp_day(ts) AS BIGINT) AS d, CAST(timestamp_second(ts) AS BIGINT) AS s, CAST(timestamp_sub_seconds(timestamp_add_seconds(ts, 90), 30) AS STRING) AS later FROM events",
+    "SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, CAST(second(ts) AS BIGINT) AS s, CAST(ts + INTERVAL 60 SECOND AS VARCHAR) AS later FROM events",
+)
+sql_query(
+    "statistics_by_key",
+    "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS v, round(corr(l_quantity, l_extendedprice), 6) AS r, round(percentile(l_quantity, 0.5e0), 6) AS mid FROM lineitem GROUP BY l_returnflag",
+    "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS v, round(corr(l_quantity, l_extendedprice), 6) AS r, round(quantile_cont(l_quantity, 0.5), 6) AS mid FROM lineitem GROUP BY l_returnflag",
+)
+
+
+# Source order without a key, ties and the other rolling functions.
+
+
+@query("row_index_of_source", "SELECT row_number() OVER () - 1 AS i, o_orderkey FROM orders")
+def row_index_of_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_row_index(table(spark, sf_dir, "orders").select("o_orderkey")).select(F.col(INDEX).alias("i"), "o_orderkey")
+
+
+_ROLLED = {"mean": "round(avg(event_id) OVER w, 6)", "count": "count(event_id) OVER w", "min": "min(event_id) OVER w", "max": "max(event_id) OVER w"}
+for _fn, _sql in _ROLLED.items():
+
+    @query(f"rolling_{_fn}", f"SELECT event_id, CASE WHEN count(event_id) OVER w >= 2 THEN {_sql} END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)")
+    def _rolled(spark: SparkSession, sf_dir: str, fn: str = _fn) -> DataFrame:
+        out = rolling.rolling(table(spark, sf_dir, "events"), "event_id", fn, 4, 2, by=["user_id"], order=["ts", "event_id"], name="s").select("event_id", "s")
+        return out.withColumn("s", F.round("s", 6)) if fn == "mean" else out
+
+
+@query("rolling_of_source", "SELECT o_orderkey, CASE WHEN count(o_custkey) OVER w >= 2 THEN CAST(sum(o_custkey) OVER w AS BIGINT) END AS s FROM (SELECT *, row_number() OVER () AS i FROM orders) WINDOW w AS (ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def rolling_of_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.rolling(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "sum", 3, 2, name="s").select("o_orderkey", "s")
+
+
+@query("ffill_of_source", "SELECT o_orderkey, last_value(k IGNORE NULLS) OVER (ORDER BY i) AS k FROM (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN o_custkey END AS k, row_number() OVER () AS i FROM orders)")
+def ffill_of_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.ffill(table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey")).alias("k")), "k")
+
+
+@query("nlargest_last", "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey DESC LIMIT 20")
+def nlargest_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return picking.n_extreme(table(spark, sf_dir, "part").select("p_partkey", "p_size"), 20, ["p_size"], True, "last", ["p_partkey"])
+
+
+@query("sample_bounds", "SELECT true AS drawn_once, true AS near_a_tenth, 50 AS weighted, true AS repeats")
+def sample_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What samples promise: each key once, about the share, exactly the count, repeats with replacement."""
+    orders, part = table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    share = picking.sample(orders, fraction=0.1, seed=7, key=["o_orderkey"]).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("d")).crossJoin(orders.agg(F.count("*").alias("all")))
+    weighted = picking.sample(part, n=50, seed=7, weights="p_size", key=["p_partkey"]).agg(F.count("*").alias("w"))
+    again = picking.sample(part, n=5000, seed=7, weights="p_size", replace=True, key=["p_partkey"]).agg(F.count("*").alias("r"))
+    one = share.crossJoin(weighted).crossJoin(again)
+    return one.select((F.col("n") == F.col("d")).alias("drawn_once"), (F.abs(F.col("n") / F.col("all") - 0.1) < 0.05).alias("near_a_tenth"), F.least("w", F.lit(50)).cast("int").alias("weighted"), (F.col("r") == 5000).alias("repeats"))
+
+
+@query("sketch_bounds", "SELECT true AS near")
+def sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem")
+    return df.agg((F.abs(F.approx_count_distinct("l_orderkey", 0.02) / F.count_distinct("l_orderkey") - 1) < 0.1).alias("near"))
+
+
+@query("text_embedding", "SELECT doc_id, CAST(length(text) AS DOUBLE) AS points, CAST(length(regexp_replace(text, '[^aeiouAEIOU]', '', 'g')) AS DOUBLE) AS vowels FROM documents")
+def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vectors.embed_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "e")
+    return out.select("doc_id", F.col("e")[0].alias("points"), F.col("e")[2].alias("vowels"))
+
+
+@query("embedding_stats", "SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
+def embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Session(spark).frame(table(spark, sf_dir, "events")).group_by("event_type").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).df
+
+
+# Sinks and formats: what is written comes back.
+
+
+def _round_trip(fmt: str) -> None:
+    columns = "n_nationkey, n_name, n_regionkey"
+
+    @query(f"round_trip_{fmt}", f"SELECT {columns} FROM nation")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session = Session(spark)
+        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomic-sink-")
+        path = f"{shared.rstrip('/')}/round-trip-{uuid.uuid4().hex}.{fmt}"
+        df = table(spark, sf_dir, "nation").select(*columns.split(", "))
+        sinks.write(df, path)
+        back = session.read(path).df
+        return back.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+
+
+for _fmt in ("csv", "jsonl", "parquet", "orc", "arrow"):
+    _round_trip(_fmt)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return pricing_summary(spark, "/root/testdata/sf0.001")
 

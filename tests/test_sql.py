@@ -115,3 +115,105 @@ def test_distinct_from_and_extract_have_no_table(session, inputs):
     rows = session.sql("SELECT id, label IS NOT DISTINCT FROM label AS same, extract(minute FROM TIMESTAMP '2024-01-01 10:07:00') AS m FROM source ORDER BY id LIMIT 1", inputs).to_pylist()
     assert rows[0]["same"] is True
     assert rows[0]["m"] == 7
+
+
+@pytest.mark.parametrize(
+    ("expression", "want"),
+    [
+        ("a / 2", 3),
+        ("CASE WHEN a > 2 THEN 7 ELSE 9 END / 2", 3),
+        ("(a + 1) / 2 / 2", 2),
+        ("7 / CASE WHEN a / 2 > 0 THEN 2 ELSE 1 END", 3),
+        ("floor(x)", 1.0),
+        ("ceil(-x)", -1.0),
+        ("floor(x * 1e300)", 1.5e300),
+        ("TRY_CAST(x AS int64)", None),
+        ("TRY_CAST(1.5 AS int64)", None),
+        ("TRY_CAST('yes' AS boolean)", None),
+        ("TRY_CAST('TRUE' AS boolean)", True),
+        ("CAST(2.0 AS int64)", 2),
+        ("CAST(x + 0.5e0 AS int64)", 2),
+        ("x * 2e0 + a / 2", 6.0),
+        ("CAST(from_base64('YWJj') AS STRING)", "abc"),
+        ("regexp_replace('a1', '([a-z])', '$\\1')", "$a1"),
+        ("trim(concat(' ', 'a', ' '))", "a"),
+    ],
+)
+def test_values_follow_the_contract(session, expression, want):
+    inputs = {"t": session.from_rows([(7, 1.5)], "b:int64,x:float64")}
+    row = session.sql(f"SELECT {expression} AS r FROM (SELECT b AS a, x FROM t) AS s LIMIT 1", inputs).to_pylist()[0]
+    assert row["r"] == want
+    assert type(row["r"]) is type(want)
+
+
+@pytest.mark.parametrize(
+    ("expression", "message"),
+    [
+        ("CAST(x AS int64)", "not integral"),
+        ("CAST(1.5 AS int64)", "not integral"),
+        ("CAST('yes' AS boolean)", "neither true nor false"),
+        ("1e308 * 10.0 * x", "not finite"),
+        ("1e0 / (1e308 * 10.0 * x)", "not finite"),
+        ("CAST(b AS decimal128(5,0)) / CAST(3 AS decimal128(5,0))", "not exact"),
+        ("from_base64('YWJ')", "not base64"),
+    ],
+)
+def test_values_outside_the_contract_are_errors(session, expression, message):
+    inputs = {"t": session.from_rows([(7, 1.5)], "b:int64,x:float64")}
+    with pytest.raises(Exception, match=message):
+        session.sql(f"SELECT {expression} AS r FROM t LIMIT 1", inputs).to_pylist()
+
+
+@pytest.mark.parametrize(
+    "statement",
+    [
+        "SELECT id, (SELECT max(id) FROM allowed) AS m FROM source",
+        "SELECT id FROM source WHERE amount > (SELECT max(id) FROM allowed)",
+        "SELECT sum(id) OVER (ORDER BY id) AS s FROM source",
+        "SELECT count(*) OVER () AS s FROM source",
+        "SELECT first_value(id) OVER (ORDER BY id) AS s FROM source",
+        "SELECT CAST(id AS decimal128(30,2)) * CAST(id AS decimal128(20,2)) AS s FROM source",
+    ],
+)
+def test_more_blocked_forms(session, inputs, statement):
+    with pytest.raises(Blocked):
+        session.sql(statement, inputs)
+
+
+def test_operands_of_two_inputs(session):
+    inputs = {"f": session.from_rows([(1, 7)], "k:int64,x:int64"), "g": session.from_rows([(1, 7.0)], "k:int64,x:float64")}
+    row = session.sql("SELECT f.x / 2 AS a, g.x / 2 AS b, (f.x + f.k) / 3 AS c, f.x / g.x AS d FROM f INNER JOIN g ON f.k = g.k LIMIT 1", inputs).to_pylist()[0]
+    assert (row["a"], row["b"], row["c"], row["d"]) == (3, 3.5, 2, 1.0)
+
+
+def plan(session, statement, inputs):
+    session.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return session.sql(statement, inputs).df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        session.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize(
+    "statement",
+    [
+        "SELECT s_suppkey FROM supplier WHERE s_acctbal > ALL (SELECT c_acctbal FROM customer)",
+        "SELECT n_nationkey FROM nation WHERE n_nationkey = ANY (SELECT r_regionkey FROM region)",
+        "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 5) FROM orders)",
+        "SELECT c_custkey FROM customer WHERE c_custkey <> ALL (SELECT o_custkey FROM orders)",
+        "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation AS a INNER JOIN nation AS b ON a.n_regionkey = b.n_nationkey OR a.n_nationkey = b.n_nationkey",
+    ],
+)
+def test_no_pairs_are_compared_and_nothing_is_broadcast(session, sf, statement):
+    inputs = {t: f"{sf}/{t}.parquet" for t in ("supplier", "customer", "nation", "region", "orders")}
+    got = plan(session, statement, inputs)
+    assert not any(x in got for x in ("NestedLoop", "Cartesian", "BroadcastExchange"))
+
+
+def test_sums_and_keys_with_offsets_are_fused(session, sf):
+    inputs = {"events": f"{sf}/events.parquet"}
+    got = plan(session, "SELECT sum(event_id) AS a, sum(event_id + 1) AS b, sum(event_id + 2) AS c, sum(event_id - 3) AS d FROM events", inputs)
+    assert got.count("partial_sum") == 1
+    got = plan(session, "SELECT user_id, user_id - 1 AS u, count(*) AS c FROM events GROUP BY user_id, user_id - 1 ORDER BY c DESC, user_id LIMIT 3", inputs)
+    assert "hashpartitioning(user_id#" in got
+    assert got.split("hashpartitioning(", 1)[1].split(")")[0].count(",") == 1
