@@ -165,13 +165,18 @@ class Frame:
     # Joins and set operations
 
     def join(self, other: Frame, on: str | Sequence[str] | Column | None = None, how: str = "inner", suffix: str = "_right") -> Frame:
-        """Equi-join on names, a join on a condition, or a cross join; complex keys are blocked."""
+        """Equi-join on names, a join on a condition, or a cross join; complex keys are blocked.
+
+        The result is bounded if both sides are, or if it only picks rows of a bounded side.
+        """
+        both = self.bounded and other.bounded
         if how == "cross":
-            return self._with(self.df.crossJoin(other._renamed(self, (), suffix)))
+            return self._with(self.df.crossJoin(other._renamed(self, (), suffix)), both)
         if how not in HOW:
             raise Blocked("FX-ARGUMENT", f"no join {how}")
+        picks = HOW[how] in ("left_semi", "left_anti")
         if isinstance(on, Column):
-            return self._with(self.df.join(other.df, on, HOW[how]))
+            return self._with(self.df.join(other.df, on, HOW[how]), self.bounded if picks else both)
         keys = [on] if isinstance(on, str) else list(on or ())
         if not keys:
             raise Blocked("FX-ARGUMENT", "a join needs keys or a condition")
@@ -180,8 +185,8 @@ class Frame:
         for c in keys:
             if isinstance(self.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)):
                 raise Blocked("FX-TYPE", f"{c} is nested and cannot be a join key")
-        right = other.df if HOW[how] in ("left_semi", "left_anti") else other._renamed(self, keys, suffix)
-        return self._with(self.df.join(right, keys, HOW[how]))
+        right = other.df if picks else other._renamed(self, keys, suffix)
+        return self._with(self.df.join(right, keys, HOW[how]), self.bounded if picks else both)
 
     merge = join
 
@@ -319,7 +324,8 @@ class Frame:
 
     def explode(self, *columns: str, keep_empty: bool = True) -> Frame:
         self._need(*columns)
-        return self._with(reshape.explode(self.df, list(columns), keep_empty))
+        # a list may hold any number of rows
+        return self._with(reshape.explode(self.df, list(columns), keep_empty), False)
 
     def pivot(self, index: list[str], columns: str, values: str, names: list | None = None) -> Frame:
         return self._with(reshape.pivot(self.df, index, columns, values, names))

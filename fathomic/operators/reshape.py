@@ -57,6 +57,10 @@ def pivot(df: DataFrame, index: list[str], columns: str, values: str, names: lis
     return df.groupBy(*index).pivot(columns, names).agg(cell)
 
 
+#: Values that a pivoted table may read as its columns by itself.
+MOST_NAMES = 10_000
+
+
 def pivot_table(df: DataFrame, index: list[str], columns: str, values: str, agg: str = "mean", fill_value=None, dropna: bool = True, margins: bool = False, margins_name: str = "All", names: list | None = None) -> DataFrame:
     """Cells by an aggregate, with totals of rows and columns if asked for.
 
@@ -66,7 +70,10 @@ def pivot_table(df: DataFrame, index: list[str], columns: str, values: str, agg:
         raise Blocked("FX-ARGUMENT", f"no aggregate {agg}")
     fn = AGGREGATES[agg]
     if names is None:
-        names = [r[0] for r in df.filter(F.col(columns).isNotNull()).select(columns).distinct().orderBy(columns).collect()]
+        found = df.filter(F.col(columns).isNotNull()).select(columns).distinct().limit(MOST_NAMES + 1).collect()
+        if len(found) > MOST_NAMES:
+            raise Blocked("FX-ARGUMENT", f"{columns} has more than {MOST_NAMES} values; give the names to pivot")
+        names = sorted(r[0] for r in found)
     body = df.filter(F.col(columns).isNotNull())
     headers = [str(n) for n in names]
     if any(f.name in headers for f in df.schema if f.name in index):

@@ -85,8 +85,18 @@ def _null_to_string(df: DataFrame) -> DataFrame:
 
 def _read_arrow(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Arrow IPC files or streams, read on the executors a batch at a time."""
-    sample = _open_arrow(spark.read.format("binaryFile").load(paths).select("content").first()[0])
-    schema = T.StructType.fromJson(spark.createDataFrame(sample.schema.empty_table()).schema.jsonValue())
+
+    def schema_of(batches):
+        for b in batches:
+            for content in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array([_open_arrow(content.as_py()).schema.serialize().to_pybytes()])], names=["schema"])
+
+    # only the first file's schema reaches the driver
+    found = spark.read.format("binaryFile").load(paths).select("content").limit(1).mapInArrow(schema_of, "schema binary").first()
+    if found is None:
+        raise Blocked("FX-SOURCE-FORMAT", "no Arrow file to read")
+    empty = pa.ipc.read_schema(pa.py_buffer(found["schema"])).empty_table()
+    schema = T.StructType.fromJson(spark.createDataFrame(empty).schema.jsonValue())
 
     def run(batches):
         for b in batches:

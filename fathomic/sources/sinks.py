@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from fathomic.errors import Blocked
 from fathomic.sources.files import exists, infer_format, local_path
 
-#: Arrow IPC files are written by the driver from a stream of batches.
+#: Arrow IPC files are written by the driver, one batch after the other.
 FORMATS = ("csv", "jsonl", "json", "parquet", "orc", "arrow", "native")
 
 
@@ -43,9 +43,16 @@ def _save(df: DataFrame, path: str, fmt: str) -> None:
     elif fmt == "orc":
         df.write.orc(path)
     elif fmt == "arrow":
-        table = df.toArrow()
-        with pa.OSFile(local_path(path), "wb") as f, pa.ipc.new_file(f, table.schema) as w:
-            w.write_table(table)
+        schema = df.limit(0).toArrow().schema
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([pa.Table.from_batches([b]).cast(schema).combine_chunks().to_batches()[0].serialize().to_pybytes()] if b.num_rows else [], pa.binary())], names=["batch"])
+
+        # the driver holds the batches of one partition at a time
+        with pa.OSFile(local_path(path), "wb") as f, pa.ipc.new_file(f, schema) as w:
+            for row in df.mapInArrow(packed, "batch binary").toLocalIterator():
+                w.write_batch(pa.ipc.read_record_batch(pa.py_buffer(row["batch"]), schema))
     else:
         df.write.parquet(path)
 
@@ -56,9 +63,10 @@ def write(df: DataFrame, path: str, fmt: str | None = None, overwrite: bool = Fa
 
 
 def fanout(df: DataFrame, targets: Mapping[str, str | None], overwrite: bool = False) -> list[str]:
-    """One result to many sinks; on a failure none of them appears.
+    """One result to many sinks; on a failure none of them appears, and what was there before stays.
 
-    The result is computed once if there is more than one sink.
+    The result is computed once if there is more than one sink. A target that is
+    replaced is set aside until all are in place.
     """
     spark = df.sparkSession
     wanted = {p: f or infer_format(p) for p, f in targets.items()}
@@ -69,24 +77,45 @@ def fanout(df: DataFrame, targets: Mapping[str, str | None], overwrite: bool = F
     jvm = spark._jvm
     held = df.persist() if len(wanted) > 1 else df
     staged: dict[str, str] = {}
+    aside: dict[str, str] = {}
+    placed: list[str] = []
+
+    def place(path: str):
+        out = jvm.org.apache.hadoop.fs.Path(path)
+        return out, out.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def move(source: str, target: str) -> None:
+        own, fs = place(source)
+        if not fs.rename(own, place(target)[0]):
+            raise Blocked("FX-COMMIT", f"{target} could not be put in place")
+
+    def drop(path: str) -> None:
+        own, fs = place(path)
+        if fs.exists(own):
+            fs.delete(own, True)
+
     try:
         for path, fmt in wanted.items():
             staged[path] = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
             _save(held, staged[path], fmt)
         for path, temp in staged.items():
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-            if fs.exists(target):
-                fs.delete(target, True)
-            if not fs.rename(jvm.org.apache.hadoop.fs.Path(temp), target):
-                raise Blocked("FX-COMMIT", f"{path} could not be put in place")
+            if exists(spark, path):
+                old = f"{path.rstrip('/')}.replaced-{uuid.uuid4().hex}"
+                move(path, old)
+                aside[path] = old
+            move(temp, path)
+            placed.append(path)
     except BaseException:
+        for path in placed:
+            drop(path)
+        for path, old in aside.items():
+            move(old, path)
         for temp in staged.values():
-            place = jvm.org.apache.hadoop.fs.Path(temp)
-            fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-            if fs.exists(place):
-                fs.delete(place, True)
+            drop(temp)
         raise
+    else:
+        for old in aside.values():
+            drop(old)
     finally:
         if held is not df:
             held.unpersist()

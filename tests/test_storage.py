@@ -44,3 +44,131 @@ def test_sketches_merge(spark):
     whole = sketches.estimate(sketches.merge(sketches.build(df, "v", ["g"]))).first()["approx_distinct"]
     assert abs(whole - 500) < 15
     assert abs(sketches.approx_count_distinct(df, "v").first()[0] - 500) < 30
+
+
+def _delta(spark, root, commits, checkpoint=None):
+    import json
+
+    log = root / "_delta_log"
+    log.mkdir(parents=True, exist_ok=True)
+    for v, actions in commits.items():
+        (log / f"{v:020d}.json").write_text("\n".join(map(json.dumps, actions)))
+    if checkpoint:
+        version, adds = checkpoint
+        rows = [({"path": p, "partitionValues": {}},) for p in adds]
+        spark.createDataFrame(rows, "add struct<path: string, partitionValues: map<string, string>>").coalesce(1).write.parquet(str(root / "cp"))
+        next((root / "cp").glob("*.parquet")).rename(log / f"{version:020d}.checkpoint.parquet")
+
+
+def test_delta_checkpoints_replace_older_commits(spark, session, tmp_path):
+    for k in (1, 2, 3):
+        spark.range(k).write.parquet(str(tmp_path / f"p{k}"))
+    _delta(spark, tmp_path, {11: [{"add": {"path": "p3"}}, {"remove": {"path": "p1"}}]}, (10, ["p1", "p2"]))
+    assert session.read_delta(str(tmp_path)).count() == 5
+    assert session.read_delta(str(tmp_path), 10).count() == 3
+    _delta(spark, tmp_path, {13: [{"add": {"path": "p1"}}]})
+    with pytest.raises(Blocked):
+        session.read_delta(str(tmp_path))
+
+
+def test_delta_partition_values_and_what_is_not_read(spark, session, tmp_path):
+    import json
+
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "a b"))
+    name = next((tmp_path / "a b").glob("*.parquet")).name
+    meta = {"metaData": {"partitionColumns": ["k"], "schemaString": json.dumps({"type": "struct", "fields": [{"name": "id", "type": "long"}, {"name": "k", "type": "integer"}]})}}
+    _delta(spark, tmp_path, {0: [meta, {"add": {"path": f"a%20b/{name}", "partitionValues": {"k": "7"}}}]})
+    got = session.read_delta(str(tmp_path)).df
+    assert got.dtypes == [("id", "bigint"), ("k", "int")]
+    assert {tuple(r) for r in got.collect()} == {(0, 7), (1, 7), (2, 7)}
+    for bad in ({"add": {"path": "x", "deletionVector": {"storageType": "u"}}}, {"metaData": {"configuration": {"delta.columnMapping.mode": "name"}}}):
+        _delta(spark, tmp_path, {1: [bad]})
+        with pytest.raises(Blocked):
+            session.read_delta(str(tmp_path))
+
+
+def test_iceberg_delete_files_are_refused(session, spark, tmp_path):
+    import json
+
+    meta = tmp_path / "metadata"
+    meta.mkdir()
+    spark.range(2).write.parquet(str(tmp_path / "p1"))
+    (meta / "m1.json").write_text(json.dumps([{"file_path": "p1"}, {"file_path": "d1", "content": 1}]))
+    (meta / "v1.metadata.json").write_text(json.dumps({"current-snapshot-id": 1, "snapshots": [{"snapshot-id": 1, "timestamp-ms": 1, "manifest-list": "m1.json"}]}))
+    with pytest.raises(Blocked):
+        session.read_iceberg(str(tmp_path))
+
+
+def test_a_failed_overwrite_keeps_what_was_there(session, spark, tmp_path, monkeypatch):
+    from fathomic.sources import sinks
+
+    one, two = str(tmp_path / "one.parquet"), str(tmp_path / "two.parquet")
+    sinks.fanout(spark.range(3), {one: None, two: None})
+    real = sinks.exists
+    monkeypatch.setattr(sinks, "exists", lambda s, p: (_ for _ in ()).throw(OSError("lost")) if p == two and list(tmp_path.glob("one.parquet.replaced-*")) else real(s, p))
+    with pytest.raises(OSError, match="lost"):
+        sinks.fanout(spark.range(9), {one: None, two: None}, overwrite=True)
+    assert session.read(one).count() == session.read(two).count() == 3
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["one.parquet", "two.parquet"]
+    monkeypatch.undo()
+    sinks.fanout(spark.range(9), {one: None, two: None}, overwrite=True)
+    assert session.read(one).count() == session.read(two).count() == 9
+
+
+def test_writers_neither_overwrite_nor_clean_each_other(spark, tmp_path, monkeypatch):
+    from fathomic.sources import lakes
+
+    t = lakes.ManifestTable(spark, str(tmp_path / "m"))
+    t.append(spark.range(1))
+    late = lakes.ManifestTable(spark, str(tmp_path / "m"))
+    monkeypatch.setattr(late, "version", lambda: 0)
+    with pytest.raises(Blocked):
+        late.append(spark.range(5))
+    assert t.read().count() == 1
+    # the writer that lost still holds its lease: an hour has to pass
+    assert t.recover() == []
+    assert len(t.recover(lease_seconds=0)) == 1
+    assert t.append(spark.range(2)) == 2
+    assert t.read().count() == 3
+
+
+def test_arrow_files_stream(spark, session, tmp_path):
+    path = str(tmp_path / "x.arrow")
+    session.frame(spark.range(20_000).withColumn("t", F.concat(F.lit("r"), "id")).repartition(3)).write_arrow(path)
+    back = session.read(path).df
+    assert back.count() == 20_000
+    assert back.filter("t = concat('r', id)").count() == 20_000
+
+
+def test_joins_and_lists_lose_the_bound(session, spark):
+    few, many = session.frame(spark.range(5)).limit(2), session.frame(spark.range(50))
+    assert few.join(many, how="cross").bounded is False
+    assert few.join(many, "id").bounded is False
+    assert few.join(many, "id", "semi").bounded is True
+    assert few.join(many.limit(3), "id").bounded is True
+    assert session.frame(spark.sql("SELECT array(1, 2) AS a")).limit(1).explode("a").bounded is False
+
+
+def test_weighted_draws_with_replacement(spark):
+    from fathomic.operators import picking
+
+    df = spark.range(10).withColumn("w", F.when(F.col("id") == 3, 6.0).when(F.col("id") == 5, 3.0).when(F.col("id") == 7, 1.0).otherwise(0.0))
+    got = {r["id"]: r["count"] for r in picking.sample(df, n=10_000, seed=1, weights="w", replace=True).groupBy("id").count().collect()}
+    assert set(got) == {3, 5, 7}
+    assert sum(got.values()) == 10_000
+    assert abs(got[3] - 6000) < 300
+    assert abs(got[7] - 1000) < 200
+
+
+def test_fnv_of_many_texts():
+    from fathomic.operators.vectors import fnv64_all
+
+    def plain(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    texts = [b"", b"a", b"foobar", "é🎉".encode() * 9, b"a" * 300]
+    assert fnv64_all(texts).tolist() == [plain(t) for t in texts]
+    assert fnv64_all([]).tolist() == []
