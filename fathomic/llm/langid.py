@@ -16,13 +16,14 @@ every text if there is nothing to learn from. Rows may repeat; other columns are
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomic.llm._bytes import LOWER, U64, buffers, give_back, mix, spans
@@ -156,8 +157,8 @@ def probabilities(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, among: Column | None = None) -> Model | None:
     """Fit on at most ``sample`` rows of each language, the least by a hash of the id; None without rows.
 
-    Texts stay on the executors: the driver gets the chosen texts' bags of buckets,
-    whose size doesn't grow with the texts.
+    Texts stay on the executors: one of them gets the chosen texts' bags of buckets,
+    whose size doesn't grow with the texts, and trains on them.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -168,7 +169,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * sample / n + 50 / n))) for lang, n in counts.items()])
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * sample / n + 50 / n))]), F.col("lang"))
     near = rows.filter(F.pmod(key, F.lit(1 << 30)) <= share * (1 << 30)).withColumn("key", key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,40 +177,51 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             bags = [bag_of(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("lang"), pa.array([i.tobytes() for i, _ in bags], pa.binary()), pa.array([x.tobytes() for _, x in bags], pa.binary())], names=["key", "lang", "ids", "shares"])
 
-    taken: list = []
-    for lang in sorted(counts):
-        chosen = near.filter(F.col("lang") == lang).orderBy("key", "text").limit(sample).select("key", "lang", "text")
-        taken += chosen.mapInArrow(run, "key long, lang string, ids binary, shares binary").collect()
-    taken.sort(key=lambda r: (r["key"], r["lang"], r["ids"]))
-    return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in taken], [r["lang"] for r in taken])
+    # all languages in one pass over the rows near the least hashes, about twice the sample each
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
+    chosen = near.withColumn("rank", rank).filter(F.col("rank") <= sample).select("key", "lang", "text")
+    bags = chosen.mapInArrow(run, "key long, lang string, ids binary, shares binary")
+    # one task trains: the sample is bounded, and the driver gets the model alone
+    return pickle.loads(bags.repartition(1).mapInArrow(_train, "model binary").first()["model"])
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    taken = sorted((r["key"], r["lang"], r["ids"], r["shares"]) for b in batches for r in b.to_pylist())
+    if taken:
+        model = fit([(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for _, _, i, x in taken], [lang for _, lang, _, _ in taken])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+    del taken
+    give_back()
+
+
+def judge(m: Model | None, text: pa.Array) -> tuple[list[str], list[float], list[bool]]:
+    """The language of each text, its calibrated probability, and whether it is rejected."""
+    if m is None:
+        return [UNKNOWN] * len(text), [0.0] * len(text), [True] * len(text)
+    buf, off = buffers(text)
+    lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    names, scores = [], []
+    for i, j in spans(off, 1 << 19):
+        p = probabilities(m, buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        for k in range(j - i):
+            good = lettered[i + k]
+            # a letter outside runs leaves the prior
+            row = p[k] if p[k].any() else np.full(len(m.labels), 1 / len(m.labels))
+            names.append(m.labels[int(row.argmax())] if good else UNKNOWN)
+            scores.append(float(min(1.0, row.max())) if good else 0.0)
+    return names, scores, [n == UNKNOWN or s < m.reject_below for n, s in zip(names, scores, strict=True)]
 
 
 def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` with lang_pred, score (the calibrated probability) and rejected."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the input
+    """Columns ``keep`` with lang_pred, score (the calibrated probability) and rejected, which replace columns of these names."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the input
+    keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            text = b.column(b.num_columns - 1)
-            buf, off = buffers(text)
-            lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            names, scores = [], []
-            if m is None:
-                names, scores = [UNKNOWN] * b.num_rows, [0.0] * b.num_rows
-            else:
-                for i, j in spans(off, 1 << 19):
-                    p = probabilities(m, buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                    for k in range(j - i):
-                        good = lettered[i + k]
-                        # a letter outside runs leaves the prior
-                        row = p[k] if p[k].any() else np.full(len(m.labels), 1 / len(m.labels))
-                        names.append(m.labels[int(row.argmax())] if good else UNKNOWN)
-                        scores.append(float(min(1.0, row.max())) if good else 0.0)
-            below = m.reject_below if m is not None else 1.0
+            names, scores, rejected = judge(shared.value, b.column(b.num_columns - 1))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([n == UNKNOWN or s < below for n, s in zip(names, scores, strict=True)], pa.bool_())],
+                [*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=[*b.schema.names[:-1], "lang_pred", "score", "rejected"],
             )
             give_back()
@@ -219,6 +231,19 @@ def predict(df: DataFrame, model: Model | None, keep: list[str], text_col: str =
     return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, rejected boolean"]))
 
 
+def keep_known(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows that aren't rejected, with all their columns, whatever their names."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, _, rejected = judge(shared.value, b.column(text_col))
+            yield b.filter(pa.array([not r for r in rejected], pa.bool_()))
+            give_back()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(id_col: str = "doc_id", fold: int = 0) -> Column:
     """Whether crc32 of the id as text leaves ``fold`` modulo 5."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == fold, F.lit(False))

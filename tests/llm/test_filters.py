@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import inspect
 import itertools
+import math
 import random
 import re
 import time
@@ -72,6 +73,67 @@ def test_language_held_out(spark, docs, awkward, empty):
     assert {r["lang_pred"] for r in langid.predict(awkward, None, ["doc_id"]).collect()} == {"und"}
 
 
+def _plain_vector(text, buckets):
+    """Shares of the hashed runs of two to four bytes that touch a letter and hold edges only at their ends."""
+    raw = [b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in text.encode()]
+    counts = {}
+    for n in (2, 3, 4):
+        for k in range(len(raw) - n + 1):
+            run = raw[k : k + n]
+            if all(b == 32 for b in run) or 32 in run[1:-1]:
+                continue
+            key = 0
+            for b in run:
+                key = key * 256 + b
+            h = key ^ ((n * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D) % 2**64)
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+            h = (h ^ h >> 29) * 0x9FB21C651E98DF25 % 2**64
+            h ^= h >> 32
+            counts[h % buckets] = counts.get(h % buckets, 0) + 1
+    total = sum(counts.values())
+    return {k: c / total for k, c in counts.items()}
+
+
+def test_language_equals_a_plain_computation(docs):
+    """Features, softmax, temperature and rejection, recomputed row by row in plain Python."""
+    model = langid.learn(docs.filter(~langid.held_out("doc_id")))
+    got = langid.predict(docs, model, ["doc_id", "text"]).collect()
+    for r in got:
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        shares = _plain_vector(r["text"], len(model.table))
+        logits = [sum(x * float(model.table[k][j]) for k, x in shares.items()) + float(model.bias[j]) for j in range(len(model.labels))]
+        top = max(logits)
+        e = [math.exp((z - top) / model.temperature) for z in logits]
+        best = max(range(len(e)), key=e.__getitem__)
+        score = e[best] / sum(e)
+        assert r["lang_pred"] == model.labels[best]
+        assert abs(r["score"] - score) < 1e-5
+        assert r["rejected"] == (r["score"] < model.reject_below)
+
+
+def test_language_samples_all_languages_in_one_pass(spark, docs):
+    many = docs.unionByName(docs.withColumn("lang", F.concat("lang", F.lit("-x"))))
+    tracker = spark.sparkContext._jsc.sc().statusTracker()
+    counts, labels = [], []
+    for df in (docs, many):
+        before = len(tracker.getJobIdsForGroup(None))
+        labels.append(len(langid.learn(df, sample=50).labels))
+        counts.append(len(tracker.getJobIdsForGroup(None)) - before)
+    assert counts[0] == counts[1]
+    assert labels[1] == 2 * labels[0]
+
+
+def test_rejected_rows_go_whatever_the_columns_are_called(awkward, docs):
+    model = langid.learn(docs)
+    df = awkward.withColumns({c: F.lit("clash") for c in ("score", "lang_pred", "rejected", "__text", "rank")})
+    kept = langid.keep_known(df, model)
+    assert kept.columns == df.columns
+    odd = langid.predict(df, model, ["doc_id", "score"]).filter("NOT rejected")
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in odd.collect())
+
+
 def test_training_is_not_shortened():
     assert langid.SAMPLE >= 1500
     assert inspect.signature(langid.fit).parameters["epochs"].default >= 8
