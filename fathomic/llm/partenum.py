@@ -373,6 +373,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = durable(small.filter("u <> v").distinct())
+        release(edges.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
@@ -435,10 +436,14 @@ def node_components(rows: DataFrame, texts: DataFrame, width: int, num: int, den
 
     def promising(units: DataFrame) -> DataFrame:
         rows_ = dealt(units, facts.select("node", "n", "profile")).select(*fields, "n", "profile")
-        return durable(rows_.mapInArrow(_promising(num, den), "unit long, node long, comp long, side int"))
+        out = durable(rows_.mapInArrow(_promising(num, den), "unit long, node long, comp long, side int"))
+        release(spark)
+        return out
 
     def found(units: DataFrame) -> DataFrame:
-        return durable(dealt(units, sets).select(*fields, "hashes").mapInArrow(_linked(num, den), "a long, b long"))
+        out = durable(dealt(units, sets).select(*fields, "hashes").mapInArrow(_linked(num, den), "a long, b long"))
+        release(spark)
+        return out
 
     small = promising(_whole(members.filter("blocks = 1").withColumn("comp", F.col("node")))).select(F.col("unit").alias("star"), "node", F.lit(1).alias("blocks"))
     chosen = durable(small.unionByName(members.filter("blocks > 1").select("star", "node", "blocks")))
