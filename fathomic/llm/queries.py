@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomic.llm import bloom_cascade, ctw, fingerprint, langid, pagediff, partenum, pieces, ring, tiling, weakpii
+from fathomic.llm import bloom_cascade, ctw, fingerprint, langid, pagediff, partenum, pieces, ring, stages, tiling, weakpii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,12 +59,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprint": op1_fingerprint,
@@ -77,7 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_main_text": op9_main_text,
         "op10_decontaminate": op10_decontaminate,
-        "pipeline": _pipeline,
+        "pipeline": stages.run,
     }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from fathomic.llm import pieces
 from tests.llm.test_filters import tiles_by_search
@@ -54,3 +56,24 @@ def test_run_gives_the_last_stage(spark, sf):
     out = cp.run(spark, sf)
     assert out.count() > 0
     assert "ids" in out.columns
+
+
+def test_awkward_tables(spark, awkward, empty, docs, tmp_path):
+    """Nulls, repeated rows and ids, and clashing columns go through every stage; an empty table gives none."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "some benchmark text of a few words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    more = {c: F.lit("clash") for c in ("lang_pred", "rejected", "comp", "mark", "star", "__mark", "__place", "ids", "tokens")}
+    labelled = docs.select("doc_id", "text", "lang").withColumns({c: F.lit("clash") for c in awkward.columns if c not in ("doc_id", "text", "lang")})
+    for df in (awkward.unionByName(labelled).withColumns(more), empty.withColumns(more)):
+        rows = df
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, str(tmp_path))
+            if name != "encode":
+                assert out.columns == rows.columns
+            rows = out.cache()
+        if df.isEmpty():
+            assert rows.count() == 0
+        else:
+            kept = [r["doc_id"] for r in rows.select("doc_id").collect()]
+            assert len(kept) > 0
