@@ -1,64 +1,7 @@
-"""From raw documents to token ids in five stages.
-
-Each stage is written as Parquet and read again, so a lost executor costs one stage's
-tasks at most. All stages but the last return the columns of ``documents``.
-"""
+"""The corpus pipeline: STAGES over documents, and run() for all of them."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from fathomic.llm import langid, partenum, pieces, tiling, weakpii
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the classifier rejects: texts without a letter, or of no learned language."""
-    model = langid.learn(docs)
-    judged = langid.predict(docs, model, docs.columns)
-    return judged.filter("NOT rejected").select(docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: the one of the least id."""
-    return partenum.keep_one(docs)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    return tiling.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind; n_chars follows the text."""
-    return weakpii.redact(docs, weakpii.learn(docs), n_chars="n_chars")
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the digest of what they decode to."""
-    return pieces.round_trip(docs)
-
-
-STAGES = [
-    ("language", language),
-    ("near_duplicates", near_duplicates),
-    ("decontaminate", decontaminate),
-    ("personal_data", personal_data),
-    ("encode", encode),
-]
-
-#: No stage but the filters is expressible in SQL; the tests hold run() against brute force.
-ORACLE_SQL = None
-
+from fathomic.llm.stages import ORACLE_SQL, STAGES, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; intermediate tables go to the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    place = f"{shared.rstrip('/')}/corpus_pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{place}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
