@@ -33,7 +33,7 @@ RULES = (
 )
 #: Hosts that are blocked, with their subdomains, where no rule fits.
 HOSTS = ("ads-track.example.com", "casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com")
-#: The most bytes one level's literal may have; larger lists are refused before any is sent.
+#: The most bytes that the literals of one level, and of all levels together, may have in the plan; larger lists are refused before any is sent.
 MAX_LEVEL_BYTES = 32 << 20
 
 
@@ -93,6 +93,8 @@ def build(listed: DataFrame, universe: DataFrame, rate: float = 0.01) -> list[Le
         if count == 0:
             return levels
         levels.append(build_level(inside, count, rate if not levels else 0.5, len(levels)))
+        if (held := sum(len(x.bits) for x in levels)) > MAX_LEVEL_BYTES:
+            raise ValueError(f"a cascade of {held} bytes is over the bound of {MAX_LEVEL_BYTES}; split the list by key hash and build a cascade for each part")
         # what this level errs on is what the next one has to encode
         inside, outside = durable(outside.filter(holds(F.col("key"), levels[-1])).distinct()), inside
         if len(levels) > 60:
