@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 
 from fathomic.durable import durable
 
-__all__ = ["bucket_of", "durable", "partitions", "range_bounds", "release", "with_edges"]
+__all__ = ["bucket_of", "durable", "partitions", "parts_for", "range_bounds", "release", "with_edges"]
 
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def parts_for(spark: SparkSession, nbytes: int, each: int = 32 << 20) -> int:
+    """As many parts as hold ``each`` bytes, but no fewer than the session's partitions nor more than 2**17."""
+    return max(partitions(spark), min(1 << 17, -(-nbytes // each)))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans that are no longer referenced."""
     gc.collect()

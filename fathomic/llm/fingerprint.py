@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomic.llm._bytes import buffers, shingle_hashes, word_hashes
-from fathomic.llm._spark import bucket_of, partitions, range_bounds, with_edges
+from fathomic.llm._spark import bucket_of, partitions, parts_for, range_bounds, with_edges
 
 LANES = 128
 WIDTH = 3
@@ -165,6 +165,20 @@ def _judge(batches: Iterator[pa.RecordBatch], lanes: int) -> Iterator[pa.RecordB
         yield flush()
 
 
+def _tied_bucket(rows: DataFrame, count: int, total: int) -> F.Column:
+    """The bucket of (doc_id, tie), by bounds from a sample of at most about 64 keys a bucket; only balance depends on them."""
+    share = min(1.0, 64 * count / max(1, total))
+    picked = rows.select("doc_id", "tie.a", "tie.n").filter(F.pmod(F.xxhash64("a", "n"), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30))))
+    found = sorted((tuple(r) for r in picked.collect()), key=lambda k: (k[0] is not None, k[0] or 0, *k[1:]))
+    bounds = [found[k * len(found) // count] for k in range(1, count)] if len(found) > 1 else []
+    key = F.struct("doc_id", F.struct("tie.a", "tie.n").alias("tie"))
+    rank = F.lit(0)
+    if bounds:
+        every = F.array(*[F.struct(F.lit(i).cast("long").alias("doc_id"), F.struct(F.lit(a).alias("a"), F.lit(n).cast("long").alias("n")).alias("tie")) for i, a, n in sorted(set(bounds), key=lambda k: (k[0] is not None, k[0] or 0, *k[1:]))])
+        rank = F.array_size(F.filter(every, lambda b: b <= key))
+    return rank.cast("int")
+
+
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lanes: int = LANES) -> DataFrame:
     """Fingerprints of every text and of its edit by the next document, with their likeness.
 
@@ -176,17 +190,18 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    count = 4 * partitions(spark)
-    bounds = range_bounds(rows, "doc_id", count)
-    rows = rows.withColumn("bucket", bucket_of(F.col("doc_id"), bounds, "bigint"))
-    unique = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count() == 0
-    if unique:
-        ordered, order = rows, ["doc_id"]
+    facts = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    count = max(4 * partitions(spark), parts_for(spark, facts["bytes"] or 0))
+    if rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        bounds = range_bounds(rows, "doc_id", count)
+        ordered, order = rows.withColumn("bucket", bucket_of(F.col("doc_id"), bounds, "bigint")), ["doc_id"]
     else:
-        # ties: a digest of the text, then a number that makes equal rows distinct
-        ordered = rows.withColumn("tie", F.struct(F.sha2(F.coalesce("text", F.lit("")), 256).alias("a"), F.monotonically_increasing_id().alias("n")))
+        # ties: a digest of the text, then a number that makes equal rows distinct; bounds cut through ties too
+        digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+        ordered = rows.withColumn("tie", F.struct(digest.alias("a"), F.monotonically_increasing_id().alias("n")))
         order = ["doc_id", "tie"]
+        ordered = ordered.withColumn("bucket", _tied_bucket(ordered, count, facts["n"]))
     whole = with_edges(ordered, "bucket", order, wrap=True)
-    dealt = whole.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "_edge", *order)
+    dealt = whole.repartition(max(partitions(spark), count // 4), "bucket").sortWithinPartitions("bucket", "_edge", *order)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.select("doc_id", "text", "bucket", "_edge").mapInArrow(lambda it: _judge(it, lanes), schema)

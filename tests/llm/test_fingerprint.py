@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from fathomic.llm import fingerprint as fp
 
 
@@ -61,3 +64,23 @@ def test_no_task_boundary_is_visible(spark, docs):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", wide)
     assert one == many
+
+
+@pytest.mark.parametrize("ids", [None, 7])
+def test_a_hot_id_is_cut_into_many_buckets(spark, ids):
+    """Rows of one id, most of them equal, fall into many buckets and keep their order by text."""
+    rows = [(ids, "same text")] * 300 + [(ids, f"text {k:03}") for k in range(300)] + [(k, f"own {k}") for k in range(100, 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = fp.edited_fingerprints(df).collect()
+    assert len(out) == len(rows)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
+    want = []
+    for k, (i, text) in enumerate(order):
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + order[(k + 1) % len(order)][1][:cut]
+        want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out), key=str) == sorted(want, key=str)
+    tied = df.withColumn("tie", F.struct(F.sha2("text", 256).alias("a"), F.monotonically_increasing_id().alias("n")))
+    sizes = [r["count"] for r in tied.groupBy(fp._tied_bucket(tied, 16, len(rows)).alias("b")).count().collect()]
+    assert len(sizes) > 12
+    assert max(sizes) < 100
