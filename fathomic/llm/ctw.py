@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomic.llm._bytes import LOWER, U64, give_back, mix, text_slices, word_hashes
-from fathomic.llm._spark import durable, partitions, release
+from fathomic.llm._spark import durable, parts_for, release
 
 DEPTH = 5
 LEAST = 2.0**-16
@@ -620,13 +620,14 @@ def score(df: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col: s
     """
     spark = df.sparkSession
     block = F.input_file_block_start()
-    buckets = partitions(spark)
-    # rows of one file block are a unit; where rows come from no file, those of one hash of the id
-    unit = F.when(block >= 0, F.xxhash64(F.input_file_name(), block)).otherwise(F.pmod(F.xxhash64(F.col(id_col)), F.lit(4 * buckets)))
+    size = df.agg(F.sum(F.octet_length(text_col)).alias("n"), F.count_if(~F.coalesce(held_out, F.lit(False))).alias("ends")).first()
+    # tasks hold a bounded share of the words, contexts and texts, whatever the session's partitions
+    buckets, ends = parts_for(spark, size["n"] or 0), size["ends"]
+    # rows of one file block are a unit; where rows come from no file, those of one hash of id and text
+    unit = F.when(block >= 0, F.xxhash64(F.input_file_name(), block)).otherwise(F.pmod(F.xxhash64(id_col, text_col), F.lit(4 * buckets)))
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), unit.alias("unit"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     asked = rows.select("unit", "held_out", "text").mapInArrow(_requests(buckets), "unit long, bucket long, words binary, counts binary")
     answers = durable(asked.repartition(buckets, "bucket").mapInArrow(_answers, "unit long, words binary, counts binary, distinct long, total long"))
-    ends = rows.filter(~F.col("held_out")).count()
     sums = answers.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
     tokens, kinds = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
     release(spark)
