@@ -1,25 +1,30 @@
 """Personal data by weak supervision.
 
-Labelers of three sorts (patterns and checksums, gazetteers, words in context) vote on
-candidate spans. Expectation-maximisation over the counts of vote patterns of the whole
-corpus estimates how reliable each labeler is; its posteriors train a logistic span
-classifier, which decides on every candidate that the base patterns don't already give.
+Candidates are all forms that might be personal data, whether the base patterns take them
+or not: addresses spelled out or without a domain's dot, dotted quads, long runs of digits,
+groups of digits. Labelers of three sorts (patterns and checksums, gazetteers, words in
+context) vote on each. Expectation-maximisation over the counts of vote patterns of the
+whole corpus estimates how reliable each labeler is; base spans are known positives, all
+other candidates are unlabelled, and most of them are what they only look like (dates, numbers
+of orders, books and versions). The posteriors train a logistic span classifier on votes and
+on features that no labeler has (separators, length, other kinds' words nearby), which decides
+on every candidate that the base patterns don't already give.
 
 Base spans (email, ip, card, phone) are always kept; the method adds spans that overlap
-none of them: spelled-out addresses, phone numbers without a plus sign, and card
-numbers inside a longer run of digits.
+none of them.
 
-Vote patterns are few (three votes a labeler), so their counts are all that the driver
-gets, and training doesn't grow with the corpus.
+Patterns of votes and features are few, so their counts are all that the driver gets, and
+training doesn't grow with the corpus.
 
 Defined results: null counts as empty text and has no spans; rows may repeat; other
-columns are ignored.
+columns are ignored; of overlapping candidates that are accepted the first counts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,22 +48,42 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 
 # Candidates beyond the base patterns; each has bounded repeats, so a scan is linear.
 _SPELLED = re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?[\[({]\s?at\s?[\])}]\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE)
+_WORDED = re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,4}(?![\w-])", re.IGNORECASE)
+_DOTLESS = re.compile(r"(?<![\w.%+@-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?![\w.@-])")
+_QUAD = re.compile(r"(?<![\w.])[0-9]{1,4}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,4}){3,5}(?![\w])")
+_SIX = re.compile(r"(?<![\w:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![\w:])")
 _PLAIN_PHONE = re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![\w-])")
+_GROUPS = re.compile(r"(?<![\w+.,/-])\(?[0-9]{2,6}\)?(?:[ ./-]{1,2}[0-9]{2,8}){1,5}(?![\w-])")
 _CARD_PART = re.compile(r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])")
+_LONG_NUMBER = re.compile(r"(?<![\w.,-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")
 
-# Gazetteers and context words.
-_TOP = frozenset("com org net edu gov io de fr es uk it eu info biz".split())
-_ISSUER = frozenset("2 3 4 5 6".split())
+# Gazetteers and context words.
+_TOP = frozenset("com org net edu gov mil int io co me ai app dev info biz name de fr es it uk eu nl be ch at se no dk fi pl pt cz ru ua jp cn kr in au nz ca us br mx ar cl za".split())
+_ISSUERS = tuple("34 37 30 36 38 4 51 52 53 54 55 22 23 24 25 26 27 6011 64 65 35 50 56 57 58 62".split())
 _CONTEXT = {
     "email": re.compile(r"mail|contact|write|schreib|écri|correo", re.IGNORECASE),
     "ip": re.compile(r"\bip\b|host|server|address|adres", re.IGNORECASE),
     "card": re.compile(r"card|visa|credit|karte|carte|tarjeta", re.IGNORECASE),
     "phone": re.compile(r"phone|call|tel|fax|mobile|handy|llam|appel", re.IGNORECASE),
 }
-_AGAINST = re.compile(r"version|licen[cs]e|isbn|serial|order|invoice|\bid\b", re.IGNORECASE)
+_AGAINST = re.compile(r"version|licen[cs]e|isbn|serial|order|invoice|release|\bid\b|\bno\.|\bpage|\bdate", re.IGNORECASE)
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](?:19|20)?[0-9]{2}|(?:19|20)[0-9]{2}[ -]{1,2}(?:19|20)[0-9]{2}")
+_SEPARATORS = (" ", "-", ".", "/")
 _AROUND = 40
+#: How many values each trait has.
+_TRAITS = (6, 5, 2, 2, 2, 2, 2)
 LABELERS = ("shape", "checksum", "gazetteer", "context", "edges")
 ACCEPT = 0.9
+#: Where EM starts: how often each labeler votes -1, 0 and 1 on personal data, and on what only looks like it.
+_START = np.array(
+    [
+        [(0.40, 0.30, 0.30), (0.10, 0.30, 0.60)],  # shape
+        [(0.60, 0.30, 0.10), (0.02, 0.28, 0.70)],  # checksum
+        [(0.50, 0.30, 0.20), (0.10, 0.30, 0.60)],  # gazetteer
+        [(0.35, 0.50, 0.15), (0.05, 0.45, 0.50)],  # context
+        [(0.30, 0.10, 0.60), (0.10, 0.10, 0.80)],  # edges
+    ]
+)
 
 Span = tuple[str, int, int]
 
@@ -111,15 +136,52 @@ def base_spans(text: str) -> list[Span]:
 
 
 def extra_candidates(text: str, base: list[Span]) -> list[Span]:
-    """Candidates that overlap no base span."""
-    out = []
-    if "at]" in text or "at)" in text or "at}" in text or re.search(r"[\[({]\s?at\s?[\])}]", text, re.IGNORECASE):
-        out += [("email", m.start(), m.end()) for m in _SPELLED.finditer(text)]
+    """Candidates that overlap no base span, by start; of one kind none lies in another."""
+    out: list[Span] = []
+
+    def take(kind: str, pattern: re.Pattern) -> None:
+        out.extend((kind, m.start(), m.end()) for m in pattern.finditer(text))
+
+    if "@" in text:
+        take("email", _DOTLESS)
+    low = text.lower() if "at" in text or "AT" in text else ""
+    if re.search(r"[\[({]\s?at\s?[\])}]", low):
+        take("email", _SPELLED)
+    if " at " in low and " dot " in low:
+        take("email", _WORDED)
+    if ":" in text:
+        take("ip", _SIX)
     if _DIGIT.search(text):
-        out += [("card", m.start(), m.end()) for m in _CARD_PART.finditer(text) if luhn(_NOT_DIGIT.sub("", m.group()))]
-        out += [("phone", m.start(), m.end()) for m in _PLAIN_PHONE.finditer(text)]
-    taken = sorted((s, e) for _, s, e in base)
-    return [c for c in out if not any(s < c[2] and c[1] < e for s, e in taken)]
+        take("ip", _QUAD)
+        take("card", _LONG_NUMBER)
+        out.extend(("card", m.start(), m.end()) for m in _CARD_PART.finditer(text) if luhn(_NOT_DIGIT.sub("", m.group())))
+        take("phone", _PLAIN_PHONE)
+        take("phone", _GROUPS)
+    if not out:
+        return out
+    # stretches that base spans cover, joined where they overlap
+    starts, ends = [], []
+    for _, s, e in sorted(base, key=lambda x: x[1:]):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    kept: list[Span] = []
+    last: dict[str, int] = {}
+    for kind, s, e in sorted(set(out), key=lambda x: (x[1], -x[2], x[0])):
+        k = bisect_left(starts, e)
+        if (k and ends[k - 1] > s) or s < last.get(kind, 0):
+            continue
+        last[kind] = e
+        kept.append((kind, s, e))
+    return kept
+
+
+def _isbn(digits: str) -> bool:
+    if len(digits) == 13 and digits[:3] in ("978", "979"):
+        return sum(int(d) * (3 if k % 2 else 1) for k, d in enumerate(digits)) % 10 == 0
+    return len(digits) == 10 and sum(int(d) * (10 - k) for k, d in enumerate(digits)) % 11 == 0
 
 
 def votes(text: str, span: Span) -> tuple[int, ...]:
@@ -128,56 +190,78 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
     body = text[start:end]
     digits = _NOT_DIGIT.sub("", body)
     around = text[max(0, start - _AROUND) : start] + " " + text[end : end + _AROUND]
-    shape = {
-        "email": 1 if "@" in body else 0,
-        "ip": 1,
-        "card": 1 if len(digits) == 16 else 0,
-        "phone": 1 if body[0] == "+" or len(digits) == 10 else -1,
-    }[kind]
-    if kind == "card":
-        checksum = 1 if luhn(digits) else -1
-    elif kind == "ip":
-        checksum = 1
-    elif kind == "phone":
-        checksum = 1 if 8 <= len(digits) <= 15 and len(set(digits)) > 2 else -1
-    else:
-        checksum = 0
-    if kind == "email":
-        last = re.split(r"[^A-Za-z]+", body)[-1].lower()
-        gazetteer = 1 if last in _TOP else 0
-    elif kind == "card":
-        gazetteer = 1 if body[0] in _ISSUER else -1
-    else:
-        gazetteer = 0
+    shape, checksum, gazetteer = {"email": _email_votes, "ip": _ip_votes, "card": _card_votes, "phone": _phone_votes}[kind](body, digits)
     context = 1 if _CONTEXT[kind].search(around) else -1 if _AGAINST.search(around) else 0
     before, after = text[start - 1 : start], text[end : end + 1]
     edges = -1 if before.isalnum() or after.isalnum() else 1
     return shape, checksum, gazetteer, context, edges
 
 
+def _email_votes(body: str, digits: str) -> tuple[int, int, int]:
+    labels = [x for x in re.split(r"[^A-Za-z0-9-]+|(?i:\bdot\b)", re.split(r"@|(?i:\bat\b)", body)[-1]) if x]
+    sound = len(labels) > 1 and all(x[0] != "-" and x[-1] != "-" for x in labels) and re.fullmatch(r"[A-Za-z]{2,}", labels[-1])
+    return 1 if "@" in body or re.search(r"[\[({]", body) else 0, 1 if sound else -1, 1 if labels and labels[-1].lower() in _TOP and len(labels) > 1 else -1
+
+
+def _ip_votes(body: str, digits: str) -> tuple[int, int, int]:
+    if ":" in body:
+        return 1, 1, 1 if body[0] in "23fF" else 0
+    parts = re.split(r"[^0-9]+", body.strip("[]()."))
+    sound = len(parts) == 4 and all(int(p) <= 255 and (p == "0" or p[0] != "0") for p in parts)
+    return 1 if len(parts) == 4 else -1, 1 if sound else -1, 1 if parts[0] in ("10", "127", "172", "192") else -1 if parts[0] in ("0", "1", "2", "3") else 0
+
+
+def _card_votes(body: str, digits: str) -> tuple[int, int, int]:
+    groups = [len(x) for x in re.split(r"[^0-9]+", body)]
+    shape = 1 if groups in ([4, 4, 4, 4], [4, 6, 5], [16], [15]) else 0 if len(groups) == 1 else -1
+    return shape, 1 if luhn(digits) else -1, 1 if digits.startswith(_ISSUERS) else -1
+
+
+def _phone_votes(body: str, digits: str) -> tuple[int, int, int]:
+    groups = [len(x) for x in re.split(r"[^0-9]+", body.strip("+()"))]
+    if body[0] == "+" or (groups == [3, 3, 4] and len(re.findall(r"[^0-9]+", body)) <= 3):
+        shape = 1
+    else:
+        shape = -1 if _DATE.fullmatch(body) or "/" in body or len(groups) < 3 else 0
+    checksum = 1 if 8 <= len(digits) <= 15 and len(set(digits)) > 2 and not _isbn(digits) else -1
+    # area and exchange codes of the northern American plan, and trunk zeros elsewhere
+    known = body[0] == "+" or (len(digits) == 10 and digits[0] in "23456789" and digits[3] in "23456789")
+    return shape, checksum, 1 if known else 0 if digits[:1] == "0" and digits[1:2] != "0" else -1
+
+
+def traits(text: str, span: Span) -> tuple[int, ...]:
+    """What the classifier sees beside the votes: separators, length, and words of each kind nearby, as small numbers."""
+    _, start, end = span
+    body = text[start:end]
+    around = text[max(0, start - _AROUND) : start] + " " + text[end : end + _AROUND]
+    used = [x in body for x in _SEPARATORS]
+    separators = 0 if not any(used) else 5 if sum(used) > 1 else 1 + used.index(True)
+    length = min(4, sum(c.isdigit() for c in body) // 4)
+    return separators, length, *(int(_CONTEXT[k].search(around) is not None) for k in KINDS), int(_AGAINST.search(around) is not None)
+
+
 @dataclass(frozen=True)
 class Model:
     reliability: dict[str, np.ndarray]  # of a kind: P(vote | class), labelers x classes x votes
     weights: dict[str, np.ndarray]
 
 
-def _one_hot(v: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.ones((len(v), 1)), *[(v == x).astype(float) for x in (-1, 1)]], axis=1)
+def _one_hot(v: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Columns of votes, and of each value that a trait may have."""
+    known = [(t[:, k] == x).astype(float)[:, None] if t.shape[1] else np.zeros((len(v), 1)) for k, n in enumerate(_TRAITS) for x in range(1, n)]
+    return np.concatenate([np.ones((len(v), 1)), *[(v == x).astype(float) for x in (-1, 1)], *known], axis=1)
 
 
-def fit(patterns: list[tuple[str, bool, tuple[int, ...], int]], rounds: int = 50) -> Model:
-    """``patterns``: kind, whether base, votes, count. Base spans are known to be positive.
+def fit(patterns: list[tuple], rounds: int = 50) -> Model:
+    """``patterns``: kind, whether base, votes, count and, if seen, traits. Base spans are known to be positive.
 
-    A kind starts from each labeler being right four times in five; EM then sees
-    every candidate of the corpus through the counts.
+    EM sees every candidate of the corpus through the counts.
     """
     reliability, weights = {}, {}
     for kind in KINDS:
         own = [p for p in patterns if p[0] == kind]
         k = len(LABELERS)
-        prob = np.empty((k, 2, 3))
-        prob[:, 1] = (0.1, 0.3, 0.6)
-        prob[:, 0] = (0.6, 0.3, 0.1)
+        prob = _START.copy()
         if not own:
             continue
         v = np.array([p[2] for p in own])
@@ -194,12 +278,11 @@ def fit(patterns: list[tuple[str, bool, tuple[int, ...], int]], rounds: int = 50
             for c, share in ((1, post), (0, 1 - post)):
                 w = n * share
                 # ten pseudo-votes hold a labeler near its start where little was seen
-                start = np.array((0.1, 0.3, 0.6) if c else (0.6, 0.3, 0.1)) * 10
                 for j in range(k):
-                    seen = np.array([w[v[:, j] == x].sum() for x in (-1, 0, 1)]) + start
+                    seen = np.array([w[v[:, j] == x].sum() for x in (-1, 0, 1)]) + 10 * _START[j, c]
                     prob[j, c] = seen / seen.sum()
         reliability[kind] = prob
-        x = _one_hot(v)
+        x = _one_hot(v, np.array([p[4] if len(p) > 4 else () for p in own], int).reshape(len(own), -1))
         w = np.zeros(x.shape[1])
         mass = n / n.sum()
         for _ in range(2000):
@@ -209,9 +292,9 @@ def fit(patterns: list[tuple[str, bool, tuple[int, ...], int]], rounds: int = 50
     return Model(reliability, weights)
 
 
-def accepts(model: Model, kind: str, v: tuple[int, ...]) -> bool:
+def accepts(model: Model, kind: str, v: tuple[int, ...], t: tuple[int, ...] = ()) -> bool:
     w = model.weights.get(kind)
-    return w is not None and 1 / (1 + np.exp(-float((_one_hot(np.array([v])) @ w)[0]))) >= ACCEPT
+    return w is not None and 1 / (1 + np.exp(-float((_one_hot(np.array([v]), np.array([t], int).reshape(1, -1)) @ w)[0]))) >= ACCEPT
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,33 +305,37 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text)
             for spans, flag in ((base, True), (extra_candidates(text, base), False)):
                 for s in spans:
-                    key = (s[0], flag, ",".join(map(str, votes(text, s))))
+                    key = (s[0], flag, ",".join(map(str, votes(text, s))), ",".join(map(str, traits(text, s))))
                     counts[key] = counts.get(key, 0) + 1
     keys = sorted(counts)
     yield pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())],
-        names=["kind", "base", "votes", "n"],
+        [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.string()), pa.array([k[3] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())],
+        names=["kind", "base", "votes", "traits", "n"],
     )
 
 
 def learn(df: DataFrame, text_col: str = "text") -> Model:
     """Count vote patterns over every text and fit the model on the counts."""
-    rows = df.select(F.col(text_col).alias("text")).mapInArrow(_patterns, "kind string, base boolean, votes string, n long")
-    found = rows.groupBy("kind", "base", "votes").agg(F.sum("n").alias("n")).collect()
-    return fit(sorted((r["kind"], r["base"], tuple(map(int, r["votes"].split(","))), r["n"]) for r in found))
+    rows = df.select(F.col(text_col).alias("text")).mapInArrow(_patterns, "kind string, base boolean, votes string, traits string, n long")
+    found = rows.groupBy("kind", "base", "votes", "traits").agg(F.sum("n").alias("n")).collect()
+    numbers = lambda x: tuple(map(int, x.split(",")))
+    return fit(sorted((r["kind"], r["base"], numbers(r["votes"]), r["n"], numbers(r["traits"])) for r in found))
 
 
 def all_spans(text: str, model: Model, cache: dict) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans by kind as listed, then by start; added spans don't overlap."""
     base = base_spans(text)
     added: list[Span] = []
+    end = 0
     for c in extra_candidates(text, base):
-        v = votes(text, c)
-        key = (c[0], v)
+        if c[1] < end:
+            continue
+        key = (c[0], votes(text, c), traits(text, c))
         if key not in cache:
             cache[key] = accepts(model, *key)
-        if cache[key] and not any(s < c[2] and c[1] < e for _, s, e in added):
+        if cache[key]:
             added.append(c)
+            end = c[2]
     rank = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(base + added, key=lambda s: (rank[s[0]], s[1], s[2])) if added else base
 
