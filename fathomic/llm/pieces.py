@@ -46,6 +46,9 @@ class Pieces:
 
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
+        rules = proto.normalizer_spec
+        if rules.precompiled_charsmap or rules.normalization_rule_tsv or rules.remove_extra_whitespaces or not (rules.add_dummy_prefix and rules.escape_whitespaces):
+            raise ValueError("the model normalizes texts, which would not decode to themselves; only identity with a leading space is encoded")
         ranked = proto.trainer_spec.model_type == proto.trainer_spec.BPE
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.automaton = ahocorasick.Automaton()

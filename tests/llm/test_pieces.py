@@ -77,6 +77,22 @@ def test_equals_the_library_on_a_unigram_model(model, docs):
     assert same > 0.8 * len(texts)
 
 
+@pytest.mark.parametrize("rule", ["charsmap", "spaces", "prefix"])
+def test_models_that_normalize_are_refused(model, rule):
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(model)
+    if rule == "charsmap":
+        proto.normalizer_spec.precompiled_charsmap = b"x"
+    elif rule == "spaces":
+        proto.normalizer_spec.remove_extra_whitespaces = True
+    else:
+        proto.normalizer_spec.add_dummy_prefix = False
+    with pytest.raises(ValueError, match="normalizes"):
+        pc.Pieces(proto.SerializeToString())
+
+
 def test_operator(docs, awkward, empty):
     out = pc.round_trip(docs).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
