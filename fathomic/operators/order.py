@@ -32,12 +32,13 @@ def with_row_index(df: DataFrame, name: str = INDEX, start: int = 0) -> DataFram
     return _numbered(raw, counts, part, F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)), name, start).drop("__m")
 
 
-def numbered(df: DataFrame, order: list[str], name: str = INDEX, start: int = 0, runs: int | None = None) -> DataFrame:
-    """Dense numbers from ``start`` in ascending order of columns, nulls first.
+def numbered(df: DataFrame, order: list[str], name: str = INDEX, start: int = 0, runs: int | None = None, ascending: list[bool] | None = None) -> DataFrame:
+    """Dense numbers from ``start`` in the order of columns; nulls count as least.
 
     Rows are cut into runs at fixed bounds of the first column; each run is numbered by
     itself from where the one before ends. Equal rows are numbered in either order.
     """
+    up = ascending or [True] * len(order)
     runs = runs or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = _bounds(df, order[0], runs)
     run = F.lit(0)
@@ -45,12 +46,27 @@ def numbered(df: DataFrame, order: list[str], name: str = INDEX, start: int = 0,
         kind = df.schema[order[0]].dataType
         at = F.array(*[F.lit(b).cast(kind) for b in bounds])
         run = F.coalesce(F.array_size(F.filter(at, lambda b: b <= F.col(order[0]))), F.lit(0))
+        run = run if up[0] else F.lit(len(bounds)) - run
     rows = df.withColumn("__run", run.cast("int"))
     counts = {r["p"]: r["n"] for r in rows.groupBy(F.col("__run").alias("p")).agg(F.count("*").alias("n")).collect()}
-    place = F.row_number().over(W.partitionBy("__run").orderBy(*[F.col(c).asc_nulls_first() for c in order])) - 1
+    sort = [F.col(c).asc_nulls_first() if u else F.col(c).desc_nulls_last() for c, u in zip(order, up, strict=True)]
+    place = F.row_number().over(W.partitionBy("__run").orderBy(*sort)) - 1
     return _numbered(rows, counts, F.col("__run"), place, name, start).drop("__run")
 
 
+def ranked(df: DataFrame, kind: str, order: list[str], name: str, ascending: list[bool] | None = None) -> DataFrame:
+    """``row_number``, ``rank`` or ``dense_rank`` of the whole table, without a task that reads all of it."""
+    if kind == "row_number":
+        return numbered(df, order, name, 1, ascending=ascending)
+    if kind == "dense_rank":
+        keys = numbered(df.select(*order).distinct(), order, name, 1, ascending=ascending)
+    else:
+        keys = numbered(df.select(*order), order, name, 1, ascending=ascending).groupBy(*order).agg(F.min(name).alias(name))
+    keys = keys.withColumnsRenamed({c: f"__key_{k}" for k, c in enumerate(order)})
+    same = [F.col(c).eqNullSafe(F.col(f"__key_{k}")) for k, c in enumerate(order)]
+    return df.join(keys, same).drop(*[f"__key_{k}" for k in range(len(order))])
+
+
 def _numbered(rows: DataFrame, counts: dict[int, int], part: F.Column, place: F.Column, name: str, start: int) -> DataFrame:
     starts, at = {}, start
     for p in sorted(counts):

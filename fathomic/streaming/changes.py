@@ -7,7 +7,7 @@ state with Structured Streaming.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -104,10 +104,13 @@ def stream_dedup(stream: DataFrame, event_time: str, delay: str, keys: list[str]
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_windows(stream: DataFrame, event_time: str, delay: str, width: str, group: list[str], slide: str | None = None) -> DataFrame:
-    """Counts of event-time windows; records past the watermark are rejected."""
-    span = F.window(event_time, width, slide) if slide else F.window(event_time, width)
-    counted = stream.withWatermark(event_time, delay).groupBy(span, *group).agg(F.count("*").alias("rows"))
+def stream_windows(stream: DataFrame, event_time: str, delay: str, width: str, group: list[str], slide: str | None = None, session: bool = False) -> DataFrame:
+    """Counts of event-time windows; records past the watermark are rejected.
+
+    ``session``: windows end after ``width`` without a record.
+    """
+    span = F.session_window(event_time, width) if session else F.window(event_time, width, slide) if slide else F.window(event_time, width)
+    counted = stream.withWatermark(event_time, delay).groupBy(span.alias("window"), *group).agg(F.count("*").alias("rows"))
     return counted.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *group, "rows")
 
 
@@ -121,33 +124,57 @@ def run_to_end(stream: DataFrame, sink: str, checkpoint: str, mode: str = "appen
     return query
 
 
-def maintain_state(stream: DataFrame, target: str, checkpoint: str, key: str = "key", op: str = "op", order: tuple[str, ...] = ("sequence",)) -> StreamingQuery:
-    """Keep the state table of a change stream under ``target``, a version a micro-batch.
+def maintain_state(stream: DataFrame, target: str, checkpoint: str, key: str = "key", op: str = "op", order: tuple[str, ...] = ("sequence",), compact_every: int = 16) -> StreamingQuery:
+    """Keep the state table of a change stream under ``target``.
 
-    Each batch is merged with the version before it and written as a version of its own, so a
-    batch that is run again gives the same files. Removed keys are kept as markers, so
-    a late record cannot bring them back.
+    A micro-batch writes its keys' last records as a delta of its own, so its cost follows
+    the batch and a batch that is run again gives the same files. Every ``compact_every``-th
+    batch merges deltas and the last version into a version, and drops what only older versions
+    need. Removed keys are kept as markers, so a late record cannot bring them back.
     """
-    spark = stream.sparkSession
     columns = stream.columns
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.select(*columns)
-        if number > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{target}/version={number - 1}").select(*columns))
-        rest = [c for c in columns if c != key]
-        last = check_ops(rows, op).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__last"))
-        out = last.select(*[F.col(key) if c == key else F.col(f"__last.{c}").alias(c) for c in columns])
-        out.write.mode("overwrite").parquet(f"{target}/version={number}")
+        _last(check_ops(batch.select(*columns), op), key, order).write.mode("overwrite").parquet(f"{target}/delta={number}")
+        if (number + 1) % compact_every == 0:
+            spark = batch.sparkSession
+            versions = [v for v in _numbers(spark, target, "version") if v < number]
+            rows = _parts(spark, target, max(versions, default=-1), number)
+            _last(rows.select(*columns), key, order).write.mode("overwrite").parquet(f"{target}/version={number}")
+            # a reader may still hold the version before this one
+            old = max(versions, default=-1)
+            for kind, gone in (("delta", [d for d in _numbers(spark, target, "delta") if d <= old]), ("version", [v for v in versions if v < old])):
+                for n in gone:
+                    place = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{kind}={n}")
+                    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def read_state(spark, target: str, op: str = "op") -> DataFrame:
-    """The rows of the newest version that are not removed."""
+def _last(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    rest = [c for c in rows.columns if c != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__last"))
+    return last.select(*[F.col(key) if c == key else F.col(f"__last.{c}").alias(c) for c in rows.columns])
+
+
+def _numbers(spark: SparkSession, target: str, kind: str) -> list[int]:
     root = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if s.getPath().getName().startswith("version=")]
-    return spark.read.parquet(f"{target}/version={max(versions)}").filter(F.col(op).isin(*SETS))
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}="))
+
+
+def _parts(spark: SparkSession, target: str, version: int, newest: int) -> DataFrame:
+    """The rows of a version and of the deltas after it."""
+    deltas = [d for d in _numbers(spark, target, "delta") if version < d <= newest]
+    paths = ([f"{target}/version={version}"] if version >= 0 else []) + [f"{target}/delta={d}" for d in deltas]
+    return spark.read.parquet(*paths)
+
+
+def read_state(spark: SparkSession, target: str, key: str = "key", op: str = "op", order: tuple[str, ...] = ("sequence",)) -> DataFrame:
+    """The rows that are not removed, of the newest version and the deltas after it."""
+    version, deltas = max(_numbers(spark, target, "version"), default=-1), _numbers(spark, target, "delta")
+    rows = _parts(spark, target, version, max(deltas, default=-1))
+    return _last(rows, key, order).filter(F.col(op).isin(*SETS))

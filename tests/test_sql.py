@@ -217,3 +217,14 @@ def test_sums_and_keys_with_offsets_are_fused(session, sf):
     got = plan(session, "SELECT user_id, user_id - 1 AS u, count(*) AS c FROM events GROUP BY user_id, user_id - 1 ORDER BY c DESC, user_id LIMIT 3", inputs)
     assert "hashpartitioning(user_id#" in got
     assert got.split("hashpartitioning(", 1)[1].split(")")[0].count(",") == 1
+
+
+@pytest.mark.parametrize("order", ["o_orderstatus", "o_orderstatus DESC, o_custkey", "o_custkey DESC"])
+def test_ranks_of_a_whole_table_equal_the_oracle_in_many_tasks(session, sf, order):
+    inputs = {"orders": f"{sf}/orders.parquet"}
+    statement = f"SELECT DISTINCT o_orderstatus, o_custkey, CAST(rank() OVER (ORDER BY {order}) AS BIGINT) AS r, CAST(dense_rank() OVER (ORDER BY {order}) AS BIGINT) AS d FROM orders WHERE o_custkey / 2 > 10"
+    want = duckdb.sql(f"CREATE OR REPLACE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
+    want = duckdb.sql(statement.replace("o_custkey / 2", "o_custkey // 2")).fetchall()
+    got = session.sql(statement, inputs).df
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -172,3 +172,21 @@ def test_fnv_of_many_texts():
     texts = [b"", b"a", b"foobar", "é🎉".encode() * 9, b"a" * 300]
     assert fnv64_all(texts).tolist() == [plain(t) for t in texts]
     assert fnv64_all([]).tolist() == []
+
+
+def test_state_is_kept_by_deltas_and_versions(spark, tmp_path):
+    from fathomic.streaming import changes
+
+    source, target, point = (str(tmp_path / x) for x in ("in", "state", "point"))
+    schema = "key string, op string, value long, sequence long"
+    want = {}
+    known = [x for x in (*changes.SETS, *changes.REMOVES)]
+    for k in range(7):
+        rows = [(f"k{(k * 3 + j) % 5}", known[(k + j) % len(known)], 10 * k + j, 10 * k + j) for j in range(3)]
+        for key, op, value, _ in rows:
+            want[key] = value if op in changes.SETS else None
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        changes.maintain_state(spark.readStream.schema(schema).parquet(source), target, point, compact_every=3)
+        got = {r["key"]: r["value"] for r in changes.read_state(spark, target).collect()}
+        assert got == {a: b for a, b in want.items() if b is not None}
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["delta=3", "delta=4", "delta=5", "delta=6", "version=2", "version=5"]
