@@ -164,12 +164,20 @@ class Frame:
 
     # Joins and set operations
 
-    def join(self, other: Frame, on: str | Sequence[str] | Column | None = None, how: str = "inner", suffix: str = "_right") -> Frame:
+    def join(self, other: Frame, on: str | Sequence[str] | Column | None = None, how: str = "inner", suffix: str = "_right", hint: str | None = None) -> Frame:
         """Equi-join on names, a join on a condition, or a cross join; complex keys are blocked.
 
+        ``hint``: ``merge``, ``shuffle_hash`` or ``broadcast``, the last for a bounded other side alone.
+
         The result is bounded if both sides are, or if it only picks rows of a bounded side.
         """
         both = self.bounded and other.bounded
+        if hint is not None:
+            if hint not in ("merge", "shuffle_hash", "broadcast"):
+                raise Blocked("FX-ARGUMENT", f"no join hint {hint}")
+            if hint == "broadcast" and not other.bounded:
+                raise Blocked("FX-UNBOUNDED", "only a bounded side is broadcast")
+            other = other._with(other.df.hint(hint))
         if how == "cross":
             return self._with(self.df.crossJoin(other._renamed(self, (), suffix)), both)
         if how not in HOW:

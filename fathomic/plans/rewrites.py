@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 from fathomic.errors import Blocked
 
 
+#: Keys of one top that may be sent to all executors.
+MOST_SENT = 100_000
+
+
 def _whole(df: DataFrame, column: str) -> None:
     if not isinstance(df.schema[column].dataType, T.IntegralType):
         raise Blocked("FX-TYPE", f"{column} is not a column of whole numbers")
@@ -41,9 +45,9 @@ def group_with_offsets(df: DataFrame, key: str, offsets: Mapping[str, int], meas
 def late_top(df: DataFrame, by: Sequence[str], n: int, key: str, ascending: bool = True, offset: int = 0) -> DataFrame:
     """The top rows found on narrow columns first; wide ones are fetched for those rows alone.
 
-    Worth it where rows are wide and ``key`` is unique; ``n`` rows are broadcast.
+    Worth it where rows are wide and ``key`` is unique. Up to ``MOST_SENT`` keys are broadcast; more are shuffled.
     """
     order = [F.col(c).asc_nulls_last() if ascending else F.col(c).desc_nulls_last() for c in by]
     chosen = df.select(key, *[c for c in by if c != key]).orderBy(*order)
     chosen = (chosen.offset(offset) if offset else chosen).limit(n).select(key)
-    return df.join(F.broadcast(chosen), key, "left_semi").orderBy(*order)
+    return df.join(F.broadcast(chosen) if n <= MOST_SENT else chosen.hint("merge"), key, "left_semi").orderBy(*order)

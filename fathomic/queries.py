@@ -207,6 +207,8 @@ sql_query("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT
 sql_query("union_all", "SELECT n_name AS x FROM nation UNION ALL SELECT r_name AS x FROM region")
 sql_query("intersect", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey AS k FROM supplier")
 sql_query("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders ORDER BY k")
+sql_query("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey AS k FROM supplier")
+sql_query("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey AS k FROM supplier")
 sql_query("values", "VALUES (1, 'a'), (2, 'b'), (3, NULL)", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) t(col1, col2)")
 sql_query("generate_series", "SELECT value, value * 2 AS twice FROM generate_series(1, 10, 3) WHERE value > 1", "SELECT generate_series AS value, generate_series * 2 AS twice FROM generate_series(1, 10, 3) WHERE generate_series > 1")
 sql_query("range_function", "SELECT value FROM range(2, 6) ORDER BY value DESC LIMIT 3", "SELECT range AS value FROM range(2, 6) ORDER BY value DESC LIMIT 3")
@@ -547,6 +549,11 @@ sql_query(
     "SELECT n_nationkey, 'abc' AS b, 'ok' AS h, regexp_replace(n_name, '^([A-Z])', '$\\1') AS d FROM nation",
 )
 sql_query("from_list", "SELECT n.n_name, r.r_name FROM nation AS n, region AS r WHERE n.n_regionkey = r.r_regionkey")
+sql_query(
+    "sub_outer_of_second_table",
+    "SELECT c.c_custkey FROM customer AS c INNER JOIN nation AS n ON c.c_nationkey = n.n_nationkey WHERE EXISTS (SELECT r_regionkey FROM region WHERE r_regionkey = outer.n_regionkey AND r_name = 'ASIA')",
+    "SELECT c.c_custkey FROM customer AS c INNER JOIN nation AS n ON c.c_nationkey = n.n_nationkey WHERE EXISTS (SELECT r_regionkey FROM region WHERE r_regionkey = n.n_regionkey AND r_name = 'ASIA')",
+)
 sql_query("sub_row_not_in", "SELECT n_nationkey FROM nation WHERE (n_regionkey, n_nationkey) NOT IN (SELECT r_regionkey, r_regionkey * 2 FROM region)")
 sql_query("sub_not_in_projection", "SELECT n_nationkey, n_nationkey NOT IN (SELECT nullif(r_regionkey, 2) FROM region) AS other FROM nation")
 sql_query("sub_exists_in_having", "SELECT o_orderstatus, count(*) AS c FROM orders GROUP BY o_orderstatus HAVING EXISTS (SELECT r_name FROM region WHERE r_name = 'ASIA') AND NOT EXISTS (SELECT r_name FROM region WHERE r_name = 'NOWHERE')")
@@ -630,6 +637,13 @@ def embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Session(spark).frame(table(spark, sf_dir, "events")).group_by("event_type").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).df
 
 
+@query("change_kinds", "SELECT CASE event_type WHEN 'click' THEN 'update' WHEN 'view' THEN 'insert' WHEN 'purchase' THEN 'delete' WHEN 'signup' THEN 'schema_change' ELSE 'unknown' END AS kind, count(*) AS n FROM events GROUP BY 1")
+def change_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.create_map(*[F.lit(x) for x in ("click", "UPSERT", "view", "insert ", "purchase", "retract", "signup", "schema")])
+    df = table(spark, sf_dir, "events").select(F.coalesce(F.element_at(words, F.col("event_type")), F.lit("?")).alias("op"))
+    return df.groupBy(changes.event_kind().alias("kind")).agg(F.count("*").alias("n"))
+
+
 # Sinks and formats: what is written comes back.
 
 

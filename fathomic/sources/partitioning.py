@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +78,53 @@ def compaction_plan(df: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
     # a row a file
     running = F.sum("file_size").over(W.orderBy("file_path").rowsBetween(W.unboundedPreceding, W.currentRow))
     return files.withColumn("output", F.floor((running - 1) / F.lit(target_bytes)).cast("int"))
+
+
+def write_object(spark: SparkSession, path: str, content: bytes) -> dict:
+    """Store an object with a commit record beside it, which is written last: readers trust an object only with its record."""
+    record = {"length": len(content), "sha256": hashlib.sha256(content).hexdigest()}
+    staged = f"{path}.staged"
+    _put(spark, staged, content)
+    here, fs = _at(spark, path)
+    if fs.exists(here):
+        fs.delete(here, False)
+    if not fs.rename(_at(spark, staged)[0], here):
+        raise Blocked("FX-COMMIT", f"{path} could not be put in place")
+    _put(spark, f"{path}.commit.json", json.dumps(record).encode())
+    return record
+
+
+def recover_object(spark: SparkSession, path: str) -> str:
+    """What became of a write: ``committed``, ``finished`` (the record was missing), ``rolled_back``, ``absent`` or an error if the object is not what its record says.
+
+    A write that stopped before its object was in place is rolled back.
+    """
+    (here, fs), (staged, _), (record, _) = (_at(spark, p) for p in (path, f"{path}.staged", f"{path}.commit.json"))
+    left = fs.exists(staged)
+    if left:
+        fs.delete(staged, False)
+    if not fs.exists(here):
+        return "rolled_back" if left else "absent"
+    content = read_range(spark, path, 0, fs.getFileStatus(here).getLen())
+    found = {"length": len(content), "sha256": hashlib.sha256(content).hexdigest()}
+    if not fs.exists(record):
+        _put(spark, f"{path}.commit.json", json.dumps(found).encode())
+        return "finished"
+    told = json.loads(read_range(spark, f"{path}.commit.json", 0, fs.getFileStatus(record).getLen()))
+    if told != found:
+        raise Blocked("FX-COMMIT", f"{path} is not what its commit record says")
+    return "committed"
+
+
+def _at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _put(spark: SparkSession, path: str, content: bytes) -> None:
+    place, fs = _at(spark, path)
+    out = fs.create(place, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()

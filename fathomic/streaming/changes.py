@@ -7,7 +7,7 @@ state with Structured Streaming.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +17,8 @@ from fathomic.operators.order import numbered
 
 SETS = ("append", "upsert")
 REMOVES = ("delete", "retract", "tombstone")
+#: What a change feed may tell of; only the first four change rows.
+EVENT_KINDS = ("insert", "update", "delete", "tombstone", "schema_change", "partition_change", "metadata_only", "unknown")
 MODES = ("append", "update", "complete")
 
 
@@ -26,6 +28,24 @@ def check_ops(df: DataFrame, op: str = "op") -> DataFrame:
     return df.withColumn(op, F.when(known, F.col(op)).otherwise(F.raise_error(F.concat(F.lit("unknown operation "), F.coalesce(op, F.lit("null"))))))
 
 
+def event_kind(op: str = "op") -> Column:
+    """The kind of a feed's record by its operation, in any case; what is not known is ``unknown``."""
+    word = F.lower(F.trim(F.col(op)))
+    by = {"insert": ("insert", "append", "i", "c", "r"), "update": ("update", "upsert", "u"), "delete": ("delete", "retract", "d"), "tombstone": ("tombstone",), "schema_change": ("schema_change", "schema"), "partition_change": ("partition_change", "partition"), "metadata_only": ("metadata_only", "metadata")}
+    out = F.lit("unknown")
+    for kind, words in by.items():
+        out = F.when(word.isin(*words), kind).otherwise(out)
+    return out
+
+
+def row_events(df: DataFrame, op: str = "op") -> DataFrame:
+    """Records that change rows, with the operations that state is kept by; an unknown kind fails at run time."""
+    kind = event_kind(op)
+    known = F.when(kind == "unknown", F.raise_error(F.concat(F.lit("unknown operation "), F.coalesce(op, F.lit("null"))))).otherwise(kind)
+    named = df.withColumn(op, known).filter(F.col(op).isin(*EVENT_KINDS[:4]))
+    return named.withColumn(op, F.when(F.col(op) == "insert", "append").when(F.col(op) == "update", "upsert").otherwise(F.col(op)))
+
+
 def replay_dedup(df: DataFrame, offset: str = "offset", sequence: str = "sequence") -> DataFrame:
     """Each (offset, sequence) pair once: a replayed record changes nothing."""
     return df.dropDuplicates([offset, sequence])

@@ -228,3 +228,11 @@ def test_ranks_of_a_whole_table_equal_the_oracle_in_many_tasks(session, sf, orde
     got = session.sql(statement, inputs).df
     assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_nested_join_keys_are_blocked(session, spark):
+    inputs = {"a": session.frame(spark.sql("SELECT array(1) AS l, 1 AS k")), "b": session.frame(spark.sql("SELECT array(1) AS l, 1 AS k"))}
+    with pytest.raises(Blocked) as e:
+        session.sql("SELECT a.k FROM a INNER JOIN b ON a.l = b.l LIMIT 1", inputs)
+    assert e.value.code == "FX-TYPE"
+    assert session.sql("SELECT a.l FROM a INNER JOIN b ON a.k = b.k LIMIT 1", inputs).to_pylist() == [{"l": [1]}]

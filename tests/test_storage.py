@@ -146,6 +146,11 @@ def test_joins_and_lists_lose_the_bound(session, spark):
     assert few.join(many, "id").bounded is False
     assert few.join(many, "id", "semi").bounded is True
     assert few.join(many.limit(3), "id").bounded is True
+    assert "BroadcastHashJoin" in many.join(few, "id", hint="broadcast").df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in many.join(few, "id", hint="merge").df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("broadcast", "nothing"):
+        with pytest.raises(Blocked):
+            few.join(many, "id", hint=bad)
     assert session.frame(spark.sql("SELECT array(1, 2) AS a")).limit(1).explode("a").bounded is False
 
 
@@ -190,3 +195,28 @@ def test_state_is_kept_by_deltas_and_versions(spark, tmp_path):
         got = {r["key"]: r["value"] for r in changes.read_state(spark, target).collect()}
         assert got == {a: b for a, b in want.items() if b is not None}
     assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["delta=3", "delta=4", "delta=5", "delta=6", "version=2", "version=5"]
+
+
+def test_objects_commit_with_a_record(spark, tmp_path):
+    path = str(tmp_path / "o.bin")
+    assert part.recover_object(spark, path) == "absent"
+    part.write_object(spark, path, b"abc")
+    part.write_object(spark, path, b"abcd")
+    assert part.recover_object(spark, path) == "committed"
+    (tmp_path / "o.bin.commit.json").unlink()
+    assert part.recover_object(spark, path) == "finished"
+    (tmp_path / "p.bin.staged").write_bytes(b"half")
+    assert part.recover_object(spark, str(tmp_path / "p.bin")) == "rolled_back"
+    (tmp_path / ".o.bin.crc").unlink(missing_ok=True)
+    (tmp_path / "o.bin").write_bytes(b"wxyz")
+    with pytest.raises(Blocked):
+        part.recover_object(spark, path)
+
+
+def test_row_events_of_a_feed(spark):
+    from fathomic.streaming import changes
+
+    df = spark.createDataFrame([("a", "Insert"), ("a", "metadata"), ("b", "u"), ("c", "tombstone"), ("d", "schema")], "key string, op string")
+    assert sorted((r["key"], r["op"]) for r in changes.row_events(df).collect()) == [("a", "append"), ("b", "upsert"), ("c", "tombstone")]
+    with pytest.raises(Exception, match="unknown operation"):
+        changes.row_events(df.withColumn("op", F.lit("?"))).collect()
