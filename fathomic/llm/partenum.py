@@ -50,6 +50,8 @@ _SMALL_BOUND = 8
 #: Nodes, and hashes of their sets, that are compared in one place.
 _BLOCK = 1024
 _HASHES = 1 << 20
+#: Marks of texts, 8 bytes each, that may be sent to all executors; more are met by a shuffle of the texts.
+_SENT = 1 << 20
 #: A star of more blocks than this is split by a second partitioning.
 _MANY = 16
 
@@ -488,8 +490,10 @@ def _sets(texts: DataFrame, marks: DataFrame, width: int) -> DataFrame:
             sets = {node_of(s): s for s in sets_of(buf, off, width) if len(s)}
             yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["node", "hashes"])
 
-    # repeated rows share a mark; one plan at every size: marks are never few by rule
-    wanted = texts.join(marks.hint("merge"), "mark", "left_semi").select("text").mapInArrow(collect, "node long, hashes binary")
+    # repeated rows share a mark; few marks are sent to the texts, which then stay where they are
+    marks = durable(marks)
+    sent = F.broadcast(marks) if marks.count() <= _SENT else marks.hint("merge")
+    wanted = texts.join(sent, "mark", "left_semi").select("text").mapInArrow(collect, "node long, hashes binary")
     return durable(wanted.groupBy("node").agg(F.first("hashes").alias("hashes")))
 
 

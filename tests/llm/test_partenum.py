@@ -97,6 +97,21 @@ def test_large_families(spark, monkeypatch, block, many):
     assert found(df, width=4, num=85, den=100) == want
 
 
+def test_repeated_rows_of_two_texts_give_one_set_each(spark, monkeypatch):
+    """300 rows of each of two texts, under two ids or none: two sets, one pair, however the sets are fetched."""
+    words = [f"w{k}" for k in range(60)]
+    one, two = " ".join(words), " ".join([*words[:-1], "end"])
+    held = []
+    real = pe._sets
+    monkeypatch.setattr(pe, "_sets", lambda *a: held.append(real(*a)) or held[-1])
+    for ids in ((1, 2), (None, None)):
+        df = spark.createDataFrame([(ids[0], one)] * 300 + [(ids[1], two)] * 300, "doc_id long, text string")
+        for most in (1 << 20, 0):
+            monkeypatch.setattr(pe, "_SENT", most)
+            assert {r["component_id"] for r in pe.join(df).collect()} == {ids[0]}
+            assert held[-1].count() == 2
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(3)
     for num in (85, 70):
