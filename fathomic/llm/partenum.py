@@ -420,8 +420,9 @@ def node_components(rows: DataFrame, texts: DataFrame, width: int, num: int, den
     """
     spark = rows.sparkSession
     total = rows.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
-    # about half a signature for each shingle, two million pairs a bucket at most
-    buckets = max(partitions(spark), total // (2 << 21) + 1)
+    # about half a signature for each shingle, a million of them a bucket; a star's edge may come from each
+    # bucket, so there are no more of them than the data ask for
+    buckets = total // (1 << 21) + 1
     packed = texts.select("text").mapInArrow(_sign(width, num, den, buckets), "bucket long, sigs binary, nodes binary")
     facts = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("profile").alias("profile"), F.min("mark").alias("mark"))
     members = durable(_members(packed, buckets))
