@@ -9,9 +9,9 @@ as the host's template.
 
 Two guards keep content that pages merely repeat. A neighbour that shares 0.8 or more of
 the characters of both pages is a near copy and shows no template. And a line inside the
-article that a page marks goes only where both neighbours share it inside theirs and it
-stands in the run of such lines that opens or closes the article, where templates put
-their lines; in the midst of an article, shared lines are quoted or repeated content.
+article that a page marks goes only where both neighbours share it inside theirs, it stands
+in the run of such lines that closes the article, and it is a label (short and no sentence, as
+"Share this page"); elsewhere in an article, shared lines are titles and quoted or repeated content.
 
 Structure settles what no neighbour shows: markup, scripts, forms, menus, headers,
 footers, sidebars, adverts, notices and reader comments never become lines, and where a
@@ -68,6 +68,8 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 
 #: Share of the characters of both pages from which neighbours are near copies.
 _NEAR_COPY = 0.8
+#: Characters of a label at most.
+_LABEL = 40
 #: Bytes of html that a bucket is to hold.
 _BUCKET_BYTES = 16 << 20
 _LINES = "lines array<string>, marks string, digest string"
@@ -266,6 +268,10 @@ def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _is_label(line: str) -> bool:
+    return len(line) <= _LABEL and line[-1] not in ".!?;:,…。"
+
+
 def difference(page: list[tuple[str, bool]], others: list[list[tuple[str, bool]]]) -> str:
     """The page's text without the lines it shares with its neighbours, of which there are two at most."""
     gone: set[int] = set()
@@ -281,8 +287,7 @@ def difference(page: list[tuple[str, bool]], others: list[list[tuple[str, bool]]
     marked = [i for i, (_, m) in enumerate(page) if m]
     if len(inside) == 2:
         both = inside[0] & inside[1]
-        lead = itertools.takewhile(both.__contains__, marked)
-        gone.update(lead, itertools.takewhile(both.__contains__, reversed(marked)))
+        gone.update(itertools.takewhile(lambda i: i in both and _is_label(page[i][0]), reversed(marked)))
     return "\n".join([x for i, (x, m) in enumerate(page) if i not in gone and (m or not marked)])
 
 

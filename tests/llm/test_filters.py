@@ -338,15 +338,27 @@ def test_unclosed_tags_take_linear_time():
 def test_template_lines_within_articles_go_by_their_neighbours(spark, sf):
     """Real pages of one host with a template put into their articles: without neighbours it stays."""
     pages = [r for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").collect() if "</article>" in (r["html"] or "")][:12]
-    lead, tail = "<p>Site of many things</p>", "<p>Share this page</p><p>Write to us</p>"
-    made = [(k, f"http://one.test/{k:02}", r["html"].replace("<article>", "<article>" + lead).replace("</article>", tail + "</article>")) for k, r in enumerate(pages)]
+    tail = "<p>Share this page</p><p>Write to us</p>"
+    made = [(k, f"http://one.test/{k:02}", r["html"].replace("</article>", tail + "</article>")) for k, r in enumerate(pages)]
     want = ["\n".join(t for t, _ in pagediff.lines(r["html"])) for r in pages]
     df = spark.createDataFrame(made, "page_id long, url string, html string")
     together = {r["page_id"]: r["text"] for r in pagediff.extract(df).collect()}
     inner = range(1, len(pages) - 1)
     assert [together[k] for k in inner] == [want[k] for k in inner]
     alone = spark.createDataFrame([(k, f"http://h{k}.test/", h) for k, _, h in made], "page_id long, url string, html string")
-    assert all(r["text"] == f"Site of many things\n{want[r['page_id']]}\nShare this page\nWrite to us" for r in pagediff.extract(alone).collect())
+    assert all(r["text"] == f"{want[r['page_id']]}\nShare this page\nWrite to us" for r in pagediff.extract(alone).collect())
+
+
+def test_pages_without_marks_are_told_by_their_neighbours(spark, sf):
+    """The same pages with their article, menu and footer unmarked, under the template of one host."""
+    pages = [r for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").collect() if "</article>" in (r["html"] or "")][:12]
+    bodies = [re.search(r"<article>(.*)</article>", r["html"], re.DOTALL)[1] for r in pages]
+    want = ["\n".join(t for t, _ in pagediff.lines(b)) for b in bodies]
+    made = [(k, f"http://one.test/{k:02}", TEMPLATE.format(f"<div><a href=/>Start</a> | News</div><div>{b}</div><div>About us</div>")) for k, b in enumerate(bodies)]
+    together = pagediff.extract(spark.createDataFrame(made, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in together.collect()} == dict(enumerate(want))
+    alone = pagediff.extract(spark.createDataFrame([(k, f"http://h{k}.test/", h) for k, _, h in made], "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in alone.collect()} == {k: f"Site name\nStart | News\n{w}\nAbout us\nAll rights & more" for k, w in enumerate(want)}
 
 
 def test_near_copies_and_quotes_keep_their_text():
