@@ -530,7 +530,7 @@ def approx_distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 sql_query(
     "int_division_scopes",
     "SELECT t.a / 2 AS half, CASE WHEN t.a > 700 THEN 7 ELSE 9 END / 2 AS fixed, (t.a + c.c_nationkey) / 2 AS both FROM (SELECT o_custkey AS a FROM orders) AS t INNER JOIN customer AS c ON t.a = c.c_custkey",
-    "SELECT t.a // 2 AS half, CASE WHEN t.a > 700 THEN 7 ELSE 9 END // 2 AS fixed, (t.a + c.c_nationkey) // 2 AS both FROM (SELECT o_custkey AS a FROM orders) AS t INNER JOIN customer AS c ON t.a = c.c_custkey",
+    "SELECT t.a // 2 AS half, CAST(CASE WHEN t.a > 700 THEN 7 ELSE 9 END // 2 AS BIGINT) AS fixed, (t.a + c.c_nationkey) // 2 AS both FROM (SELECT o_custkey AS a FROM orders) AS t INNER JOIN customer AS c ON t.a = c.c_custkey",
 )
 sql_query("float_floor_ceil", "SELECT c_custkey, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, floor(c_acctbal / 7e0) + 0.5e0 AS g FROM customer")
 sql_query(
