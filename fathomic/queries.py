@@ -6,6 +6,8 @@ differs, its text is given beside it.
 
 from __future__ import annotations
 
+import datetime
+import json
 import re
 import tempfile
 import uuid
@@ -15,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fathomic.durable import shared_folder
+from fathomic.frame import Frame
 from fathomic.functions import scalar as fx
 from fathomic.operators import dedup, picking, quality, reshape, rolling, sketches, vectors
 from fathomic.operators.order import INDEX, numbered, with_row_index
 from fathomic.plans import rewrites
 from fathomic.session import Session
-from fathomic.sources import sinks
+from fathomic.sources import lakes, partitioning, sinks, sqlite_table
 from fathomic.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -653,8 +657,7 @@ def _round_trip(fmt: str) -> None:
     @query(f"round_trip_{fmt}", f"SELECT {columns} FROM nation")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         session = Session(spark)
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomic-sink-")
-        path = f"{shared.rstrip('/')}/round-trip-{uuid.uuid4().hex}.{fmt}"
+        path = f"{shared_folder(spark)}/round-trip-{uuid.uuid4().hex}.{fmt}"
         df = table(spark, sf_dir, "nation").select(*columns.split(", "))
         sinks.write(df, path)
         back = session.read(path).df
@@ -665,6 +668,178 @@ for _fmt in ("csv", "jsonl", "parquet", "orc", "arrow"):
     _round_trip(_fmt)
 
 
+# Frames: the forms that SQL has no word for.
+
+
+def _frame(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Frame:
+    return Session(spark).frame(table(spark, sf_dir, name).select(*columns))
+
+
+@query("frame_rename_drop_cast", "SELECT CAST(n_nationkey AS DOUBLE) AS key, CAST(n_regionkey AS VARCHAR) AS region FROM nation")
+def frame_rename_drop_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _frame(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
+    return df.rename({"n_nationkey": "key", "n_regionkey": "region"}).drop("n_name").astype({"key": "float64", "region": "utf8"}).df
+
+
+@query("frame_text_replace", "SELECT n_nationkey, regexp_replace(replace(n_name, 'A', '$'), '^(.)', '<\\1>') AS n_name FROM nation")
+def frame_text_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _frame(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    return df.str_replace("n_name", "A", "$").str_replace("n_name", r"^(.)", r"<\1>", regex=True).df
+
+
+@query("frame_arithmetic", "SELECT o_orderkey, o_custkey // 7 AS q, o_custkey + 5 AS s, o_custkey * 3 AS p, o_totalprice / 8.0 AS f FROM orders")
+def frame_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _frame(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")
+    df = df.arithmetic("o_custkey", "/", 7, "q").arithmetic("o_custkey", "+", 5, "s").arithmetic("o_custkey", "*", 3, "p").arithmetic("o_totalprice", "/", 8.0, "f")
+    return df.drop("o_custkey", "o_totalprice").df.withColumn("q", F.col("q").cast("bigint"))
+
+
+@query("frame_map_pipe", "SELECT upper(lower(n_name)) AS n_name, upper(CAST(n_regionkey AS VARCHAR)) AS n_regionkey FROM nation WHERE n_regionkey > 1")
+def frame_map_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _frame(spark, sf_dir, "nation", "n_name", "n_regionkey").pipe(lambda x, least: x.filter(F.col("n_regionkey") > least), 1)
+    return df.map("n_name", F.lower).applymap(lambda c: F.upper(c.cast("string"))).df
+
+
+@query("frame_head", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 3")
+def frame_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frame(spark, sf_dir, "orders", "o_orderkey").sort("o_orderkey").head(7, 3).df
+
+
+@query("frame_index", "SELECT row_number() OVER (ORDER BY n_name DESC) - 1 AS place, n_name, n_nationkey FROM nation")
+def frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _frame(spark, sf_dir, "nation", "n_nationkey", "n_name").set_index("n_name")
+    return df.sort("n_name", ascending=False).reset_index("place").df
+
+
+@query("frame_merge", "SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey > 2")
+def frame_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    right = _frame(spark, sf_dir, "region", "r_regionkey", "r_name").filter("r_regionkey > 2").rename({"r_regionkey": "n_regionkey"})
+    return _frame(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey").merge(right, "n_regionkey", "left").drop("n_regionkey").df
+
+
+@query("from_rows", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a', DATE '2024-01-02'), (2, NULL, NULL)) t(id, name, d)")
+def from_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, "a", datetime.date(2024, 1, 2)), (2, None, None)]
+    return Session(spark).from_rows(rows, "id:int64,name:utf8,d:date32").df
+
+
+@query("quality_rules", "SELECT count(*) FILTER (c_acctbal < 0 OR c_acctbal > 9000) AS violations FROM customer UNION ALL SELECT count(*) FILTER (c_mktsegment NOT IN ('BUILDING', 'MACHINERY')) FROM customer")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.check(table(spark, sf_dir, "customer"), between={"c_acctbal": (0, 9000)}, one_of={"c_mktsegment": ["BUILDING", "MACHINERY"]}).select("violations")
+
+
+# Sources and sinks: tables written and read again by each of them.
+
+_NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("source_parts", _NATION)
+def source_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place, df = _fresh(spark, "parts"), _nation(spark, sf_dir)
+    for k in range(3):
+        df.filter(F.col("n_nationkey") % 3 == k).write.parquet(f"{place}/{k}")
+    return Session(spark).read_parts([f"{place}/{k}" for k in range(3)]).df
+
+
+@query("source_partitioned", _NATION)
+def source_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place, df = _fresh(spark, "partitioned"), _nation(spark, sf_dir)
+    partitioning.write_partitioned(df.withColumnRenamed("n_regionkey", "r"), place, {"n_regionkey": ("r", "identity", None)})
+    back = Session(spark).read_partitioned(place, ["n_regionkey"]).df
+    return back.select("n_nationkey", "n_name", F.col("n_regionkey").cast(df.schema["n_regionkey"].dataType).alias("n_regionkey"))
+
+
+@query("source_delta", _NATION + " WHERE n_nationkey % 3 <> 1")
+def source_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place, df = _fresh(spark, "delta"), _nation(spark, sf_dir)
+    for k in range(3):
+        df.filter(F.col("n_nationkey") % 3 == k).write.parquet(f"{place}/p{k}")
+    for v, actions in enumerate([[{"add": {"path": "p0"}}, {"add": {"path": "p1"}}], [{"remove": {"path": "p1"}}, {"add": {"path": "p2"}}]]):
+        partitioning.write_object(spark, f"{place}/_delta_log/{v:020d}.json", "\n".join(map(json.dumps, actions)).encode())
+    return Session(spark).read_delta(place).df
+
+
+@query("source_iceberg", _NATION + " WHERE n_nationkey % 3 = 0")
+def source_iceberg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place, df = _fresh(spark, "iceberg"), _nation(spark, sf_dir)
+    for k in range(2):
+        df.filter(F.col("n_nationkey") % 3 == k).write.parquet(f"{place}/p{k}")
+    snapshots = [{"snapshot-id": k, "timestamp-ms": k, "manifest-list": f"m{k}.json"} for k in (1, 2)]
+    for name, body in (("m1.json", [{"file_path": "p0"}]), ("m2.json", [{"file_path": "p0"}, {"file_path": "p1"}]), ("v1.metadata.json", {"current-snapshot-id": 2, "snapshots": snapshots})):
+        partitioning.write_object(spark, f"{place}/metadata/{name}", json.dumps(body).encode())
+    return Session(spark).read_iceberg(place, as_of_ms=1).df
+
+
+@query("source_manifest_table", _NATION + " WHERE n_regionkey <> 2 AND n_nationkey % 5 <> 1")
+def source_manifest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two commits overlaid, less deleted keys."""
+    df = _nation(spark, sf_dir)
+    one, two = (lakes.ManifestTable(spark, _fresh(spark, "manifest")) for _ in range(2))
+    one.append(df.filter("n_regionkey < 2"))
+    two.append(df.filter("n_regionkey > 2"), expected=0)
+    return lakes.subtract_deleted(lakes.overlay(one.read(), two.read()), df.filter("n_nationkey % 5 = 1"), ["n_nationkey"])
+
+
+@query("source_prepared", "SELECT n_name, length(n_name) AS chars FROM nation")
+def source_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session, place = Session(spark), _fresh(spark, "prepared")
+    sinks.write(_nation(spark, sf_dir), f"{place}.csv")
+    for _ in range(2):
+        out = session.prepare(f"{place}.csv", place, derived=True)
+    return out.df.select("n_name", F.col("__len_n_name").cast("bigint").alias("chars"))
+
+
+@query("source_sqlite", _NATION)
+def source_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{tempfile.mkdtemp(prefix='fathomic-sqlite-')}/t.db"
+    df = _nation(spark, sf_dir)
+    sqlite_table.write(df, path, "nation")
+    back = Session(spark).read_sqlite(path, "nation").df
+    return back.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+
+
+@query("sink_fanout", _NATION + " UNION ALL " + _NATION)
+def sink_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place, df = _fresh(spark, "fanout"), _nation(spark, sf_dir)
+    session = Session(spark)
+    for _ in range(2):
+        sinks.fanout(df, {f"{place}.parquet": None, f"{place}.orc": None}, overwrite=True)
+    return session.read(f"{place}.parquet").df.unionByName(session.read(f"{place}.orc").df)
+
+
+@query("sink_native", _NATION)
+def sink_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_fresh(spark, 'native')}.parquet"
+    sinks.write_native(_nation(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+@query("layout_files", 'SELECT CAST(4 AS BIGINT) AS files, count(*) AS "rows" FROM orders')
+def layout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _fresh(spark, "layout")
+    table(spark, sf_dir, "orders").select("o_orderkey").repartition(4).write.parquet(place)
+    return partitioning.layout_health(spark.read.parquet(place)).select("files", "rows")
+
+
+@query("stream_state", "SELECT user_id AS key, max(event_id) AS sequence FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'purchase'")
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change stream maintained by Structured Streaming, in several micro-batches, and read back."""
+    place = _fresh(spark, "stream")
+    df = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.when(F.col("event_type") == "purchase", "delete").otherwise("upsert").alias("op"), F.col("event_id").alias("sequence"))
+    for k in range(3):
+        df.filter(F.col("sequence") % 3 == k).coalesce(1).write.mode("append").parquet(f"{place}/in")
+        changes.maintain_state(spark.readStream.schema(df.schema).parquet(f"{place}/in"), f"{place}/state", f"{place}/point", compact_every=2)
+    return changes.read_state(spark, f"{place}/state").select("key", "sequence")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return pricing_summary(spark, "/root/testdata/sf0.001")
 
