@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathomic.errors import Blocked
@@ -45,14 +44,17 @@ def drop_duplicates(df: DataFrame, subset: list[str] | None = None, keep: str |
 
 
 def duplicated(df: DataFrame, subset: list[str] | None = None, keep: str | bool = "first", order: list[str] | None = None, name: str = "duplicated") -> DataFrame:
-    """``df`` with a mask that is true for the rows ``drop_duplicates`` would drop."""
+    """``df`` with a mask that is true for the rows ``drop_duplicates`` would drop.
+
+    Which row of a group stays is an aggregate, met by the rows in a join: a hot key is
+    reduced before it moves, and its rows may be split over tasks.
+    """
     if keep not in ("first", "last", False):
         raise Blocked("FX-ARGUMENT", "keep is first, last or False")
     keys = _keys(df, subset)
-    rows, by, _ = _ordered(df, order)
-    if keep is False:
-        mask = F.count("*").over(W.partitionBy(*keys)) > 1
-    else:
-        direction = [F.col(c).desc() if keep == "last" else F.col(c).asc() for c in by]
-        mask = F.row_number().over(W.partitionBy(*keys).orderBy(*direction)) > 1
-    return rows.withColumn(name, mask).select(*df.columns, name)
+    rows = with_row_index(df)
+    place = F.struct(*(order or []), INDEX)
+    kept = rows.groupBy(*keys).agg((F.max if keep == "last" else F.min)(place).alias("__kept"), F.count("*").alias("__n"))
+    kept = kept.withColumnsRenamed({c: f"__key_{k}" for k, c in enumerate(keys)})
+    both = rows.join(kept, [F.col(c).eqNullSafe(F.col(f"__key_{k}")) for k, c in enumerate(keys)])
+    return both.withColumn(name, F.col("__n") > 1 if keep is False else place != F.col("__kept")).select(*df.columns, name)
