@@ -236,3 +236,21 @@ def test_nested_join_keys_are_blocked(session, spark):
         session.sql("SELECT a.k FROM a INNER JOIN b ON a.l = b.l LIMIT 1", inputs)
     assert e.value.code == "FX-TYPE"
     assert session.sql("SELECT a.l FROM a INNER JOIN b ON a.k = b.k LIMIT 1", inputs).to_pylist() == [{"l": [1]}]
+
+
+@pytest.mark.parametrize(
+    ("statement", "want"),
+    [
+        ("SELECT x * 2e0 AS k, count(*) AS c FROM t GROUP BY x * 2e0 ORDER BY x * 2e0 LIMIT 5", [(3.0, 1), (5.0, 2)]),
+        ("SELECT DISTINCT x + 1e0 AS y FROM t ORDER BY y DESC LIMIT 5", [(3.5,), (2.5,)]),
+        ("SELECT n / 2 AS y FROM t ORDER BY n / 2, x * 1e0 LIMIT 3", [(1,), (2,), (2,)]),
+        ("SELECT n / 2 AS h, sum(x) AS s FROM t GROUP BY n / 2 HAVING sum(x) * 1e0 > 1 ORDER BY n / 2 LIMIT 5", [(1, 1.5), (2, 5.0)]),
+        ("SELECT sum(x) * 2e0 / count(*) AS a, sum(n) / count(*) AS b FROM t LIMIT 5", [(13 / 3, 4)]),
+        ("SELECT id, lag(x) OVER (ORDER BY id) + 1e0 AS l FROM t ORDER BY id LIMIT 5", [(1, None), (2, 2.5), (3, 3.5)]),
+        ("SELECT a.id FROM t AS a INNER JOIN t AS b ON a.x * 2e0 = b.x * 2e0 AND a.id / 2 = b.id / 2 ORDER BY a.id LIMIT 9", [(1,), (2,), (2,), (3,), (3,)]),
+        ("SELECT n / 2 / 1e0 AS f, -(n / 2) AS g, abs(n / 2 - 5) AS h FROM t ORDER BY id LIMIT 1", [(1.0, -1, 4)]),
+    ],
+)
+def test_rewritten_nodes_in_groups_orders_windows_and_joins(session, statement, want):
+    inputs = {"t": session.from_rows([(1, 1.5, 3), (2, 2.5, 4), (3, 2.5, 5)], "id:int64,x:float64,n:int64")}
+    assert [tuple(r.values()) for r in session.sql(statement, inputs).to_pylist()] == want
