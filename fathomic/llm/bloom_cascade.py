@@ -73,7 +73,8 @@ def build_level(keys: DataFrame, count: int, rate: float, salt: int) -> Level:
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(32)).cast("int"))).alias("bits"))
     )
     raw = bytearray(4 * math.ceil(size / 32))
-    for word, bits in words.toLocalIterator():
+    # a job a partition: few of them, as all words together are within the bound
+    for word, bits in words.coalesce(8).toLocalIterator():
         raw[4 * word : 4 * word + 4] = int(bits).to_bytes(4, "little")
     return Level(bytes(raw), size, hashes, salt)
 
