@@ -21,9 +21,9 @@ node's profile counts its hashes in 256 parts of the domain, and the distance of
 is never above the sets' difference. Then whole sets meet, and only a spanning forest of the
 links found comes out: first each node in the first of its stars, which joins copies to
 their centre; then the stars that still hold several components. A star of too many nodes
-is compared in blocks, nodes outside its largest component against all, and only nodes of a block
-with a promising partner in the other are brought with their sets. One of very many nodes is
-first split by signatures of a second partitioning of the domain.
+is compared in blocks: those of nodes outside its largest component meet each other and that
+component's, and only nodes with a promising partner in a block they meet are brought with their sets. One of very many nodes
+is first split by signatures of a second partitioning of the domain.
 
 Defined results: texts without words (null, empty, white space) have size 0, link with
 nothing and are components of their own. Rows with equal ids are separate rows; a
@@ -387,7 +387,7 @@ def _stars_only(edges: DataFrame) -> bool:
 
 def _open(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     """``rows`` (star, node, ...) with ``comp``, of the stars that hold several components."""
-    rows = rows.withColumn("comp", F.col("node")) if comp is None else rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = rows.withColumn("comp", F.col("node")) if comp is None else durable(rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     several = rows.groupBy("star").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("star")
     return rows.join(several, "star", "left_semi")
 
@@ -400,17 +400,22 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def _units_of_blocks(rows: DataFrame) -> DataFrame:
-    """Units of stars of several blocks: each block of nodes outside the largest component meets each block of all."""
+    """Units of stars of several blocks: two blocks each, or one with itself.
+
+    Blocks of nodes outside the largest component come first and meet each other and those of
+    that component, so two nodes of different components meet in one unit.
+    """
     shares = rows.groupBy("star", "comp").agg(F.count("*").alias("m"))
-    big = shares.groupBy("star").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), (1 - F.max("m") / F.sum("m")).alias("share"))
+    big = shares.groupBy("star").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), (F.max("m") / F.sum("m")).alias("share"))
     rows = rows.join(big, "star")
-    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
-    few = F.greatest(F.lit(1), F.ceil(F.col("blocks") * F.col("share"))).cast("int")
-    rows = rows.withColumn("few", few).withColumn("own", own)
-    outside = rows.filter("comp <> big").withColumn("mine", F.pmod(F.col("own"), F.col("few"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    one = outside.select(F.xxhash64("star", "mine", "other").alias("unit"), "node", "comp", F.lit(0).alias("side"))
-    two = rows.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("few") - 1))).select(F.xxhash64("star", "mine", "own").alias("unit"), "node", "comp", F.lit(1).alias("side"))
-    return one.unionByName(two)
+    few, rest = (F.greatest(F.lit(1), F.ceil(F.col("blocks") * part)).cast("int") for part in (1 - F.col("share"), F.col("share")))
+    rows = rows.withColumn("few", few).withColumn("rest", rest).withColumn("inside", F.col("comp") == F.col("big"))
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.when(F.col("inside"), F.col("rest")).otherwise(F.col("few"))).cast("int")
+    rows = rows.withColumn("mine", F.when(F.col("inside"), F.col("few")).otherwise(0) + own)
+    last = F.col("few") + F.when(F.col("inside"), 0).otherwise(F.col("rest")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))
+    return rows.withColumn("side", side).withColumn("unit", F.xxhash64("star", F.least("mine", "other"), F.greatest("mine", "other")))
 
 
 def node_components(rows: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
@@ -430,57 +435,64 @@ def node_components(rows: DataFrame, texts: DataFrame, width: int, num: int, den
     release(spark)
     if members.isEmpty():
         return None
-    members = durable(_sized(members.join(facts.select("node", "n"), "node")))
+    # sizes and profiles come once and stay with the rows
+    members = durable(members.join(facts.select("node", "n", "profile"), "node"))
+    members = durable(_sized(members))
     release(spark)
     fields = ["unit", "node", "comp", "side"]
 
-    def dealt(units: DataFrame, more: DataFrame) -> DataFrame:
-        return units.join(more, "node").repartition(partitions(spark), "unit").sortWithinPartitions("unit")
+    def dealt(units: DataFrame) -> DataFrame:
+        return units.repartition(partitions(spark), "unit").sortWithinPartitions("unit")
 
     def promising(units: DataFrame) -> DataFrame:
-        rows_ = dealt(units, facts.select("node", "n", "profile")).select(*fields, "n", "profile")
-        out = durable(rows_.mapInArrow(_promising(num, den), "unit long, node long, comp long, side int"))
+        out = durable(dealt(units.select(*fields, "n", "profile")).mapInArrow(_promising(num, den), "unit long, node long, comp long, side int"))
         release(spark)
         return out
 
     def found(units: DataFrame) -> DataFrame:
-        out = durable(dealt(units, sets).select(*fields, "hashes").mapInArrow(_linked(num, den), "a long, b long"))
+        out = durable(dealt(units.join(sets, "node").select(*fields, "hashes")).mapInArrow(_linked(num, den), "a long, b long"))
         release(spark)
         return out
 
     small = promising(_whole(members.filter("blocks = 1").withColumn("comp", F.col("node")))).select(F.col("unit").alias("star"), "node", F.lit(1).alias("blocks"))
-    chosen = durable(small.unionByName(members.filter("blocks > 1").select("star", "node", "blocks")))
-    sizes = durable(members.filter("blocks > 1").groupBy("node").agg(F.first("n").alias("n")))
+    large = durable(members.filter("blocks > 1"))
+    chosen = durable(small.unionByName(large.select("star", "node", "blocks")))
     del members, small
     release(spark)
     sets = _sets(texts, chosen.select("node").distinct().join(facts.select("node", "mark"), "node").select("mark").distinct(), width)
     release(spark)
+
     # each node in the first of its stars, with the star's centre in every part of a large one
     first = chosen.groupBy("node").agg(F.min_by(F.struct("star", "blocks"), "star").alias("s")).select("node", "s.star", "s.blocks")
     part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("blocks"))
     centres = first.filter("node <> star").select("star", "blocks").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = first.filter("node <> star").select("star", "node", part.cast("int").alias("part")).unionByName(centres.select("star", F.col("star").alias("node"), "part"))
-    links = found(units.select(F.xxhash64("star", "part").alias("unit"), "node", F.col("node").alias("comp"), F.lit(2).alias("side")))
-    comp = _joined(links)
-    again = found(_whole(_open(chosen.filter("blocks = 1").select("star", "node"), comp)))
-    large = durable(_open(chosen.filter("blocks > 1"), comp))
-    resigned = large.filter(F.col("blocks") > _MANY).select("star", "node").join(sets, "node").select("star", "node", "hashes").mapInArrow(_sign_again(num, den, buckets), "bucket long, sigs binary, nodes binary")
-    stars = durable(_sized(_open(_members(resigned, buckets), comp).join(sizes, "node")).select("star", "node", "comp", "blocks"))
-    parted = _units_of_blocks(stars.filter("blocks > 1").unionByName(large.filter(F.col("blocks") <= _MANY).select("star", "node", "comp", "blocks")))
-    last = found(promising(_whole(stars.filter("blocks = 1")).unionByName(parted)))
-    more = again.unionByName(last)
-    if more.isEmpty():
-        return comp
-    return _joined(more if comp is None else more.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+    comp = _joined(found(units.select(F.xxhash64("star", "part").alias("unit"), "node", F.col("node").alias("comp"), F.lit(2).alias("side"))), None)
+    more = found(_whole(_open(chosen.filter("blocks = 1").select("star", "node"), comp)))
+    large = durable(_open(large, comp))
+    if large.isEmpty():
+        return _joined(more, comp)
+    parted = _units_of_blocks(large.filter(F.col("blocks") <= _MANY)).select(*fields, "n", "profile")
+    many = large.filter(F.col("blocks") > _MANY)
+    if not many.isEmpty():
+        resigned = many.select("star", "node").join(sets, "node").select("star", "node", "hashes").mapInArrow(_sign_again(num, den, buckets), "bucket long, sigs binary, nodes binary")
+        again = many.groupBy("node").agg(F.first("n").alias("n"), F.first("profile").alias("profile"))
+        stars = durable(_sized(durable(_open(durable(_members(resigned, buckets)), comp).join(again, "node"))))
+        for rows_ in (_whole(stars.filter("blocks = 1")), _units_of_blocks(stars.filter("blocks > 1"))):
+            parted = parted.unionByName(rows_.select(*fields, "n", "profile"))
+    return _joined(more.unionByName(found(promising(parted))), comp)
 
 
 def _whole(rows: DataFrame) -> DataFrame:
     """Units of stars (star, node, comp) that are compared at once."""
-    return rows.select(F.col("star").alias("unit"), "node", "comp", F.lit(2).alias("side"))
+    return rows.withColumn("unit", F.col("star")).withColumn("side", F.lit(2))
 
 
-def _joined(links: DataFrame) -> DataFrame | None:
-    return None if links.isEmpty() else durable(components(links))
+def _joined(links: DataFrame, comp: DataFrame | None) -> DataFrame | None:
+    """The components ``comp``, joined by ``links``."""
+    if links.isEmpty():
+        return comp
+    return durable(components(links if comp is None else links.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
 
 
 def _sets(texts: DataFrame, marks: DataFrame, width: int) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import random
 import re
 
@@ -97,6 +98,63 @@ def test_large_families(spark, monkeypatch, block, many):
     assert found(df, width=4, num=85, den=100) == want
 
 
+def made(spark, job):
+    """Rows that inner joins by node make in ``job``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    job()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    rows, executions = 0, store.executionsList()
+    for k in range(before, executions.size()):
+        run = executions.apply(k).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search(r"Join \[node#\w+\], \[node#\w+\], Inner", node.desc()):
+                metrics = node.metrics()
+                for m in (metrics.apply(i) for i in range(metrics.size())):
+                    if m.name() == "number of output rows" and (value := values.get(m.accumulatorId())).isDefined():
+                        rows += int(value.get().replace(",", ""))
+    return rows
+
+
+def test_facts_join_each_place_in_a_star_once(spark, monkeypatch):
+    """A family of near copies in stars of several blocks: sizes and profiles come once, not for each step and unit."""
+    monkeypatch.setattr(pe, "_BLOCK", 64)
+    rng = random.Random(7)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for _ in range(300):
+        text = list(base)
+        for k in rng.sample(range(len(text)), 6):
+            text[k] = f"e{rng.randrange(10**9)}"
+        rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    places, real = [], pe._members
+    monkeypatch.setattr(pe, "_members", lambda *a: places.append(real(*a)) or places[-1])
+    got = []
+    rows_made = made(spark, lambda: got.extend(found(df, width=4, num=85, den=100)))
+    assert got == brute(rows, 4, 85, 100)
+    assert places[0].count() > 4 * len(rows)
+    assert rows_made < 2 * places[0].count()
+
+
+def test_blocks_of_a_star_meet_once(spark):
+    """Nodes of different components meet in one unit, those of the largest not at all; rows by the number of blocks at most."""
+    for blocks, inside in ((3, 0), (3, 20), (5, 50), (4, 59)):
+        nodes = [(1, k, 0 if k < inside else k, blocks) for k in range(60)]
+        units = collections.defaultdict(list)
+        rows = pe._units_of_blocks(spark.createDataFrame(nodes, "star long, node long, comp long, blocks int")).collect()
+        for r in rows:
+            units[r["unit"]].append((r["node"], r["comp"], r["side"]))
+        met = collections.Counter()
+        for own in units.values():
+            for (a, c, x), (b, d, y) in itertools.combinations(sorted(own), 2):
+                if a != b and c != d and (x != y or x == 2):
+                    met[a, b] += 1
+        assert met == {(a, b): 1 for (_, a, c, _), (_, b, d, _) in itertools.combinations(nodes, 2) if c != d}
+        assert len(rows) <= len(nodes) * (blocks + 1)
+
+
 def test_repeated_rows_of_two_texts_give_one_set_each(spark, monkeypatch):
     """300 rows of each of two texts, under two ids or none: two sets, one pair, however the sets are fetched."""
     words = [f"w{k}" for k in range(60)]
