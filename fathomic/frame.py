@@ -171,7 +171,7 @@ class Frame:
 
         The result is bounded if both sides are, or if it only picks rows of a bounded side.
         """
-        both = self.bounded and other.bounded
+        both, plain = self.bounded and other.bounded, other.df
         if hint is not None:
             if hint not in ("merge", "shuffle_hash", "broadcast"):
                 raise Blocked("FX-ARGUMENT", f"no join hint {hint}")
@@ -193,7 +193,12 @@ class Frame:
         for c in keys:
             if isinstance(self.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)):
                 raise Blocked("FX-TYPE", f"{c} is nested and cannot be a join key")
-        right = other.df if picks else other._renamed(self, keys, suffix)
+        if picks:
+            # each key once, so that a frequent one doesn't pile up in one task
+            right = plain.select(*[f"`{c}`" for c in keys]).distinct()
+            right = right if hint is None else right.hint(hint)
+        else:
+            right = other._renamed(self, keys, suffix)
         return self._with(self.df.join(right, keys, HOW[how]), self.bounded if picks else both)
 
     merge = join

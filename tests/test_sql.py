@@ -317,3 +317,41 @@ def test_linked_rows_meet_one_row_of_each_key(session, sf, statement):
     # the other side is grouped by the key that links it, before it is joined
     assert got.count("HashAggregate(keys=[fx_k0") >= 2
     assert not any(x in got for x in ("NestedLoop", "Cartesian", "BroadcastExchange"))
+
+
+@pytest.mark.parametrize(
+    "statement",
+    [
+        "SELECT id FROM l WHERE (x, g) IN (SELECT m, k FROM r)",
+        "SELECT id FROM l WHERE (x, g) NOT IN (SELECT m, k FROM r WHERE m IS NOT NULL AND k IS NOT NULL)",
+        "SELECT id FROM l WHERE x NOT IN (SELECT m FROM r WHERE k = outer.g)",
+        "SELECT id FROM l WHERE x IN (SELECT m FROM r ORDER BY w, m LIMIT 3)",
+        "SELECT id FROM l WHERE x IN (SELECT m FROM r UNION SELECT w FROM r)",
+        "SELECT g, count(*) AS c FROM l GROUP BY g HAVING g > ALL (SELECT w FROM r WHERE k = outer.g) OR g IN (SELECT k FROM r)",
+    ],
+)
+def test_values_looked_up_equal_the_oracle(session, linked, statement):
+    _same_as_the_oracle(session, linked, statement)
+
+
+@pytest.mark.parametrize(
+    "statement",
+    [
+        "SELECT o_orderstatus, count(*) AS c FROM orders GROUP BY o_orderstatus HAVING o_orderstatus IN (SELECT l_linestatus FROM lineitem)",
+        "SELECT o_orderstatus, o_orderstatus = ANY (SELECT l_linestatus FROM lineitem) AS v FROM orders",
+        "SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN (SELECT l_linestatus FROM lineitem)",
+    ],
+)
+def test_values_looked_up_are_distinct_before_they_are_joined(session, sf, statement):
+    got = plan(session, statement, {t: f"{sf}/{t}.parquet" for t in ("orders", "lineitem")})
+    assert "HashAggregate(keys=[l_linestatus" in got or "HashAggregate(keys=[m#" in got
+
+
+@pytest.mark.parametrize("how", ["semi", "anti"])
+def test_joins_that_pick_rows_take_each_key_once(session, how):
+    one = session.from_rows([(1, "a"), (2, "b"), (None, "c")], "k:int64,v:utf8")
+    two = session.from_rows([(1, 1), (1, 2), (None, 3), (3, 4)], "k:int64,w:int64")
+    for hint in (None, "merge"):
+        got = one.join(two, "k", how, hint=hint)
+        assert "Deduplicate" in got.df._jdf.queryExecution().analyzed().toString()
+        assert sorted(map(tuple, got.df.collect()), key=str) == ([(1, "a")] if how == "semi" else [(2, "b"), (None, "c")])
