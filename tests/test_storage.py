@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from fathomic import Blocked
+from fathomic import Blocked, queries
 from fathomic.operators import sketches
 from fathomic.sources import partitioning as part
 
@@ -46,6 +46,18 @@ def test_sketches_merge(spark):
     assert abs(sketches.approx_count_distinct(df, "v").first()[0] - 500) < 30
 
 
+def test_a_sketch_beside_the_exact_count_is_one_for_the_table(spark, sf):
+    df = spark.range(2000).select((F.col("id") % 500).alias("v"))
+    both = sketches.beside_exact(df, "v")
+    assert both.first()["distinct"] == 500
+    assert abs(both.first()["approx_distinct"] - 500) < 30
+    for own in (both, queries.sketch_bounds(spark, sf)):
+        plan = own._jdf.queryExecution().executedPlan().toString()
+        grouped = [line for line in plan.splitlines() if "Aggregate(keys=[" in line and "keys=[]" not in line]
+        assert grouped
+        assert not any("approx_count_distinct" in line for line in grouped)
+
+
 def _delta(spark, root, commits, checkpoint=None):
     import json
 
